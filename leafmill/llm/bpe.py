@@ -25,13 +25,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import table, with_row_id
+from leafmill.llm.common import small_batches, table, with_row_id
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Code points a chunk holds, and code points it reads on into the next.
 CHUNK, OVERLAP = 32_768, 512
 #: Words whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 100_000
 #: White_Space of Unicode, as \s of the pattern has it (fixed values).
 WS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -47,8 +47,9 @@ def coder(path: str):
 
 @functools.cache
 def _bytes_of(path: str) -> list[bytes]:
-    enc = coder(path)
-    return [enc.decode_single_token_bytes(i) for i in range(enc.n_vocab)]
+    with open(path, "rb") as f:
+        rank = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    return [rank[i] for i in range(len(rank))]
 
 
 class WordIds(dict):
@@ -176,6 +177,7 @@ def decode(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataFr
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return docs.select(
         "doc_id",

@@ -47,6 +47,11 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     return big.join(small, on, how)
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound the bytes of a batch that goes to Python: 10 000 long texts at once do not fit a small executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def let(value, body):
     """Bind ``value`` once for ``body``: a lambda variable is evaluated once, an inlined column expression on every use."""
     return F.transform(F.array(value), body)[0]

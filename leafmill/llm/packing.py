@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import WordIds, pack_ids
-from leafmill.llm.common import cut, table, with_row_id
+from leafmill.llm.common import cut, small_batches, table, with_row_id
 
 TOKENIZER = "byte_bpe_50k.json"
 SIZE, END = 2048, 0
@@ -140,6 +140,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pack(tokenised(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 

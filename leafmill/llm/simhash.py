@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import components, cut, lookup_join, table, with_row_id
+from leafmill.llm.common import components, cut, lookup_join, small_batches, table, with_row_id
 
 BITS, SHINGLE = 2, 3
 #: Members of an index node.
@@ -183,6 +183,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """(_row, doc_id, fp, component_id) of every row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     rows = cut(fingerprints(with_row_id(docs.select("doc_id", "text"), "_row"), shingle).select("_row", "doc_id", "fp"))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(fps.select("fp"), bits))

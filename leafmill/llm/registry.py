@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "packing"]
+MODULES = ["quality", "urls", "bpe", "simhash", "packing"]
 
 
 def _each(name: str) -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "urls", "bpe", "simhash", "packing"]
+MODULES = ["quality", "urls", "bpe", "simhash", "pii", "packing"]
 
 
 def _each(name: str) -> dict:

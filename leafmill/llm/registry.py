@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "urls", "bpe", "warc", "simhash", "pii", "packing"]
+MODULES = ["quality", "urls", "bpe", "warc", "simhash", "pii", "packing", "lattice"]
 
 
 def _each(name: str) -> dict:

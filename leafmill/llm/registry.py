@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "urls", "bpe", "lines", "warc", "simhash", "pii", "packing", "lattice"]
+MODULES = ["quality", "urls", "bpe", "lines", "warc", "lm", "simhash", "pii", "packing", "lattice"]
 
 
 def _each(name: str) -> dict:

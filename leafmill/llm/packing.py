@@ -16,6 +16,7 @@ sequence by itself.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from array import array
 from collections import defaultdict
@@ -31,17 +32,39 @@ from leafmill.llm.common import cut, small_batches, table, with_row_id
 TOKENIZER = "byte_bpe_50k.json"
 SIZE, END = 2048, 0
 #: Ranks within a length are dealt over so many groups, each ranked by itself; a length with a third of all pieces is no single task.
-DEAL = 256
+DEAL = 64
 #: Ranks of a length that share a block key in the join with the plan.
 BLOCK = 4096
 
 
 @functools.cache
 def _words(path: str) -> WordIds:
+    """Ids by word, as the tokenizers library gives them for the file.
+
+    A byte-level BPE file whose merges make its ids in order can be read as
+    ranks, which one word is encoded by in a tenth of the time; any other file,
+    and words that hold an added token, go to the library itself.
+    """
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    return WordIds(lambda s: t.encode(s, add_special_tokens=False).ids)
+    library = Tokenizer.from_file(path)
+    plain = lambda s: library.encode(s, add_special_tokens=False).ids
+    with open(path) as f:
+        spec = json.load(f)
+    vocab, added = spec["model"]["vocab"], [x["content"] for x in spec["added_tokens"]]
+    merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
+    before = spec["pre_tokenizer"]
+    level = before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and spec["normalizer"] is None
+    if not level or any(spec["model"].get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")) or merged != list(range(256, 256 + len(merged))):
+        return WordIds(plain)
+    import tiktoken
+
+    # the byte of each visible stand-in: printable Latin-1 stands for itself, the others are counted up from 256
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*seen}))}
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in added}
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return WordIds(lambda s: plain(s) if any(x in s for x in added) else fast(s))
 
 
 def cut_pieces(ids: bytes, size: int = SIZE) -> list[tuple[int, int, int]]:
@@ -144,5 +167,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(tokenised(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
+    """Pipeline stage: the documents' pieces with their places in sequences."""
+    small_batches(spark)
+    return pack(tokenised(docs.select("doc_id", "text")))
+
+
 QUERIES = {"op9_packing": op9_packing}
 ORACLES: dict[str, str] = {}

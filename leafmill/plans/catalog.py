@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
+
+from leafmill.plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "join02_apply_translations"
+MODULES = ["scans", "naming", "filters", "texts", "boxes"]
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"leafmill.plans.{m}")
 
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)

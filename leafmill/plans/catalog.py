@@ -7,7 +7,7 @@ import importlib
 from leafmill.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "join02_apply_translations"
-MODULES = ["scans", "naming"]
+MODULES = ["scans", "naming", "filters"]
 
 
 def _load() -> None:

@@ -11,6 +11,11 @@ SAME_SPAN, SAME_SIDE, SAME_WIDTH = 0.8, 0.7, 0.6
 BLEED = 0.08
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once: a lambda variable is evaluated once, an inlined expression on every use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _c(side: str, name: str) -> Column:
     return F.col(f"{side}.{name}" if side else name)
 
@@ -108,17 +113,25 @@ def widest_chord(points: Column, y: Column) -> Column:
     """The widest run inside a polygon at a height (even-odd, half-open edges, the leftmost of equals); null if there is none."""
     crossing = F.filter(_edges(points), lambda e: (e["ay"] != e["by"]) & (F.least(e["ay"], e["by"]) <= y) & (y < F.greatest(e["ay"], e["by"])))
     xs = F.array_sort(F.transform(crossing, lambda e: e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])))
-    runs = F.filter(F.transform(xs, lambda x, i: F.struct((F.get(xs, i + 1) - x).alias("w"), (-x).alias("left"), x.alias("lo"), F.get(xs, i + 1).alias("hi"), i.alias("i"))), lambda r: (r["i"] % 2 == 0) & r["hi"].isNotNull())
-    best = F.array_max(runs)
-    return F.when(best.isNotNull(), F.struct(best["lo"].alias("lo"), best["hi"].alias("hi")))
+
+    def widest(xs: Column) -> Column:
+        runs = F.transform(xs, lambda x, i: F.struct((F.get(xs, i + 1) - x).alias("w"), (-x).alias("left"), x.alias("lo"), F.get(xs, i + 1).alias("hi"), i.alias("i")))
+        best = F.array_max(F.filter(runs, lambda r: (r["i"] % 2 == 0) & r["hi"].isNotNull()))
+        return let(best, lambda b: F.when(b.isNotNull(), F.struct(b["lo"].alias("lo"), b["hi"].alias("hi"))))
+
+    return let(xs, widest)
 
 
 def narrowest(points: Column, top: Column, bottom: Column, page_width: Column, samples: int = 5) -> Column:
     """What all chords of a line's box have in common, on the page; null if a sample has none."""
     at = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: widest_chord(points, top + (bottom - top) * i / max(samples - 1, 1)))
-    lo = F.greatest(F.array_max(F.transform(at, lambda s: s["lo"])), F.lit(0.0))
-    hi = F.least(F.array_min(F.transform(at, lambda s: s["hi"])), page_width.cast("double"))
-    return F.when(~F.exists(at, lambda s: s.isNull()) & (hi > lo), F.struct(lo.alias("lo"), hi.alias("hi")))
+
+    def common(at: Column) -> Column:
+        lo = F.greatest(F.array_max(F.transform(at, lambda s: s["lo"])), F.lit(0.0))
+        hi = F.least(F.array_min(F.transform(at, lambda s: s["hi"])), page_width.cast("double"))
+        return F.when(~F.exists(at, lambda s: s.isNull()) & (hi > lo), F.struct(lo.alias("lo"), hi.alias("hi")))
+
+    return let(at, common)
 
 
 def inset(points: Column, d: Column) -> Column:

@@ -1 +1 @@
-"""Part of leafmill."""
+"""Operators that need more than a column expression."""

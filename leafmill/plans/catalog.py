@@ -7,7 +7,7 @@ import importlib
 from leafmill.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "join02_apply_translations"
-MODULES = ["scans", "naming", "filters", "texts", "boxes"]
+MODULES = ["scans", "naming", "filters", "texts", "boxes", "records"]
 
 
 def _load() -> None:

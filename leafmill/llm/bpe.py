@@ -52,47 +52,55 @@ def _bytes_of(path: str) -> list[bytes]:
     return [rank[i] for i in range(len(rank))]
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class WordIds(dict):
-    """Packed ids by word: a key is a word with the single blank or newline before it, which is where the pattern always has a boundary."""
+    """Packed ids by word, for a word that a blank stands before, or with the newline it starts with."""
 
     def __init__(self, encode, limit: int = CACHE):
         super().__init__()
         self.encode, self.limit = encode, limit
 
-    def __missing__(self, key: str) -> bytes:
-        got = array("I", self.encode(key)).tobytes()
+    def __missing__(self, word: str) -> bytes:
+        got = packed(self.encode(word if word[:1] == "\n" else " " + word))
         if len(self) < self.limit:
-            self[key] = got
+            self[word] = got
         return got
 
 
-@functools.cache
-def _odd():
-    """A run of white space, or white space other than blank and newline."""
-    return re.compile(f"[{WS}]{{2}}|(?![ \n])[{WS}]")
-
-
 @functools.cache
 def _alone():
     """Before a blank or newline that stands alone between two characters which are no white space."""
     return regex.compile(f"(?<=[^{WS}])(?=[ \n][^{WS}])")
 
 
-def words_of(text: str) -> list[str]:
-    """Parts of a text that the pattern never reads across: each starts with the blank or newline before a word.
+@functools.cache
+def _others() -> tuple[str, str]:
+    """White space other than blank and newline: ASCII, the rest."""
+    found = "".join(chr(c) for c in range(0x3001) if re.fullmatch(f"[{WS}]", chr(c)) and chr(c) not in " \n")
+    return "".join(c for c in found if c.isascii()), "".join(c for c in found if not c.isascii())
+
+
+def words_of(text: str) -> tuple[str, list[str]]:
+    """A text as its start and the words after it; the pattern never reads across from one to the next.
 
     Where all white space is single blanks and newlines, plain splitting finds
-    them; else longer runs stay inside the part of the word before.
+    the words; else longer runs stay inside the word before.
     """
-    if _odd().search(text):
-        return _alone().split(text)
     head, *rest = text.replace("\n", " \n").split(" ")
-    return [head, *[w if w[:1] == "\n" else " " + w for w in rest]]
+    plain, wide = _others()
+    if "" in rest or "\n" in rest or any(c in text for c in plain) or not text.isascii() and any(c in text for c in wide):
+        head, *rest = _alone().split(text)
+        rest = [w[1:] if w[0] == " " else w for w in rest]
+    return head, rest
 
 
 def pack_ids(text: str, words: WordIds) -> bytes:
     """Little-endian 32-bit ids of a text."""
-    return b"".join(map(words.__getitem__, words_of(text))) if text else b""
+    head, rest = words_of(text)
+    return packed(words.encode(head)) + b"".join(map(words.__getitem__, rest)) if text else b""
 
 
 @functools.cache

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import attention
-from leafmill.llm.bpe import WordIds, coder
+from leafmill.llm.bpe import coder, packed
 from leafmill.llm.common import cut, small_batches, table, with_row_id
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,8 @@ HOT = 150_000
 STRIDE, SHARD, ROUNDS, RATES = 2000, 16_384, 2, (0.02, 0.01)
 #: Words a task counts before it hands them on; floats of the model that travel together.
 FLUSH, CHUNK = 200_000, 8192
+#: Words whose subwords a worker remembers.
+CACHE = 150_000
 NOTHING = 0xFFFFFFFF
 
 
@@ -44,11 +46,23 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-@functools.cache
-def _subwords(path: str) -> WordIds:
+class _Subwords(dict):
     """Packed subword ids by word, each as it stands after a blank."""
-    encode = coder(path).encode_ordinary
-    return WordIds(lambda w: encode(" " + w.decode("utf-8", "replace")))
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = packed(self.encode(" " + word.decode("utf-8", "replace")))
+        if len(self) < CACHE:
+            self[word] = got
+        return got
+
+
+@functools.cache
+def _subwords(path: str) -> _Subwords:
+    return _Subwords(coder(path).encode_ordinary)
 
 
 def _end(path: str) -> int:
@@ -84,9 +98,9 @@ def count_subwords(words: DataFrame, path: str) -> np.ndarray:
     def count(frames):
         total, subwords = np.zeros(size, np.int64), _subwords(path)
         for frame in frames:
-            packed = [subwords[w.encode()] for w in frame["word"]]
-            lengths = np.array([len(p) // 4 for p in packed])
-            np.add.at(total, np.frombuffer(b"".join(packed), np.uint32), np.repeat(frame["c"].to_numpy(), lengths))
+            found = [subwords[w.encode()] for w in frame["word"]]
+            lengths = np.array([len(p) // 4 for p in found])
+            np.add.at(total, np.frombuffer(b"".join(found), np.uint32), np.repeat(frame["c"].to_numpy(), lengths))
         ids = np.flatnonzero(total)
         yield pd.DataFrame({"id": ids, "c": total[ids]})
 
@@ -114,10 +128,10 @@ def training_windows(docs: DataFrame, path: str) -> DataFrame:
                     first = h % max(len(words), 1)
                     before = words[max(first - 1, 0) : first]
                     some = words[first : first + size]
-                    packed = b"".join(map(subwords.__getitem__, some)) + (end if first + size >= len(words) else b"")
+                    ids = b"".join(map(subwords.__getitem__, some)) + (end if first + size >= len(words) else b"")
                     last = subwords[before[0]][-4:] if before else np.array([NOTHING], np.uint32).tobytes()
                     at.append(np.uint64(h).view(np.int64).item())
-                    out.append(last + packed[: 4 * size])
+                    out.append(last + ids[: 4 * size])
             yield pd.DataFrame({"at": at, "ids": out})
 
     return docs.select("_row", "text").mapInPandas(cut_out, "at long, ids binary")
@@ -209,7 +223,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
         hot, model, u = sent.value
         subwords = _subwords(path)
         for frame in frames:
-            n, known, base, rest, packed = [], [], [], [], []
+            n, known, base, rest, ids = [], [], [], [], []
             for text in frame["text"]:
                 words = words_of(text)
                 logs = np.fromiter(map(hot.__getitem__, words), np.float64, len(words))
@@ -218,9 +232,9 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
                 known.append(len(words) - len(missed))
                 base.append(np.nansum(logs))
                 rest.append([words[i].decode("utf-8", "replace") for i in missed])
-                packed.append(b"".join(map(subwords.__getitem__, words)) + end)
-            lengths = np.array([len(p) // 4 for p in packed])
-            found = attention.score(model, u, np.frombuffer(b"".join(packed), np.uint32).astype(np.int64), lengths) / math.log(10)
+                ids.append(b"".join(map(subwords.__getitem__, words)) + end)
+            lengths = np.array([len(p) // 4 for p in ids])
+            found = attention.score(model, u, np.frombuffer(b"".join(ids), np.uint32).astype(np.int64), lengths) / math.log(10)
             yield pd.DataFrame({"_row": frame["_row"], "doc_id": frame["doc_id"], "held_out": frame["held_out"], "n_tokens": n, "known": known, "base": base, "rest": rest, "score": found})
 
     schema = "_row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rest array<string>, score double"

@@ -31,6 +31,8 @@ from leafmill.llm.common import cut, small_batches, table, with_row_id
 
 TOKENIZER = "byte_bpe_50k.json"
 SIZE, END = 2048, 0
+#: Words whose ids a worker remembers.
+CACHE = 300_000
 #: Ranks within a length are dealt over so many groups, each ranked by itself; a length with a third of all pieces is no single task.
 DEAL = 64
 #: Ranks of a length that share a block key in the join with the plan.
@@ -56,7 +58,7 @@ def _words(path: str) -> WordIds:
     before = spec["pre_tokenizer"]
     level = before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and spec["normalizer"] is None
     if not level or any(spec["model"].get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")) or merged != list(range(256, 256 + len(merged))):
-        return WordIds(plain)
+        return WordIds(plain, CACHE)
     import tiktoken
 
     # the byte of each visible stand-in: printable Latin-1 stands for itself, the others are counted up from 256
@@ -64,7 +66,7 @@ def _words(path: str) -> WordIds:
     byte = {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*seen}))}
     ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in added}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return WordIds(lambda s: plain(s) if any(x in s for x in added) else fast(s))
+    return WordIds(lambda s: plain(s) if any(x in s for x in added) else fast(s), CACHE)
 
 
 def cut_pieces(ids: bytes, size: int = SIZE) -> list[tuple[int, int, int]]:

@@ -7,7 +7,7 @@ import importlib
 from leafmill.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "join02_apply_translations"
-MODULES = ["scans", "naming", "filters", "texts", "boxes", "records", "rollups", "safety", "layout", "jobs"]
+MODULES = ["scans", "naming", "filters", "texts", "boxes", "records", "rollups", "safety", "layout", "jobs", "containers", "streams"]
 
 
 def _load() -> None:

@@ -111,7 +111,7 @@ def slugs(spark, sf_dir):
 def data_url(spark, sf_dir):
     body = F.concat(F.when(F.col("page_id") % 2 == 0, F.unhex(F.lit("FFD8FF"))).otherwise(F.unhex(F.lit("89504E"))), F.encode("url", "utf-8"))
     mime = F.when(F.hex(F.substring(body, 1, 3)) == "FFD8FF", "image/jpeg").otherwise("image/png")
-    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(body)).alias("data_url"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.translate(F.base64(body), "\r\n", "")).alias("data_url"))
 
 
 _LONG = r"case page_id % 3 when 0 then '\\?\UNC\' || url when 1 then '\\?\C:\' || url else url end"

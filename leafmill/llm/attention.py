@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Units a window holds, and those of them that repeat the end of the window before as context.
-WINDOW, OVERLAP = 32, 6
+WINDOW, OVERLAP = 32, 4
 WIDTH = 16
 #: Classes of frequent subwords and members of each; classes that the other subwords share.
 HEADS, MEMBERS, TAILS = 32, 32, 16
@@ -76,7 +76,8 @@ def start(u: Units, seed: int = 6) -> Model:
     }
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+#: The most an attention score may be: LIMIT up to the place itself, nothing after it.
+_MOST = np.where(np.tri(WINDOW, dtype=bool), np.float32(LIMIT), np.float32(-1e9))
 
 
 def _hidden(m: Model, x: np.ndarray):
@@ -88,8 +89,7 @@ def _hidden(m: Model, x: np.ndarray):
     q, k, v = (np.dot(flat, m["qkv"][:, i * d : (i + 1) * d]).reshape(n, WINDOW, d) for i in range(3))
     q *= d**-0.5
     a = q @ k.transpose(0, 2, 1)
-    np.clip(a, -LIMIT, LIMIT, out=a)
-    a += _MASK.astype(a.dtype, copy=False)
+    np.minimum(a, _MOST, out=a)
     np.exp(a, out=a)
     c = a @ np.concatenate([v, np.ones((n, WINDOW, 1), v.dtype)], axis=2)  # the last column sums the weights
     total = c[:, :, d:]
@@ -109,28 +109,40 @@ def _soft(z: np.ndarray):
 
 def log_probs(m: Model, x: np.ndarray, group: np.ndarray, member: np.ndarray, inner: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """Natural log probabilities of the targets that ``keep`` marks, in order: x, group, member, inner, keep are (n, WINDOW)."""
-    h, _ = _hidden(m, x)
-    h, group, member, out = h[keep], group[keep], member[keep], inner[keep].copy()
-
-    def add(rows, z, target):
-        out[rows] += np.clip(z[np.arange(len(z)), target], -LIMIT, LIMIT)
-        np.clip(z, -LIMIT, LIMIT, out=z)
+    at = np.flatnonzero(keep)
+    back = np.empty(len(at), np.int64)
+    order = np.argsort(group.ravel()[at].astype(np.int8), kind="stable")
+    back[order] = np.arange(len(at))
+    at = at[order]
+    h = _hidden(m, x)[0].reshape(-1, WIDTH)[at]
+    group, member, out = group.ravel()[at], member.ravel()[at], inner.ravel()[at]
+
+    def add(s: slice, z, target):
+        out[s] += z[np.arange(len(z)), target]
         np.exp(z, out=z)
-        out[rows] -= np.log(z @ np.ones(z.shape[1], z.dtype))
+        out[s] -= np.log(z @ np.ones(z.shape[1], z.dtype))
 
     z = np.dot(h, m["class"])
     z += m["class0"]
     add(slice(None), z, group)
-    order = np.argsort(group.astype(np.int8), kind="stable")
-    h, member = h[order], member[order]
-    ends = np.searchsorted(group[order], np.arange(HEADS + 1))
+    ends = np.searchsorted(group, np.arange(HEADS + 1))
     for c in range(HEADS):
         s = slice(ends[c], ends[c + 1])
         if ends[c] < ends[c + 1]:
             z = np.dot(h[s], m["member"][c])
             z += m["member0"][c]
-            add(order[s], z, member[s])
-    return out
+            add(s, z, member[s])
+    return out[back]
+
+
+def bounded(m: Model) -> Model:
+    """The model with its read-out scaled where a logit could leave the range of exp: hidden states are within one."""
+    m = dict(m)
+    for w, b in (("class", "class0"), ("member", "member0")):
+        most = np.abs(m[w]).sum(axis=-2).max() + np.abs(m[b]).max()
+        if most > 2.6 * LIMIT:
+            m[w], m[b] = m[w] * np.float32(2.6 * LIMIT / most), m[b] * np.float32(2.6 * LIMIT / most)
+    return m
 
 
 def gradients(m: Model, x: np.ndarray, group: np.ndarray, member: np.ndarray, keep: np.ndarray) -> tuple[float, Model]:
@@ -170,7 +182,9 @@ def gradients(m: Model, x: np.ndarray, group: np.ndarray, member: np.ndarray, ke
     g["qkv"] = e.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d)
     de = dh + dqkv @ m["qkv"].T
     g["place"] = de.sum(axis=0)
-    np.add.at(g["embed"], x.reshape(-1), de.reshape(-1, d))
+    order = np.argsort(x, axis=None, kind="stable")
+    used, first = np.unique(x.ravel()[order], return_index=True)
+    g["embed"][used] = np.add.reduceat(de.reshape(-1, d)[order], first)
     return float(loss / n), g
 
 
@@ -213,9 +227,12 @@ def inputs(u: Units, ids: np.ndarray, lengths: np.ndarray, text: np.ndarray, fir
 def score(m: Model, u: Units, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log probability of each text."""
     text, first, scored = cut_windows(lengths)
-    out = np.zeros(len(lengths))
+    m, out = bounded(m), np.zeros(len(lengths))
     for at in range(0, len(text), BATCH):
         s = slice(at, at + BATCH)
         got = inputs(u, ids, lengths, text[s], first[s], scored[s])
-        np.add.at(out, np.repeat(text[s], got[4].sum(axis=1)), log_probs(m, *got))
+        # a window scores one unit at least, so every window has a sum of its own
+        n = got[4].sum(axis=1)
+        sums = np.add.reduceat(log_probs(m, *got), np.cumsum(n) - n, dtype=np.float64)
+        out += np.bincount(text[s], sums, len(lengths))
     return out

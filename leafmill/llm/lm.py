@@ -33,9 +33,9 @@ from leafmill.llm.common import cut, small_batches, table, with_row_id
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 HOT = 150_000
-STRIDE, SHARD, ROUNDS, RATES = 2000, 16_384, 2, (0.02, 0.01)
+STRIDE, SHARD, ROUNDS, RATES = 4000, 16_384, 3, (0.04, 0.015, 0.004)
 #: Words a task counts before it hands them on; floats of the model that travel together.
-FLUSH, CHUNK = 200_000, 8192
+FLUSH, CHUNK = 400_000, 8192
 #: Words whose subwords a worker remembers.
 CACHE = 150_000
 NOTHING = 0xFFFFFFFF

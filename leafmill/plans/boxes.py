@@ -11,7 +11,7 @@ from leafmill.plans.registry import query
 from leafmill.plans.standins import BOXES, boxes
 
 _WH = "least(x1 - x0, y1 - y0)"
-_ROW = F.struct("id", "x0", "y0", "x1", "y1")
+_FIELDS = ("id", "x0", "y0", "x1", "y1")
 
 
 def _pair(extra: str = "") -> str:
@@ -88,7 +88,7 @@ def same_text(spark, sf_dir):
 
 @query("geo10_convex_hull")
 def convex_hull(spark, sf_dir):
-    return boxes(spark, sf_dir).groupBy("page").agg(F.collect_list(_ROW).alias("b")).select("page", grouping.hull_udf("b").alias("hull"))
+    return boxes(spark, sf_dir).groupBy("page").agg(F.collect_list(F.struct(*_FIELDS)).alias("b")).select("page", grouping.hull_udf("b").alias("hull"))
 
 
 @query("geo11_to_page", f"with {BOXES} select page, id, least(greatest(round_even(x0 * 1.37::double, 0), 0), 559)::int as x, least(greatest(round_even(y0 * 0.73::double, 0), 0), 299)::int as y, greatest(32, (x1 // 32) * 32)::int as net from boxes")
@@ -140,7 +140,7 @@ def reading_order(spark, sf_dir):
 
 @query("geo17_line_order")
 def line_order(spark, sf_dir):
-    return boxes(spark, sf_dir).groupBy("page").agg(F.collect_list(_ROW).alias("b")).select("page", grouping.line_order("b").alias("ids"))
+    return boxes(spark, sf_dir).groupBy("page").agg(F.collect_list(F.struct(*_FIELDS)).alias("b")).select("page", grouping.line_order("b").alias("ids"))
 
 
 _LINES = f"""{BOXES}, v as (select page, 2 * count(*) filter (y1 - y0 > x1 - x0) > count(*) as up from boxes group by page),
@@ -175,7 +175,7 @@ def page_context(spark, sf_dir):
 
 @query("agg04_greedy_dedupe")
 def greedy_dedupe(spark, sf_dir):
-    return boxes(spark, sf_dir).groupBy("page").agg(F.collect_list(_ROW).alias("b")).select("page", F.explode(grouping.greedy_keep("b")).alias("id"))
+    return boxes(spark, sf_dir).groupBy("page").agg(F.collect_list(F.struct(*_FIELDS)).alias("b")).select("page", F.explode(grouping.greedy_keep("b")).alias("id"))
 
 
 @query("agg05_components", f"with recursive {BLOCKS} select page, id, block from blocks")
@@ -187,7 +187,7 @@ def components(spark, sf_dir):
 def _blocks(spark, sf_dir):
     b = boxes(spark, sf_dir)
     named = grouping.page_components(b, grouping.neighbour_edges(b)).join(b, ["page", "id"])
-    return named.groupBy("page", "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sort_array(F.collect_list("id")).alias("members"), F.collect_list(_ROW).alias("boxes"))
+    return named.groupBy("page", "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sort_array(F.collect_list("id")).alias("members"), F.collect_list(F.struct(*_FIELDS)).alias("boxes"))
 
 
 @query("agg06_absorb")

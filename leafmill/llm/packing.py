@@ -104,15 +104,18 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, in
         rank, left = 0, histogram[length]
         for free in [r for r in sorted(room) if r >= length]:
             runs, room[free] = room[free], []
+            most = free // length  # the room that a piece leaves is the smallest that fits as long as it fits
             while runs and left:
                 at, n = runs.pop()
-                take = min(n, left)
-                out.append((length, rank, take, at, size - free))
-                rank, left = rank + take, left - take
+                held = min(most, left)
+                take = min(n, left // held)
+                for k in range(held):
+                    out.append((length, rank + k * take, take, at, size - free + k * length))
+                rank, left = rank + held * take, left - held * take
                 if n > take:
                     runs.append((at + take, n - take))
-                if free > length:
-                    room[free - length].append((at, take))
+                if free > held * length:
+                    room[free - held * length].append((at, take))
             room[free] += runs
             if not room[free]:
                 del room[free]

@@ -123,6 +123,22 @@ def test_plan_on_random_histograms():
         assert sorted(room) == list(range(len(room)))
 
 
+def test_plan_fills_a_room_with_several_pieces_of_a_length():
+    made = lambda counts, size: max(s + n for _, _, n, s, _ in packing.plan(counts, size))
+    assert made({1100: 10, 300: 30}, 2048) == 10
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        counts = {int(n): int(c) for n, c in zip(rng.integers(1, 64, 6), rng.integers(1, 50, 6), strict=True)}
+        rooms = []
+        for length in sorted(counts, reverse=True):
+            for _ in range(counts[length]):
+                best = min((i for i, r in enumerate(rooms) if r >= length), key=lambda i: rooms[i], default=None)
+                if best is None:
+                    rooms.append(64)
+                rooms[-1 if best is None else best] -= length
+        assert made(counts, 64) == len(rooms)
+
+
 def brute_fingerprint(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     parts = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []

@@ -2,8 +2,9 @@
 
 From the training texts come: the count of every word (the base model, all of
 it), the count of every subword (the model's shared units and its start), and
-training windows, one per text and one more for every STRIDE words.  The windows are dealt into
-shards of SHARD; each round every shard is trained on by itself from the same
+training windows, cut as for scoring, so that every round trains on each unit of each text once.
+The windows travel in blocks of RUN and are dealt into
+shards of about SHARD; each round every shard is trained on by itself from the same
 weights, and the weights are averaged by windows, so work and what is gathered grow with the corpus while
 the model does not.  Scoring reads each text once: overlapping windows score each unit once.
 
@@ -33,12 +34,11 @@ from leafmill.llm.common import cut, small_batches, table, with_row_id
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 HOT = 150_000
-STRIDE, SHARD, ROUNDS, RATES = 4000, 16_384, 3, (0.04, 0.015, 0.004)
+RUN, SHARD, ROUNDS, RATES = 64, 16_384, 3, (0.04, 0.015, 0.004)
 #: Words a task counts before it hands them on; floats of the model that travel together.
 FLUSH, CHUNK = 400_000, 8192
 #: Words whose subwords a worker remembers.
 CACHE = 150_000
-NOTHING = 0xFFFFFFFF
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -110,44 +110,50 @@ def count_subwords(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def training_windows(docs: DataFrame, path: str) -> DataFrame:
-    """(at, ids) windows of ``docs`` (_row, text): the id before the window (NOTHING at a start), then up to WINDOW ids; ``at`` deals them out."""
+def training_windows(docs: DataFrame, path: str, u: attention.Units) -> DataFrame:
+    """(at, units) blocks of ``docs`` (_row, text): the unit before (START at a text's start), then those of up to RUN windows; ``at`` deals them out.
+
+    All windows of a text are in its blocks; a block begins with the OVERLAP units of context of its first window.
+    """
     end = np.array([_end(path)], np.uint32).tobytes()
-    size = attention.WINDOW
+    step = attention.WINDOW - attention.OVERLAP
+    most = (RUN - 1) * step + attention.WINDOW
+    unit = u.unit.astype(np.uint16)
 
     def cut_out(frames):
         import xxhash
 
+        subwords = _subwords(path)
         for frame in frames:
             at, out = [], []
             for row, text in zip(frame["_row"], frame["text"], strict=True):
-                words = words_of(text)
-                subwords = _subwords(path)
-                for k in range(1 + len(words) // STRIDE):
-                    h = xxhash.xxh64_intdigest(f"{row}:{k}", 42)
-                    first = h % max(len(words), 1)
-                    before = words[max(first - 1, 0) : first]
-                    some = words[first : first + size]
-                    ids = b"".join(map(subwords.__getitem__, some)) + (end if first + size >= len(words) else b"")
-                    last = subwords[before[0]][-4:] if before else np.array([NOTHING], np.uint32).tobytes()
-                    at.append(np.uint64(h).view(np.int64).item())
-                    out.append(last + ids[: 4 * size])
-            yield pd.DataFrame({"at": at, "ids": out})
-
-    return docs.select("_row", "text").mapInPandas(cut_out, "at long, ids binary")
-
-
-def _arrays(packed: list[bytes], u: attention.Units):
-    """Training arrays of windows."""
-    n = len(packed)
-    ids, keep = np.zeros((n, attention.WINDOW + 1), np.int64), np.zeros((n, attention.WINDOW), bool)
-    for i, p in enumerate(packed):
-        a = np.frombuffer(p, np.uint32)
-        ids[i, : len(a)], keep[i, : len(a) - 1] = a, True
-    first = ids[:, :-1] == NOTHING
-    ids[ids == NOTHING] = 0
-    x = np.where(first, attention.START, u.unit[ids[:, :-1]])
-    return x, u.group[ids[:, 1:]], u.member[ids[:, 1:]], keep
+                ids = np.frombuffer(b"".join(map(subwords.__getitem__, words_of(text))) + end, np.uint32)
+                units = np.concatenate([np.array([attention.START], np.uint16), unit[ids]])
+                windows = 1 + max(-(-(len(ids) - attention.WINDOW) // step), 0)
+                for k, first in enumerate(range(0, windows * step, RUN * step)):
+                    at.append(np.uint64(xxhash.xxh64_intdigest(f"{row}:{k}", 42)).view(np.int64).item())
+                    out.append(units[first : first + 1 + most].tobytes())
+            yield pd.DataFrame({"at": at, "units": out})
+
+    return docs.select("_row", "text").mapInPandas(cut_out, "at long, units binary")
+
+
+def _arrays(blocks: list[bytes]):
+    """Training arrays of the windows of blocks, in a fixed order that mixes them; each unit is kept once."""
+    parts = [np.frombuffer(b, np.uint16) for b in blocks]
+    flat = np.concatenate(parts).astype(np.int64)
+    size = np.array([len(p) for p in parts])
+    text, first, scored = attention.cut_windows(size - 1)
+    begins = np.array([p[0] == attention.START for p in parts])
+    scored = np.where(begins[text], scored, first + attention.OVERLAP)
+    mixed = np.random.default_rng(6).permutation(len(text))
+    text, first, scored = text[mixed], first[mixed], scored[mixed]
+    at = first[:, None] + np.arange(attention.WINDOW)
+    inside = at < (size - 1)[text][:, None]
+    place = np.where(inside, (np.cumsum(size) - size)[text][:, None] + at, 0)
+    now, heads = flat[place + 1], attention.HEADS * attention.MEMBERS
+    group = np.where(now < heads, now // attention.MEMBERS, now - heads + attention.HEADS)
+    return flat[place], group, np.where(now < heads, now % attention.MEMBERS, -1), inside & (at >= scored[:, None])
 
 
 def fit(docs: DataFrame, path: str, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[attention.Model, attention.Units]:
@@ -155,23 +161,27 @@ def fit(docs: DataFrame, path: str, counts: np.ndarray, rounds: int = ROUNDS) ->
     spark = docs.sparkSession
     u = attention.units(counts)
     model = attention.start(u)
-    windows = cut(training_windows(docs, path))
-    n = windows.count()
-    if not n:
+    texts = int(counts[_end(path)])
+    if not texts:
         return model, u
-    shards = -(-n // SHARD)
+    # a text has at most one window more than its units over the step
+    shards = -(-(int(counts.sum()) // (attention.WINDOW - attention.OVERLAP) + texts) // SHARD)
+    blocks = training_windows(docs, path, u).withColumn("shard", F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int"))
+    blocks = cut(blocks.repartition("shard"))
     names, shapes = list(model), {k: w.shape for k, w in model.items()}
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((model, u))
+        sent = spark.sparkContext.broadcast(model)
         rate = RATES[min(turn, len(RATES) - 1)]
 
         def trained(frame: pd.DataFrame, sent, rate: float) -> pd.DataFrame:
-            model, u = sent.value
+            model = sent.value
             frame = frame.sort_values("at", kind="stable")
-            got = attention.train(model, _arrays(list(frame["ids"]), u), rate)
+            windows = _arrays(list(frame["units"]))
+            n = len(windows[0])
+            got = attention.train(model, windows, rate)
             flat = np.concatenate([got[k].ravel() for k in names])
             parts = [flat[i : i + CHUNK] for i in range(0, len(flat), CHUNK)]
-            return pd.DataFrame({"part": range(len(parts)), "shard": int(frame["shard"].iloc[0]), "n": len(frame), "w": [(p.astype(np.float64) * len(frame)).tobytes() for p in parts]})
+            return pd.DataFrame({"part": range(len(parts)), "shard": int(frame["shard"].iloc[0]), "n": n, "w": [(p.astype(np.float64) * n).tobytes() for p in parts]})
 
         def shard(sent, rate: float):
             return lambda frame: trained(frame, sent, rate)
@@ -182,7 +192,7 @@ def fit(docs: DataFrame, path: str, counts: np.ndarray, rounds: int = ROUNDS) ->
             return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "shard": [int(frame["shard"].iloc[0])], "n": [int(frame["n"].sum())], "w": [total.tobytes()]})
 
         schema = "part int, shard int, n long, w binary"
-        made = windows.withColumn("shard", F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(shard(sent, rate), schema)
+        made = blocks.groupBy("shard").applyInPandas(shard(sent, rate), schema)
         # averaged in two steps, so no task gets more than the square root of all shards or so
         some = made.groupBy("part", F.pmod("shard", F.lit(max(1, math.isqrt(shards)))).alias("g")).applyInPandas(summed, schema)
         parts = some.groupBy("part").applyInPandas(summed, schema).orderBy("part").collect()

@@ -384,6 +384,22 @@ def test_windows_score_each_unit_once():
         assert (seen == 1).all()
 
 
+def test_training_windows_cover_each_unit_once(spark):
+    rng = np.random.default_rng(5)
+    docs = ["", "a", *[" ".join(f"w{x}" for x in rng.integers(0, 3000, n)) for n in (5, 31, 32, 33, 900, 20_000)]]
+    path = public_tokenizers.path(lm.RANKS)
+    ids = [[*(x for w in lm.words_of(t) for x in np.frombuffer(lm._subwords(path)[w], np.uint32)), lm._end(path)] for t in docs]
+    counts = np.bincount([x for i in ids for x in i], minlength=lm._end(path) + 1)
+    u = attention.units(counts)
+    blocks = [bytes(r.units) for r in lm.training_windows(spark.createDataFrame(list(enumerate(docs)), "_row long, text string"), path, u).collect()]
+    x, group, member, keep = lm._arrays(blocks)
+    pairs = lambda a, g, m: collections.Counter(zip(a.tolist(), g.tolist(), m.tolist(), strict=True))
+    want = sum((pairs(np.array([attention.START, *u.unit[i[:-1]]]), u.group[i], u.member[i]) for i in ids), collections.Counter())
+    assert keep.sum() == counts.sum() and pairs(x[keep], group[keep], member[keep]) == want
+    # a unit after the first window's has context
+    assert all(k[: attention.OVERLAP].sum() in (0, min(attention.OVERLAP, k.sum())) for k in keep)
+
+
 def test_pipeline_stages_keep_columns(spark, odd):
     import corpus_pipeline
 

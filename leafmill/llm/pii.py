@@ -5,9 +5,10 @@ positions from the gaps between matches.  They seed the second part: the words
 left and right of a seed are lexical patterns.  Patterns and the identifier-like
 tokens that stand in them form a graph, and scores go to and fro for ROUNDS
 rounds: a pattern's score is the share of its occurrences that are (likely)
-personal, a token's the mean over its patterns.  Patterns with a high score and
-enough different seeds are trusted, and the unknown tokens in their context are
-spans of kind "id".
+personal, a token's the mean over its patterns.  A token whose mean over the patterns
+with enough different seeds is high is a seed from the next round on.  Patterns with a high score and
+enough different seeds are trusted; the unknown tokens in their context, and
+tokens that became seeds wherever they stand, are spans of kind "id".
 
 All is DataFrame expressions; texts are read once, the graph is aggregated by shuffles,
 and sums are whole numbers, so that no result depends on the order of rows.
@@ -101,29 +102,32 @@ def marked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seen", seen).drop("_t", "_d", "_all")
 
 
-def trusted(seen: DataFrame) -> DataFrame:
-    """Patterns to trust, from ``seen`` (instance, kind, patterns), by scores that go round the pattern-instance graph."""
+def trusted(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patterns and instances to trust, from ``seen`` (instance, kind, patterns), by scores that go round the pattern-instance graph."""
     edges = seen.select("instance", (F.col("kind") < 4).alias("seed"), F.explode("patterns").alias("pattern"))
     edges = cut(edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
     known = edges.select("pattern", "instance", "n", "seed", F.when(F.col("seed"), ONE).otherwise(0).cast("long").alias("s"))
     for turn in range(ROUNDS):
-        score = known.groupBy("pattern").agg(F.expr("sum(cast(n as decimal(38,0)) * s) div (sum(n) + 1)").cast("long").alias("p"), F.count_if("seed").alias("seeds"))
-        if turn == ROUNDS - 1:
-            return score.where((F.col("p") >= TRUST) & (F.col("seeds") >= SEEDS)).select("pattern")
-        scored = lookup_join(edges, cut(score.select("pattern", "p")), ["pattern"])
-        value = scored.groupBy("instance").agg(F.expr("sum(cast(n as decimal(38,0)) * p) div sum(n)").cast("long").alias("v"))
-        known = cut(lookup_join(edges, cut(value), ["instance"]).select("pattern", "instance", "n", "seed", F.when(F.col("seed"), ONE).otherwise(F.col("v")).cast("long").alias("s")))
-    raise AssertionError
+        score = cut(known.groupBy("pattern").agg(F.expr("sum(cast(n as decimal(38,0)) * s) div (sum(n) + 1)").cast("long").alias("p"), F.count_if("seed").alias("seeds")))
+        scored = lookup_join(edges, score, ["pattern"])
+        held = f"coalesce(sum(cast(n as decimal(38,0)) * p) filter (where seeds >= {SEEDS}) div sum(n) filter (where seeds >= {SEEDS}) >= {TRUST}, false)"
+        value = cut(scored.groupBy("instance").agg(F.expr("sum(cast(n as decimal(38,0)) * p) div sum(n)").cast("long").alias("v"), F.expr(held).alias("found")))
+        if turn < ROUNDS - 1:
+            known = lookup_join(edges, value, ["instance"]).withColumn("seed", F.col("seed") | F.col("found"))
+            known = cut(known.select("pattern", "instance", "n", "seed", F.when(F.col("seed"), ONE).otherwise(F.col("v")).cast("long").alias("s")))
+    return score.where((F.col("p") >= TRUST) & (F.col("seeds") >= SEEDS)).select("pattern"), value.where("found").select("instance")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(_row, the columns of ``docs`` but text, base, spans) for ``docs`` (_row, text, ...); spans holds base ones and those found by context."""
     keep = [c for c in docs.columns if c != "text"]
-    slim = cut(marked(docs).select(*keep, "base", F.filter("seen", lambda s: F.size(s["patterns"]) > 0).alias("seen")))
+    slim = cut(marked(docs).select(*keep, "base", "seen"))
     each = slim.where(F.size("seen") > 0).select("_row", F.explode("seen").alias("s")).select("_row", "s.*")
-    good = cut(trusted(each))
-    tokens = each.where(F.col("kind") == 4).select("_row", "start", "kind", "end", F.explode("patterns").alias("pattern"))
-    more = lookup_join(tokens, good, ["pattern"], "left_semi").select("_row", F.struct("start", "kind", "end").alias("s"))
+    good, ids = trusted(each)
+    tokens = each.where(F.col("kind") == 4)
+    span = F.struct("start", "kind", "end").alias("s")
+    more = lookup_join(tokens.withColumn("pattern", F.explode("patterns")), cut(good), ["pattern"], "left_semi").select("_row", span)
+    more = more.union(lookup_join(tokens, cut(ids), ["instance"], "left_semi").select("_row", span))
     more = more.groupBy("_row").agg(F.collect_set("s").alias("more"))
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
     return slim.drop("seen").join(more, "_row", "left").withColumn("spans", spans).drop("more")

@@ -222,6 +222,14 @@ def test_pii_context_finds_and_leaves_alone(spark):
     assert found[50] == [4] and found[51] == [] and found[52] == [] and found[0] == [0]
 
 
+def test_pii_found_identifiers_are_seeds_and_marked_everywhere(spark):
+    rows = [(i, f"please contact user{i}@mail{i}.example.com today") for i in range(30)]
+    rows += [(100 + i, f"please contact AB12CD{i}4EF today") for i in range(8)] + [(200 + i, f"badge AB12CD{i}4EF issued") for i in range(8)]
+    rows += [(300, "badge ZZ77YY88 issued"), (301, "serial AB12CD34EF here"), (302, "AB12CD04EF"), (303, "serial QQ99CD99EF here")]
+    found = {r._row: [s.kind for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "_row long, text string")).collect()}
+    assert all(found[i] == [4] for i in (*range(100, 108), *range(200, 208), 300, 301, 302)) and found[303] == []
+
+
 def test_pii_redacts(spark, odd):
     docs = spark.createDataFrame([(1, "call +1 (415) 555-0000 or a@b.com", "en", "s", 33)], "doc_id long, text string, lang string, source string, n_chars long")
     r = pii.redact(spark, docs).collect()[0]

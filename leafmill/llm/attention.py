@@ -1,27 +1,46 @@
 """A small causal self-attention language model in numpy.
 
-One attention layer over windows of WINDOW units, read out through two levels:
+One attention layer with relative places over windows of units, read out through two levels:
 a class of units, then the unit within its class.  Frequent subwords are units
 of their own; the others share units by frequency and are told apart by their
 corpus counts, so that all subwords together have probability one.
+
+A window predicts STEP units; its keys are those units' inputs and the OVERLAP
+inputs before them, so every unit is predicted once and has that much context at
+least.  A unit's query, key and value depend on the unit alone: they are looked
+up in a table of all units that is computed once per batch.
 """
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import glob
+import os
 from typing import NamedTuple
 
 import numpy as np
 
-#: Units a window holds, and those of them that repeat the end of the window before as context.
-WINDOW, OVERLAP = 32, 6
+#: Inputs a window sees, and those of them that only give context.
+WINDOW, OVERLAP = 32, 8
+STEP = WINDOW - OVERLAP
 WIDTH = 16
 #: Classes of frequent subwords and members of each; classes that the other subwords share.
 HEADS, MEMBERS, TAILS = 32, 32, 16
 CLASSES = HEADS + TAILS
 START = HEADS * MEMBERS + TAILS
 LIMIT = 30.0
-#: Windows computed at a time.
-BATCH = 512
+#: Windows scored at a time, and windows of a training step; rows of a chunk of targets.
+BATCH, TRAIN, CHUNK = 512, 96, 16
+
+
+@functools.cache
+def one_thread() -> None:
+    """Tasks share an executor's cores: threads of the matrix library would only wait for each other."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        call = getattr(ctypes.CDLL(path), "scipy_openblas_set_num_threads64_", None)
+        if call:
+            call(1)
 
 
 class Units(NamedTuple):
@@ -40,14 +59,14 @@ def units(counts: np.ndarray) -> Units:
     n = len(counts)
     weight = counts.astype(np.float64) + 1
     order = np.argsort(-weight, kind="stable")
-    group, member, inner, unit = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n), np.zeros(n, np.int64)
+    group, member, inner, unit = np.zeros(n, np.int8), np.full(n, -1, np.int8), np.zeros(n), np.zeros(n, np.uint16)
     top = order[: HEADS * MEMBERS]
     group[top], member[top], unit[top] = np.arange(len(top)) // MEMBERS, np.arange(len(top)) % MEMBERS, np.arange(len(top))
     rest = order[HEADS * MEMBERS :]
     if len(rest):
         share = np.cumsum(weight[rest]) / weight[rest].sum()
         group[rest] = HEADS + np.minimum((share * TAILS).astype(np.int64), TAILS - 1)
-        unit[rest] = group[rest] - HEADS + HEADS * MEMBERS
+        unit[rest] = group[rest].astype(np.int64) - HEADS + HEADS * MEMBERS
     mass = np.bincount(group, weight, CLASSES)
     inner[rest] = np.log(weight[rest] / mass[group[rest]])
     head = np.full((HEADS, MEMBERS), -LIMIT)
@@ -66,9 +85,8 @@ def start(u: Units, seed: int = 6) -> Model:
     d = WIDTH
     return {
         "embed": new(START + 1, d, by=0.5),
-        "place": new(WINDOW, d, by=0.1),
         "qkv": new(d, 3 * d, by=d**-0.5),
-        "mix": new(d, d, by=d**-0.5),
+        "place": (-0.3 * np.arange(WINDOW)).astype(np.float32),
         "class": new(d, CLASSES, by=0.05),
         "class0": u.mass.astype(np.float32),
         "member": new(HEADS, d, MEMBERS, by=0.05),
@@ -76,63 +94,83 @@ def start(u: Units, seed: int = 6) -> Model:
     }
 
 
-#: The most an attention score may be: LIMIT up to the place itself, nothing after it.
-_MOST = np.where(np.tri(WINDOW, dtype=bool), np.float32(LIMIT), np.float32(-1e9))
+#: How far back each key of a window lies from each query; negative after it.
+_BACK = np.arange(STEP)[:, None] + OVERLAP - np.arange(WINDOW)
+
 
+def _hidden(m: Model, x: np.ndarray, begins: np.ndarray):
+    """Hidden states (n, STEP, WIDTH) of windows of input units (n, WINDOW), with what the way back needs.
 
-def _hidden(m: Model, x: np.ndarray):
-    """Hidden states (n, WINDOW, WIDTH) of windows of input units, with what the way back needs."""
-    d, n = WIDTH, len(x)
-    e = m["embed"][x]
-    e += m["place"]
-    flat = e.reshape(-1, d)
-    q, k, v = (np.dot(flat, m["qkv"][:, i * d : (i + 1) * d]).reshape(n, WINDOW, d) for i in range(3))
-    q *= d**-0.5
+    ``begins`` marks windows that start a text: their context is hidden.
+    """
+    d = WIDTH
+    table = np.concatenate([m["embed"], m["embed"] @ m["qkv"], np.ones((START + 1, 1), m["embed"].dtype)], axis=1)
+    table[:, d : 2 * d] *= d**-0.5
+    t = np.take(table, x, axis=0)
+    e, q, k, v = t[:, OVERLAP:, :d], t[:, OVERLAP:, d : 2 * d], t[:, :, 2 * d : 3 * d], t[:, :, 3 * d :]
     a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, _MOST, out=a)
+    a += np.where(_BACK >= 0, m["place"][np.maximum(_BACK, 0)], a.dtype.type(-1e9))
+    a[begins, :, :OVERLAP] = -1e9
+    np.minimum(a, LIMIT, out=a)
     np.exp(a, out=a)
-    c = a @ np.concatenate([v, np.ones((n, WINDOW, 1), v.dtype)], axis=2)  # the last column sums the weights
+    c = a @ v  # the last column sums the weights
     total = c[:, :, d:]
     c = c[:, :, :d] / total
-    h = np.dot(c.reshape(-1, d), m["mix"]).reshape(n, WINDOW, d)
-    h += e
+    h = e + c
     np.tanh(h, out=h)
-    return h, (x, e, q, k, v, a, total, c)
+    return h, (t, a, total, c)
 
 
-def _soft(z: np.ndarray):
-    np.clip(z, -LIMIT, LIMIT, out=z)
-    np.exp(z, out=z)
-    s = z.sum(axis=1)
-    return z, s
+class _Targets(NamedTuple):
+    """Kept targets by class, and those of head classes in chunks of CHUNK rows of one class, so that all classes are one batch."""
 
+    at: np.ndarray  # flat place
+    group: np.ndarray
+    heads: int  # so many are of head classes
+    slot: np.ndarray  # of those: row in the chunks
+    member: np.ndarray
+    owner: np.ndarray  # class of each chunk
 
-def log_probs(m: Model, x: np.ndarray, group: np.ndarray, member: np.ndarray, inner: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of the targets that ``keep`` marks, in order: x, group, member, inner, keep are (n, WINDOW)."""
+
+def _targets(group: np.ndarray, member: np.ndarray, keep: np.ndarray) -> _Targets:
     at = np.flatnonzero(keep)
-    back = np.empty(len(at), np.int64)
-    order = np.argsort(group.ravel()[at].astype(np.int8), kind="stable")
-    back[order] = np.arange(len(at))
-    at = at[order]
-    h = _hidden(m, x)[0].reshape(-1, WIDTH)[at]
-    group, member, out = group.ravel()[at], member.ravel()[at], inner.ravel()[at]
-
-    def add(s: slice, z, target):
-        out[s] += z[np.arange(len(z)), target]
+    at = at[np.argsort(group.ravel()[at], kind="stable")]
+    of = group.ravel()[at].astype(np.intp)
+    count = np.bincount(of, minlength=CLASSES)[:HEADS]
+    heads, chunks = int(count.sum()), -(-count // CHUNK)
+    shift = (np.cumsum(chunks) - chunks) * CHUNK - (np.cumsum(count) - count)
+    return _Targets(at, of, heads, np.arange(heads) + shift[of[:heads]], member.ravel()[at[:heads]].astype(np.intp), np.repeat(np.arange(HEADS), chunks))
+
+
+def _member_logits(m: Model, t: _Targets, h: np.ndarray):
+    """Rows of hidden states in chunks, and their logits within their class."""
+    rows = np.zeros((len(t.owner) * CHUNK, WIDTH), h.dtype)
+    rows[t.slot] = h[: t.heads]
+    rows = rows.reshape(-1, CHUNK, WIDTH)
+    z = rows @ m["member"][t.owner]
+    z += m["member0"][t.owner][:, None, :]
+    return rows, z.reshape(-1, MEMBERS)
+
+
+def log_probs(m: Model, x: np.ndarray, begins: np.ndarray, group: np.ndarray, member: np.ndarray, inner: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Natural log probabilities (n, STEP) of the targets that ``keep`` marks, 0 elsewhere."""
+    t = _targets(group, member, keep)
+    h = np.take(_hidden(m, x, begins)[0].reshape(-1, WIDTH), t.at, axis=0)
+    out = inner.ravel()[t.at]
+
+    def log_soft(z, rows, target):
+        got = z[rows, target]
         np.exp(z, out=z)
-        out[s] -= np.log(z @ np.ones(z.shape[1], z.dtype))
+        return got - np.log(z @ np.ones(z.shape[1], z.dtype))[rows]
 
-    z = np.dot(h, m["class"])
+    z = h @ m["class"]
     z += m["class0"]
-    add(slice(None), z, group)
-    ends = np.searchsorted(group, np.arange(HEADS + 1))
-    for c in range(HEADS):
-        s = slice(ends[c], ends[c + 1])
-        if ends[c] < ends[c + 1]:
-            z = np.dot(h[s], m["member"][c])
-            z += m["member0"][c]
-            add(s, z, member[s])
-    return out[back]
+    out += log_soft(z, np.arange(len(z)), t.group)
+    if t.heads:
+        out[: t.heads] += log_soft(_member_logits(m, t, h)[1], t.slot, t.member)
+    whole = np.zeros(keep.shape, out.dtype)
+    whole.ravel()[t.at] = out
+    return whole
 
 
 def bounded(m: Model) -> Model:
@@ -145,51 +183,69 @@ def bounded(m: Model) -> Model:
     return m
 
 
-def gradients(m: Model, x: np.ndarray, group: np.ndarray, member: np.ndarray, keep: np.ndarray) -> tuple[float, Model]:
+def gradients(m: Model, x: np.ndarray, begins: np.ndarray, group: np.ndarray, member: np.ndarray, keep: np.ndarray) -> tuple[float, Model]:
     """Mean loss (without the shared units' inner part) and its gradients."""
-    h, (x, e, q, k, v, a, total, c) = _hidden(m, x)
-    a = a / total
+    d = WIDTH
+    h, (t, a, total, c) = _hidden(m, x, begins)
     g = {n: np.zeros_like(w) for n, w in m.items()}
-    flat, grp, mem = h[keep], group[keep], member[keep]
-    n = max(len(flat), 1)
-    z, s = _soft(flat @ m["class"] + m["class0"])
-    p = z / s[:, None]
-    loss = -np.log(p[np.arange(len(p)), grp]).sum()
-    p[np.arange(len(p)), grp] -= 1
-    p /= n
-    g["class"], g["class0"] = flat.T @ p, p.sum(axis=0)
+    to = _targets(group, member, keep)
+    flat = np.take(h.reshape(-1, d), to.at, axis=0)
+    n = max(len(to.at), 1)
+
+    def softmax(z, rows, target):
+        """Turns logits into the loss's gradient by them, 0 in rows without a target; returns the loss."""
+        np.minimum(z, LIMIT, out=z)
+        np.exp(z, out=z)
+        sums = z @ np.ones(z.shape[1], z.dtype)
+        share = np.zeros(len(z), z.dtype)
+        share[rows] = 1 / (n * sums[rows])
+        lost = np.log(sums[rows] / z[rows, target]).sum()
+        z *= share[:, None]
+        z[rows, target] -= 1 / n
+        return lost
+
+    p = flat @ m["class"]
+    p += m["class0"]
+    loss = softmax(p, np.arange(len(p)), to.group)
+    g["class"], g["class0"] = flat.T @ p, np.ones(len(p), p.dtype) @ p
     back = p @ m["class"].T
-    for i in range(HEADS):
-        rows = np.flatnonzero(grp == i)
-        if len(rows):
-            z, s = _soft(flat[rows] @ m["member"][i] + m["member0"][i])
-            p = z / s[:, None]
-            loss -= np.log(p[np.arange(len(p)), mem[rows]]).sum()
-            p[np.arange(len(p)), mem[rows]] -= 1
-            p /= n
-            g["member"][i], g["member0"][i] = flat[rows].T @ p, p.sum(axis=0)
-            back[rows] += p @ m["member"][i].T
-    dh = np.zeros_like(h)
-    dh[keep] = back
-    dh *= 1 - h * h
-    d = WIDTH
-    g["mix"] = c.reshape(-1, d).T @ dh.reshape(-1, d)
-    dc = dh @ m["mix"].T
-    dv = a.transpose(0, 2, 1) @ dc
-    da = dc @ v.transpose(0, 2, 1)
-    da = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dqkv = np.concatenate([da @ k * WIDTH**-0.5, da.transpose(0, 2, 1) @ q, dv], axis=2)
-    g["qkv"] = e.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d)
-    de = dh + dqkv @ m["qkv"].T
-    g["place"] = de.sum(axis=0)
+    if to.heads:
+        rows, p = _member_logits(m, to, flat)
+        loss += softmax(p, to.slot, to.member)
+        p = p.reshape(-1, CHUNK, MEMBERS)
+        new = np.flatnonzero(np.r_[True, to.owner[1:] != to.owner[:-1]])
+        g["member"][to.owner[new]] = np.add.reduceat(rows.transpose(0, 2, 1) @ p, new, axis=0)
+        g["member0"][to.owner[new]] = np.add.reduceat(np.ones((1, CHUNK), p.dtype) @ p, new, axis=0)[:, 0]
+        back[: to.heads] += (p @ m["member"][to.owner].transpose(0, 2, 1)).reshape(-1, d)[to.slot]
+    back *= 1 - flat * flat
+    dh = np.zeros((len(x) * STEP, d), h.dtype)
+    dh[to.at] = back
+    dh = dh.reshape(-1, STEP, d)
+    # of the query, key and value of each input
+    by = np.empty((len(x), WINDOW, 3 * d), h.dtype)
+    by[:, :OVERLAP, :d] = 0
+    a /= total
+    np.matmul(a.transpose(0, 2, 1), dh, out=by[:, :, 2 * d :])
+    da = dh @ t[:, :, 3 * d : 4 * d].transpose(0, 2, 1)
+    da -= (dh * c) @ np.ones((d, 1), h.dtype)
+    da *= a
+    np.matmul(da, t[:, :, 2 * d : 3 * d], out=by[:, OVERLAP:, :d])
+    by[:, :, :d] *= d**-0.5
+    np.matmul(da.transpose(0, 2, 1), t[:, OVERLAP:, d : 2 * d], out=by[:, :, d : 2 * d])
+    g["place"] = np.bincount(np.maximum(_BACK, 0).ravel(), np.where(_BACK >= 0, da.sum(axis=0), 0).ravel(), WINDOW).astype(h.dtype)
+    by = by.reshape(-1, 3 * d)
+    g["qkv"] = np.take(m["embed"], x.ravel(), axis=0).T @ by
+    de = (by @ m["qkv"].T).reshape(-1, WINDOW, d)
+    de[:, OVERLAP:] += dh
     order = np.argsort(x, axis=None, kind="stable")
-    used, first = np.unique(x.ravel()[order], return_index=True)
-    g["embed"][used] = np.add.reduceat(de.reshape(-1, d)[order], first)
+    used = x.ravel()[order]
+    first = np.flatnonzero(np.r_[True, used[1:] != used[:-1]])
+    g["embed"][used[first]] = np.add.reduceat(np.take(de.reshape(-1, d), order, axis=0), first, axis=0)
     return float(loss / n), g
 
 
 def train(m: Model, windows: tuple[np.ndarray, ...], rate: float = 0.01, batch: int = 32) -> Model:
-    """One pass of Adam over windows (x, group, member, keep); returns new weights."""
+    """One pass of Adam over windows (x, begins, group, member, keep); returns new weights."""
     m = {n: w.copy() for n, w in m.items()}
     one, two = ({n: np.zeros_like(w) for n, w in m.items()} for _ in range(2))
     for step, at in enumerate(range(0, len(windows[0]), batch), 1):
@@ -201,38 +257,31 @@ def train(m: Model, windows: tuple[np.ndarray, ...], rate: float = 0.01, batch:
     return m
 
 
-def cut_windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows over texts of ``lengths`` units that lie one after the other: text, first unit within it, first unit it scores.
-
-    Each unit is scored once: by the first window that reaches it with full context.
-    """
-    step = WINDOW - OVERLAP
-    count = 1 + np.maximum(-(-(lengths - WINDOW) // step), 0)
+def cut_windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows over texts of ``lengths`` units that lie one after the other: text, and first unit within it that it scores."""
+    count = -(-lengths // STEP)
     text = np.repeat(np.arange(len(lengths)), count)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    return text, nth * step, nth * step + np.where(nth > 0, OVERLAP, 0)
+    return text, nth * STEP
 
 
-def inputs(u: Units, ids: np.ndarray, lengths: np.ndarray, text: np.ndarray, first: np.ndarray, scored: np.ndarray):
-    """(x, group, member, inner, keep) of windows; ``ids`` are the texts' subwords one after the other."""
+def inputs(u: Units, ids: np.ndarray, lengths: np.ndarray, text: np.ndarray, first: np.ndarray):
+    """(x, begins, group, member, inner, keep) of windows; ``ids`` are the texts' subwords one after the other."""
     base = (np.cumsum(lengths) - lengths)[text]
-    at = first[:, None] + np.arange(WINDOW)
-    inside = at < lengths[text][:, None]
-    place = np.where(inside, base[:, None] + at, 0)
-    now = ids[place]
-    x = np.where(at > 0, u.unit[ids[np.maximum(place - 1, 0)]], START)
-    return x, u.group[now], u.member[now], u.inner[now], inside & (at >= scored[:, None])
+    at = first[:, None] + np.arange(-OVERLAP, STEP)
+    place = np.clip(base[:, None] + at, 0, len(ids) - 1)
+    x = np.where(at > 0, u.unit[ids[np.maximum(place - 1, 0)]], np.uint16(START))
+    now = ids[place[:, OVERLAP:]]
+    return x, first == 0, u.group[now], u.member[now], u.inner[now], at[:, OVERLAP:] < lengths[text][:, None]
 
 
 def score(m: Model, u: Units, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log probability of each text."""
-    text, first, scored = cut_windows(lengths)
+    one_thread()
+    text, first = cut_windows(lengths)
     m, out = bounded(m), np.zeros(len(lengths))
     for at in range(0, len(text), BATCH):
         s = slice(at, at + BATCH)
-        got = inputs(u, ids, lengths, text[s], first[s], scored[s])
-        # a window scores one unit at least, so every window has a sum of its own
-        n = got[4].sum(axis=1)
-        sums = np.add.reduceat(log_probs(m, *got), np.cumsum(n) - n, dtype=np.float64)
-        out += np.bincount(text[s], sums, len(lengths))
+        got = log_probs(m, *inputs(u, ids, lengths, text[s], first[s]))
+        out += np.bincount(text[s], got.sum(axis=1, dtype=np.float64), len(lengths))
     return out

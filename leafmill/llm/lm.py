@@ -2,13 +2,13 @@
 
 From the training texts come: the count of every word (the base model, all of
 it), the count of every subword (the model's shared units and its start), and
-training windows, cut as for scoring, so that every round trains on each unit of each text once.
-The windows travel in blocks of RUN and are dealt into
-shards of about SHARD; each round every shard is trained on by itself from the same
+training windows, cut as for scoring.  The windows travel in blocks of RUN that are dealt by
+hash to ROUNDS rounds and to shards of about SHARD windows: training is one pass over every unit of
+every training text.  In a round every shard is trained on by itself from the same
 weights, and the weights are averaged by windows, so work and what is gathered grow with the corpus while
 the model does not.  Scoring reads each text once: overlapping windows score each unit once.
 
-Counts of the HOT most frequent words travel with the tasks; what is left of a text is
+Counts of the most frequent words (HOT at most) travel with the tasks; what is left of a text is
 joined with the whole table of words, so that every count is exact.
 
 Texts: null, empty and blank ones are one end token.  A null doc_id is not held
@@ -34,7 +34,7 @@ from leafmill.llm.common import cut, small_batches, table, with_row_id
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 HOT = 150_000
-RUN, SHARD, ROUNDS, RATES = 64, 16_384, 3, (0.04, 0.015, 0.004)
+RUN, SHARD, ROUNDS, RATES = 64, 131_072, 3, (0.03, 0.015, 0.005)
 #: Words a task counts before it hands them on; floats of the model that travel together.
 FLUSH, CHUNK = 400_000, 8192
 #: Words whose subwords a worker remembers.
@@ -110,15 +110,14 @@ def count_subwords(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def training_windows(docs: DataFrame, path: str, u: attention.Units) -> DataFrame:
-    """(at, units) blocks of ``docs`` (_row, text): the unit before (START at a text's start), then those of up to RUN windows; ``at`` deals them out.
+def training_blocks(docs: DataFrame, path: str, u: attention.Units) -> DataFrame:
+    """(at, units) blocks of ``docs`` (_row, text), each the inputs of up to RUN windows and the last target; ``at`` deals them out.
 
-    All windows of a text are in its blocks; a block begins with the OVERLAP units of context of its first window.
+    All windows of a text are in its blocks.  A text's first block begins with START, the others with OVERLAP inputs of context.
     """
     end = np.array([_end(path)], np.uint32).tobytes()
-    step = attention.WINDOW - attention.OVERLAP
-    most = (RUN - 1) * step + attention.WINDOW
-    unit = u.unit.astype(np.uint16)
+    size = RUN * attention.STEP
+    unit = u.unit
 
     def cut_out(frames):
         import xxhash
@@ -129,31 +128,30 @@ def training_windows(docs: DataFrame, path: str, u: attention.Units) -> DataFram
             for row, text in zip(frame["_row"], frame["text"], strict=True):
                 ids = np.frombuffer(b"".join(map(subwords.__getitem__, words_of(text))) + end, np.uint32)
                 units = np.concatenate([np.array([attention.START], np.uint16), unit[ids]])
-                windows = 1 + max(-(-(len(ids) - attention.WINDOW) // step), 0)
-                for k, first in enumerate(range(0, windows * step, RUN * step)):
-                    at.append(np.uint64(xxhash.xxh64_intdigest(f"{row}:{k}", 42)).view(np.int64).item())
-                    out.append(units[first : first + 1 + most].tobytes())
+                for first in range(0, len(ids), size):
+                    at.append(np.uint64(xxhash.xxh64_intdigest(f"{row}:{first}", 42)).view(np.int64).item())
+                    out.append(units[max(first - attention.OVERLAP, 0) : first + size + 1].tobytes())
             yield pd.DataFrame({"at": at, "units": out})
 
     return docs.select("_row", "text").mapInPandas(cut_out, "at long, units binary")
 
 
-def _arrays(blocks: list[bytes]):
-    """Training arrays of the windows of blocks, in a fixed order that mixes them; each unit is kept once."""
+def training_arrays(blocks: list[bytes]):
+    """Training arrays (x, begins, group, member, keep) of the windows of blocks, in a fixed order that mixes them."""
     parts = [np.frombuffer(b, np.uint16) for b in blocks]
-    flat = np.concatenate(parts).astype(np.int64)
-    size = np.array([len(p) for p in parts])
-    text, first, scored = attention.cut_windows(size - 1)
-    begins = np.array([p[0] == attention.START for p in parts])
-    scored = np.where(begins[text], scored, first + attention.OVERLAP)
-    mixed = np.random.default_rng(6).permutation(len(text))
-    text, first, scored = text[mixed], first[mixed], scored[mixed]
-    at = first[:, None] + np.arange(attention.WINDOW)
-    inside = at < (size - 1)[text][:, None]
-    place = np.where(inside, (np.cumsum(size) - size)[text][:, None] + at, 0)
-    now, heads = flat[place + 1], attention.HEADS * attention.MEMBERS
-    group = np.where(now < heads, now // attention.MEMBERS, now - heads + attention.HEADS)
-    return flat[place], group, np.where(now < heads, now % attention.MEMBERS, -1), inside & (at >= scored[:, None])
+    flat, size = np.concatenate(parts), np.array([len(p) for p in parts])
+    context = np.where(np.array([p[0] == attention.START for p in parts]), 0, attention.OVERLAP)
+    block, first = attention.cut_windows(size - 1 - context)
+    mixed = np.random.default_rng(6).permutation(len(block))
+    block, first = block[mixed], first[mixed]
+    begins = (first == 0) & (context[block] == 0)
+    at = (first + context[block] + (np.cumsum(size) - size)[block])[:, None] + np.arange(-attention.OVERLAP, attention.STEP)
+    x = np.take(flat, at, mode="clip")
+    now = np.take(flat, at[:, attention.OVERLAP :] + 1, mode="clip")
+    keep = at[:, attention.OVERLAP :] + 1 < np.cumsum(size)[block][:, None]
+    heads = attention.HEADS * attention.MEMBERS
+    group = np.where(now < heads, now // attention.MEMBERS, now - np.uint16(heads - attention.HEADS)).astype(np.int8)
+    return np.where(begins[:, None] & (np.arange(attention.WINDOW) < attention.OVERLAP), np.uint16(attention.START), x), begins, group, np.where(now < heads, now % attention.MEMBERS, 0).astype(np.int8), keep
 
 
 def fit(docs: DataFrame, path: str, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[attention.Model, attention.Units]:
@@ -165,9 +163,10 @@ def fit(docs: DataFrame, path: str, counts: np.ndarray, rounds: int = ROUNDS) ->
     if not texts:
         return model, u
     # a text has at most one window more than its units over the step
-    shards = -(-(int(counts.sum()) // (attention.WINDOW - attention.OVERLAP) + texts) // SHARD)
-    blocks = training_windows(docs, path, u).withColumn("shard", F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int"))
-    blocks = cut(blocks.repartition("shard"))
+    shards = -(-(int(counts.sum()) // attention.STEP + texts) // (SHARD * rounds))
+    deal = F.pmod(F.xxhash64("at"), F.lit(shards * rounds))
+    blocks = training_blocks(docs, path, u).select("at", "units", (deal % rounds).cast("int").alias("turn"), F.floor(deal / rounds).cast("int").alias("shard"))
+    blocks = cut(blocks)
     names, shapes = list(model), {k: w.shape for k, w in model.items()}
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model)
@@ -176,9 +175,10 @@ def fit(docs: DataFrame, path: str, counts: np.ndarray, rounds: int = ROUNDS) ->
         def trained(frame: pd.DataFrame, sent, rate: float) -> pd.DataFrame:
             model = sent.value
             frame = frame.sort_values("at", kind="stable")
-            windows = _arrays(list(frame["units"]))
+            attention.one_thread()
+            windows = training_arrays(list(frame["units"]))
             n = len(windows[0])
-            got = attention.train(model, windows, rate)
+            got = attention.train(model, windows, rate, attention.TRAIN)
             flat = np.concatenate([got[k].ravel() for k in names])
             parts = [flat[i : i + CHUNK] for i in range(0, len(flat), CHUNK)]
             return pd.DataFrame({"part": range(len(parts)), "shard": int(frame["shard"].iloc[0]), "n": n, "w": [(p.astype(np.float64) * n).tobytes() for p in parts]})
@@ -192,10 +192,12 @@ def fit(docs: DataFrame, path: str, counts: np.ndarray, rounds: int = ROUNDS) ->
             return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "shard": [int(frame["shard"].iloc[0])], "n": [int(frame["n"].sum())], "w": [total.tobytes()]})
 
         schema = "part int, shard int, n long, w binary"
-        made = blocks.groupBy("shard").applyInPandas(shard(sent, rate), schema)
+        made = blocks.where(F.col("turn") == turn).groupBy("shard").applyInPandas(shard(sent, rate), schema)
         # averaged in two steps, so no task gets more than the square root of all shards or so
         some = made.groupBy("part", F.pmod("shard", F.lit(max(1, math.isqrt(shards)))).alias("g")).applyInPandas(summed, schema)
         parts = some.groupBy("part").applyInPandas(summed, schema).orderBy("part").collect()
+        if not parts:  # so small a corpus that no block was dealt to this round
+            continue
         flat = np.concatenate([np.frombuffer(r["w"], np.float64) / r["n"] for r in parts]).astype(np.float32)
         at = 0
         model = {}
@@ -206,6 +208,19 @@ def fit(docs: DataFrame, path: str, counts: np.ndarray, rounds: int = ROUNDS) ->
     return model, u
 
 
+def hot_count(words: DataFrame, most: int = HOT) -> int:
+    """A count that at most ``most`` words reach, from a histogram of counts in eighths of octaves."""
+    octave = F.floor(8 * F.log2("c")).cast("int")
+    sizes = {r["o"]: r["n"] for r in words.groupBy(octave.alias("o")).agg(F.count("*").alias("n")).collect()}
+    held, least = 0, max(sizes, default=0) + 1
+    for o in sorted(sizes, reverse=True):
+        held += sizes[o]
+        if held > most:
+            break
+        least = o
+    return math.ceil(2 ** (least / 8) - 1e-9)
+
+
 class _Hot(dict):
     def __missing__(self, key: bytes) -> float:
         return math.nan
@@ -225,7 +240,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     counts = count_subwords(words, path)
     counts[_end(path)] += ends
     model, u = fit(seen, path, counts)
-    hot = words.orderBy(F.desc("c"), "word").limit(HOT).toPandas()
+    hot = words.where(F.col("c") >= hot_count(words)).toPandas()
     sent = spark.sparkContext.broadcast((_Hot(zip((w.encode() for w in hot["word"]), np.log10(hot["c"].to_numpy(np.float64) + 1).tolist(), strict=True)), model, u))
     end = np.array([_end(path)], np.uint32).tobytes()
 

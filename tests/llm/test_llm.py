@@ -348,16 +348,50 @@ def test_attention_is_a_distribution_and_causal():
     u = attention.units(counts)
     m = attention.start(u)
     ids, lengths = np.array([5, 7, 11, 13]), np.array([4])
-    text, first, scored = attention.cut_windows(lengths)
-    x, g, mem, inner, keep = attention.inputs(u, ids, lengths, text, first, scored)
+    x, begins, g, mem, inner, keep = attention.inputs(u, ids, lengths, *attention.cut_windows(lengths))
     total = 0.0
     for t in range(3000):
-        total += math.exp(attention.log_probs(m, x, np.where(keep, u.group[t], 0), np.where(keep, u.member[t], 0), np.where(keep, u.inner[t], 0).astype(np.float32), keep)[2])
+        of = [np.full_like(g, u.group[t]), np.full_like(mem, u.member[t]), np.full_like(inner, u.inner[t])]
+        total += math.exp(attention.log_probs(m, x, begins, *of, keep)[0, 2])
     assert abs(total - 1) < 1e-3
-    a = attention.log_probs(m, x, g, mem, inner, keep)
+    a = attention.log_probs(m, x, begins, g, mem, inner, keep)
     y = x.copy()
-    y[0, 3] = 1  # a later input changes nothing before it
-    assert np.allclose(a[:3], attention.log_probs(m, y, g, mem, inner, keep)[:3])
+    y[0, attention.OVERLAP + 3] = 1  # a later input changes nothing before it
+    y[0, : attention.OVERLAP] = 2  # nor does what lies before the text
+    b = attention.log_probs(m, y, begins, g, mem, inner, keep)
+    assert np.allclose(a[0, :3], b[0, :3]) and not np.allclose(a[0, 3], b[0, 3])
+
+
+def naive_score(m, u, ids):
+    """Log probability of one text, token by token, by the formulas, in double precision."""
+    m = {k: v.astype(np.float64) for k, v in attention.bounded(m).items()}
+    d, before, total = attention.WIDTH, [attention.START, *u.unit[ids[:-1]].tolist()], 0.0
+    for t, i in enumerate(ids):
+        first = max(t - t % attention.STEP - attention.OVERLAP, 0) if t >= attention.STEP else 0
+        q = m["embed"][before[t]] @ m["qkv"][:, :d] / math.sqrt(d)
+        weights, values = [], []
+        for j in range(first, t + 1):
+            e = m["embed"][before[j]]
+            weights.append(math.exp(min(q @ (e @ m["qkv"][:, d : 2 * d]) + m["place"][t - j], attention.LIMIT)))
+            values.append(e @ m["qkv"][:, 2 * d :])
+        h = np.tanh(m["embed"][before[t]] + np.average(values, axis=0, weights=weights))
+        soft = lambda z: z - math.log(np.exp(z).sum())
+        total += soft(h @ m["class"] + m["class0"])[u.group[i]]
+        if u.member[i] >= 0:
+            total += soft(h @ m["member"][u.group[i]] + m["member0"][u.group[i]])[u.member[i]]
+        total += u.inner[i]
+    return total
+
+
+def test_scores_equal_a_naive_reading():
+    rng = np.random.default_rng(2)
+    texts = [rng.zipf(1.3, n) % 2500 for n in (1, 23, 24, 25, 48, 49, 200, 3)]
+    ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    u = attention.units(np.bincount(ids, minlength=2500))
+    windows = attention.inputs(u, ids, lengths, *attention.cut_windows(lengths))
+    m = attention.train(attention.start(u), (*windows[:4], windows[5]), 0.05, 4)
+    got = attention.score(m, u, ids, lengths)
+    assert np.allclose(got, [naive_score(m, u, t) for t in texts], rtol=1e-4)
 
 
 def test_attention_learns_and_gradients_hold():
@@ -367,7 +401,7 @@ def test_attention_learns_and_gradients_hold():
     m = attention.start(u)
     lengths = np.array([len(ids)])
     w = attention.inputs(u, ids, lengths, *attention.cut_windows(lengths))
-    windows = (w[0], w[1], w[2], w[4])
+    windows = (w[0], w[1], w[2], w[3], w[5])
     after = attention.train(attention.train(m, windows, 0.02), windows, 0.02)
     assert attention.score(after, u, ids, lengths)[0] > 0.5 * attention.score(m, u, ids, lengths)[0]
     wide = {k: v.astype(np.float64) for k, v in after.items()}
@@ -383,29 +417,40 @@ def test_attention_learns_and_gradients_hold():
 
 
 def test_windows_score_each_unit_once():
-    lengths = np.array([1, 31, 32, 33, 58, 59, 500])
-    text, first, scored = attention.cut_windows(lengths)
+    lengths = np.array([1, 23, 24, 25, 48, 49, 500])
+    text, first = attention.cut_windows(lengths)
+    keep = attention.inputs(attention.units(np.ones(10, np.int64)), np.zeros(lengths.sum(), np.int64), lengths, text, first)[5]
     for i, n in enumerate(lengths):
-        seen = np.zeros(n, int)
-        for f, s in zip(first[text == i], scored[text == i], strict=True):
-            seen[s : min(f + attention.WINDOW, n)] += 1
-        assert (seen == 1).all()
+        assert sorted((first[text == i][:, None] + np.arange(attention.STEP))[keep[text == i]]) == list(range(n))
 
 
-def test_training_windows_cover_each_unit_once(spark):
+def test_training_blocks_cover_each_unit_once(spark):
     rng = np.random.default_rng(5)
     docs = ["", "a", *[" ".join(f"w{x}" for x in rng.integers(0, 3000, n)) for n in (5, 31, 32, 33, 900, 20_000)]]
     path = public_tokenizers.path(lm.RANKS)
-    ids = [[*(x for w in lm.words_of(t) for x in np.frombuffer(lm._subwords(path)[w], np.uint32)), lm._end(path)] for t in docs]
-    counts = np.bincount([x for i in ids for x in i], minlength=lm._end(path) + 1)
-    u = attention.units(counts)
-    blocks = [bytes(r.units) for r in lm.training_windows(spark.createDataFrame(list(enumerate(docs)), "_row long, text string"), path, u).collect()]
-    x, group, member, keep = lm._arrays(blocks)
-    pairs = lambda a, g, m: collections.Counter(zip(a.tolist(), g.tolist(), m.tolist(), strict=True))
-    want = sum((pairs(np.array([attention.START, *u.unit[i[:-1]]]), u.group[i], u.member[i]) for i in ids), collections.Counter())
-    assert keep.sum() == counts.sum() and pairs(x[keep], group[keep], member[keep]) == want
-    # a unit after the first window's has context
-    assert all(k[: attention.OVERLAP].sum() in (0, min(attention.OVERLAP, k.sum())) for k in keep)
+    texts = [np.array([*(x for w in lm.words_of(t) for x in np.frombuffer(lm._subwords(path)[w], np.uint32)), lm._end(path)]) for t in docs]
+    ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    u = attention.units(np.bincount(ids, minlength=lm._end(path) + 1))
+    blocks = [bytes(r.units) for r in lm.training_blocks(spark.createDataFrame(list(enumerate(docs)), "_row long, text string"), path, u).collect()]
+    assert len(blocks) > len(docs)
+
+    def seen(x, begins, group, member, keep):
+        """Every window's visible inputs and kept targets."""
+        out = collections.Counter()
+        for i in range(len(x)):
+            n = keep[i].sum()
+            out[bool(begins[i]), *x[i, attention.OVERLAP * begins[i] : attention.OVERLAP + n].tolist(), -1, *group[i, :n].tolist(), *np.where(group[i, :n] < attention.HEADS, member[i, :n], 0).tolist()] += 1
+        return out
+
+    whole = attention.inputs(u, ids, lengths, *attention.cut_windows(lengths))
+    got = lm.training_arrays(blocks)
+    assert got[4].sum() == lengths.sum() and seen(*got) == seen(*whole[:4], whole[5])
+
+
+def test_hot_count(spark):
+    words = spark.createDataFrame([(f"w{i}", c) for i, c in enumerate([1] * 50 + [2] * 20 + [3] * 5 + [100, 1000])], "word string, c long")
+    for most, want in ((1000, 77), (76, 27), (26, 7), (6, 2), (1, 1), (0, 0)):
+        assert words.where(words.c >= lm.hot_count(words, most)).count() == want
 
 
 def test_pipeline_stages_keep_columns(spark, odd):

@@ -30,6 +30,9 @@ HEADS, MEMBERS, TAILS = 32, 32, 16
 CLASSES = HEADS + TAILS
 START = HEADS * MEMBERS + TAILS
 LIMIT = 30.0
+#: By unit: its class, and its member number in a head class.
+GROUP = np.r_[np.arange(HEADS * MEMBERS) // MEMBERS, HEADS + np.arange(TAILS)].astype(np.int8)
+MEMBER = np.r_[np.arange(HEADS * MEMBERS) % MEMBERS, np.zeros(TAILS, np.int64)].astype(np.int8)
 #: Windows scored at a time, and windows of a training step; rows of a chunk of targets.
 BATCH, TRAIN, CHUNK = 512, 96, 16
 
@@ -44,11 +47,9 @@ def one_thread() -> None:
 
 
 class Units(NamedTuple):
-    """By subword id: its input unit, class, member (of frequent ones), and log probability within a shared unit."""
+    """By subword id: its unit and log probability within it, which is not 0 for shared units."""
 
     unit: np.ndarray
-    group: np.ndarray
-    member: np.ndarray
     inner: np.ndarray
     head: np.ndarray  # log share of each member of each head class, for the start of training
     mass: np.ndarray  # log share of each class
@@ -56,23 +57,20 @@ class Units(NamedTuple):
 
 def units(counts: np.ndarray) -> Units:
     """Units from the corpus counts of all subword ids (add-one)."""
-    n = len(counts)
     weight = counts.astype(np.float64) + 1
     order = np.argsort(-weight, kind="stable")
-    group, member, inner, unit = np.zeros(n, np.int8), np.full(n, -1, np.int8), np.zeros(n), np.zeros(n, np.uint16)
-    top = order[: HEADS * MEMBERS]
-    group[top], member[top], unit[top] = np.arange(len(top)) // MEMBERS, np.arange(len(top)) % MEMBERS, np.arange(len(top))
-    rest = order[HEADS * MEMBERS :]
+    inner, unit = np.zeros(len(counts)), np.zeros(len(counts), np.uint16)
+    top, rest = np.split(order, [HEADS * MEMBERS])
+    unit[top] = np.arange(len(top))
     if len(rest):
         share = np.cumsum(weight[rest]) / weight[rest].sum()
-        group[rest] = HEADS + np.minimum((share * TAILS).astype(np.int64), TAILS - 1)
-        unit[rest] = group[rest].astype(np.int64) - HEADS + HEADS * MEMBERS
-    mass = np.bincount(group, weight, CLASSES)
-    inner[rest] = np.log(weight[rest] / mass[group[rest]])
-    head = np.full((HEADS, MEMBERS), -LIMIT)
-    head[group[top], member[top]] = np.log(weight[top] / mass[group[top]])
+        unit[rest] = HEADS * MEMBERS + np.minimum((share * TAILS).astype(np.int64), TAILS - 1)
+    by_unit = np.bincount(unit, weight, START)
+    mass = np.bincount(GROUP, by_unit, CLASSES)
+    inner[rest] = np.log(weight[rest] / by_unit[unit[rest]])
     with np.errstate(divide="ignore"):
-        return Units(unit, group, member, inner.astype(np.float32), head, np.maximum(np.log(mass / mass.sum()), -LIMIT))
+        head = np.log(by_unit[: HEADS * MEMBERS] / mass[GROUP[: HEADS * MEMBERS]]).reshape(HEADS, MEMBERS)
+        return Units(unit, inner, np.maximum(np.nan_to_num(head, nan=-LIMIT), -LIMIT), np.maximum(np.log(mass / mass.sum()), -LIMIT))
 
 
 Model = dict[str, np.ndarray]
@@ -94,6 +92,7 @@ def start(u: Units, seed: int = 6) -> Model:
     }
 
 
+_BEGIN = np.array([START], np.uint16)
 #: How far back each key of a window lies from each query; negative after it.
 _BACK = np.arange(STEP)[:, None] + OVERLAP - np.arange(WINDOW)
 
@@ -132,14 +131,15 @@ class _Targets(NamedTuple):
     owner: np.ndarray  # class of each chunk
 
 
-def _targets(group: np.ndarray, member: np.ndarray, keep: np.ndarray) -> _Targets:
+def _targets(unit: np.ndarray, keep: np.ndarray) -> _Targets:
     at = np.flatnonzero(keep)
-    at = at[np.argsort(group.ravel()[at], kind="stable")]
-    of = group.ravel()[at].astype(np.intp)
+    of = GROUP[unit.ravel()[at]]
+    order = np.argsort(of, kind="stable")
+    at, of = at[order], of[order].astype(np.intp)
     count = np.bincount(of, minlength=CLASSES)[:HEADS]
     heads, chunks = int(count.sum()), -(-count // CHUNK)
     shift = (np.cumsum(chunks) - chunks) * CHUNK - (np.cumsum(count) - count)
-    return _Targets(at, of, heads, np.arange(heads) + shift[of[:heads]], member.ravel()[at[:heads]].astype(np.intp), np.repeat(np.arange(HEADS), chunks))
+    return _Targets(at, of, heads, np.arange(heads) + shift[of[:heads]], MEMBER[unit.ravel()[at[:heads]]].astype(np.intp), np.repeat(np.arange(HEADS), chunks))
 
 
 def _member_logits(m: Model, t: _Targets, h: np.ndarray):
@@ -152,11 +152,10 @@ def _member_logits(m: Model, t: _Targets, h: np.ndarray):
     return rows, z.reshape(-1, MEMBERS)
 
 
-def log_probs(m: Model, x: np.ndarray, begins: np.ndarray, group: np.ndarray, member: np.ndarray, inner: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """Natural log probabilities (n, STEP) of the targets that ``keep`` marks, 0 elsewhere."""
-    t = _targets(group, member, keep)
+def log_probs(m: Model, x: np.ndarray, begins: np.ndarray, unit: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Natural log probabilities (n, STEP) of the target units that ``keep`` marks, 0 elsewhere."""
+    t = _targets(unit, keep)
     h = np.take(_hidden(m, x, begins)[0].reshape(-1, WIDTH), t.at, axis=0)
-    out = inner.ravel()[t.at]
 
     def log_soft(z, rows, target):
         got = z[rows, target]
@@ -165,7 +164,7 @@ def log_probs(m: Model, x: np.ndarray, begins: np.ndarray, group: np.ndarray, me
 
     z = h @ m["class"]
     z += m["class0"]
-    out += log_soft(z, np.arange(len(z)), t.group)
+    out = log_soft(z, np.arange(len(z)), t.group)
     if t.heads:
         out[: t.heads] += log_soft(_member_logits(m, t, h)[1], t.slot, t.member)
     whole = np.zeros(keep.shape, out.dtype)
@@ -183,12 +182,12 @@ def bounded(m: Model) -> Model:
     return m
 
 
-def gradients(m: Model, x: np.ndarray, begins: np.ndarray, group: np.ndarray, member: np.ndarray, keep: np.ndarray) -> tuple[float, Model]:
-    """Mean loss (without the shared units' inner part) and its gradients."""
+def gradients(m: Model, x: np.ndarray, begins: np.ndarray, unit: np.ndarray, keep: np.ndarray) -> tuple[float, Model]:
+    """Mean loss and its gradients."""
     d = WIDTH
     h, (t, a, total, c) = _hidden(m, x, begins)
     g = {n: np.zeros_like(w) for n, w in m.items()}
-    to = _targets(group, member, keep)
+    to = _targets(unit, keep)
     flat = np.take(h.reshape(-1, d), to.at, axis=0)
     n = max(len(to.at), 1)
 
@@ -245,7 +244,7 @@ def gradients(m: Model, x: np.ndarray, begins: np.ndarray, group: np.ndarray, me
 
 
 def train(m: Model, windows: tuple[np.ndarray, ...], rate: float = 0.01, batch: int = 32) -> Model:
-    """One pass of Adam over windows (x, begins, group, member, keep); returns new weights."""
+    """One pass of Adam over windows (x, begins, unit, keep); returns new weights."""
     m = {n: w.copy() for n, w in m.items()}
     one, two = ({n: np.zeros_like(w) for n, w in m.items()} for _ in range(2))
     for step, at in enumerate(range(0, len(windows[0]), batch), 1):
@@ -265,23 +264,30 @@ def cut_windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, nth * STEP
 
 
-def inputs(u: Units, ids: np.ndarray, lengths: np.ndarray, text: np.ndarray, first: np.ndarray):
-    """(x, begins, group, member, inner, keep) of windows; ``ids`` are the texts' subwords one after the other."""
-    base = (np.cumsum(lengths) - lengths)[text]
-    at = first[:, None] + np.arange(-OVERLAP, STEP)
-    place = np.clip(base[:, None] + at, 0, len(ids) - 1)
-    x = np.where(at > 0, u.unit[ids[np.maximum(place - 1, 0)]], np.uint16(START))
-    now = ids[place[:, OVERLAP:]]
-    return x, first == 0, u.group[now], u.member[now], u.inner[now], at[:, OVERLAP:] < lengths[text][:, None]
+def inputs(flat: np.ndarray, base: np.ndarray, first: np.ndarray, ends: np.ndarray, begins: np.ndarray):
+    """(x, begins, unit, keep) of windows over ``flat``, which holds inputs and, one place on, targets.
+
+    A window's first scored input is at ``base + first``, the last target of its text before ``ends``.
+    """
+    at = (base + first)[:, None] + np.arange(-OVERLAP, STEP)
+    x, now = np.take(flat, at, mode="clip"), np.take(flat, at[:, OVERLAP:] + 1, mode="clip")
+    x[begins, :OVERLAP] = START
+    keep = at[:, OVERLAP:] + 1 < ends[:, None]
+    now[~keep] = 0
+    return x, begins, now, keep
 
 
-def score(m: Model, u: Units, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Natural log probability of each text."""
+def score(m: Model, texts: list[np.ndarray]) -> np.ndarray:
+    """Natural log probability of each text of units, without what lies within shared units."""
     one_thread()
+    lengths = np.array([len(t) for t in texts], np.int64)
+    # every text stands after a START of its own
+    flat = np.concatenate([x for t in texts for x in (_BEGIN, t)] or [_BEGIN])
+    ends = np.cumsum(lengths + 1)
     text, first = cut_windows(lengths)
     m, out = bounded(m), np.zeros(len(lengths))
     for at in range(0, len(text), BATCH):
-        s = slice(at, at + BATCH)
-        got = log_probs(m, *inputs(u, ids, lengths, text[s], first[s]))
-        out += np.bincount(text[s], got.sum(axis=1, dtype=np.float64), len(lengths))
+        t, f = text[at : at + BATCH], first[at : at + BATCH]
+        got = log_probs(m, *inputs(flat, (ends - lengths - 1)[t], f, ends[t], f == 0))
+        out += np.bincount(t, got.sum(axis=1, dtype=np.float64), len(lengths))
     return out

@@ -2,7 +2,7 @@
 
 From the training texts come: the count of every word (the base model, all of
 it), the count of every subword (the model's shared units and its start), and
-training windows, cut as for scoring.  The windows travel in blocks of RUN that are dealt by
+the model's units of every text, which training and scoring both read.  Training windows, cut as for scoring, travel in blocks of RUN that are dealt by
 hash to ROUNDS rounds and to shards of about SHARD windows: training is one pass over every unit of
 every training text.  In a round every shard is trained on by itself from the same
 weights, and the weights are averaged by windows, so work and what is gathered grow with the corpus while
@@ -19,7 +19,9 @@ Repeated rows and ids are scored row by row.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import attention
-from leafmill.llm.bpe import coder, packed
+from leafmill.llm.bpe import coder
 from leafmill.llm.common import cut, small_batches, table, with_row_id
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -38,7 +40,7 @@ RUN, SHARD, ROUNDS, RATES = 64, 131_072, 3, (0.03, 0.015, 0.005)
 #: Words a task counts before it hands them on; floats of the model that travel together.
 FLUSH, CHUNK = 400_000, 8192
 #: Words whose subwords a worker remembers.
-CACHE = 150_000
+CACHE = 250_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -46,25 +48,27 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class _Subwords(dict):
-    """Packed subword ids by word, each as it stands after a blank."""
+def _subwords(path: str):
+    """Subword ids of a word as it stands after a blank."""
+    encode = coder(path).encode_ordinary
+    return lambda word: encode(" " + word.decode("utf-8", "replace"))
 
-    def __init__(self, encode):
+
+class _Words(dict):
+    """By word: log10 of its count plus one (NaN: not a hot word), its packed units, its log probability within them."""
+
+    def __init__(self, path: str, hot: dict[bytes, float], u: attention.Units):
         super().__init__()
-        self.encode = encode
+        self.subwords, self.hot, self.unit, self.inner = _subwords(path), hot, u.unit.tolist(), u.inner.tolist()
 
-    def __missing__(self, word: bytes) -> bytes:
-        got = packed(self.encode(" " + word.decode("utf-8", "replace")))
+    def __missing__(self, word: bytes) -> tuple[float, bytes, float]:
+        ids = self.subwords(word)
+        got = (self.hot.get(word, math.nan), array("H", [self.unit[i] for i in ids]).tobytes(), sum([self.inner[i] for i in ids]))
         if len(self) < CACHE:
             self[word] = got
         return got
 
 
-@functools.cache
-def _subwords(path: str) -> _Subwords:
-    return _Subwords(coder(path).encode_ordinary)
-
-
 def _end(path: str) -> int:
     return coder(path).n_vocab
 
@@ -98,9 +102,8 @@ def count_subwords(words: DataFrame, path: str) -> np.ndarray:
     def count(frames):
         total, subwords = np.zeros(size, np.int64), _subwords(path)
         for frame in frames:
-            found = [subwords[w.encode()] for w in frame["word"]]
-            lengths = np.array([len(p) // 4 for p in found])
-            np.add.at(total, np.frombuffer(b"".join(found), np.uint32), np.repeat(frame["c"].to_numpy(), lengths))
+            found = [subwords(w.encode()) for w in frame["word"]]
+            np.add.at(total, np.fromiter(itertools.chain.from_iterable(found), np.int64), np.repeat(frame["c"].to_numpy(), list(map(len, found))))
         ids = np.flatnonzero(total)
         yield pd.DataFrame({"id": ids, "c": total[ids]})
 
@@ -110,62 +113,50 @@ def count_subwords(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def training_blocks(docs: DataFrame, path: str, u: attention.Units) -> DataFrame:
-    """(at, units) blocks of ``docs`` (_row, text), each the inputs of up to RUN windows and the last target; ``at`` deals them out.
+def training_blocks(texts: DataFrame) -> DataFrame:
+    """(at, units) blocks of ``texts`` (_row, units), each the inputs of up to RUN windows and the last target; ``at`` deals them out.
 
     All windows of a text are in its blocks.  A text's first block begins with START, the others with OVERLAP inputs of context.
     """
-    end = np.array([_end(path)], np.uint32).tobytes()
-    size = RUN * attention.STEP
-    unit = u.unit
+    begin, size = np.array([attention.START], np.uint16).tobytes(), RUN * attention.STEP
 
     def cut_out(frames):
         import xxhash
 
-        subwords = _subwords(path)
         for frame in frames:
             at, out = [], []
-            for row, text in zip(frame["_row"], frame["text"], strict=True):
-                ids = np.frombuffer(b"".join(map(subwords.__getitem__, words_of(text))) + end, np.uint32)
-                units = np.concatenate([np.array([attention.START], np.uint16), unit[ids]])
-                for first in range(0, len(ids), size):
-                    at.append(np.uint64(xxhash.xxh64_intdigest(f"{row}:{first}", 42)).view(np.int64).item())
-                    out.append(units[max(first - attention.OVERLAP, 0) : first + size + 1].tobytes())
+            for row, units in zip(frame["_row"], frame["units"], strict=True):
+                whole = begin + units
+                for first in range(0, len(units) // 2, size):
+                    at.append(xxhash.xxh64_intdigest(f"{row}:{first}", 42) >> 1)
+                    out.append(whole[2 * max(first - attention.OVERLAP, 0) : 2 * (first + size + 1)])
             yield pd.DataFrame({"at": at, "units": out})
 
-    return docs.select("_row", "text").mapInPandas(cut_out, "at long, units binary")
+    return texts.select("_row", "units").mapInPandas(cut_out, "at long, units binary")
 
 
 def training_arrays(blocks: list[bytes]):
-    """Training arrays (x, begins, group, member, keep) of the windows of blocks, in a fixed order that mixes them."""
+    """Training arrays (x, begins, unit, keep) of the windows of blocks, in a fixed order that mixes them."""
     parts = [np.frombuffer(b, np.uint16) for b in blocks]
-    flat, size = np.concatenate(parts), np.array([len(p) for p in parts])
+    size = np.array([len(p) for p in parts])
     context = np.where(np.array([p[0] == attention.START for p in parts]), 0, attention.OVERLAP)
     block, first = attention.cut_windows(size - 1 - context)
     mixed = np.random.default_rng(6).permutation(len(block))
     block, first = block[mixed], first[mixed]
-    begins = (first == 0) & (context[block] == 0)
-    at = (first + context[block] + (np.cumsum(size) - size)[block])[:, None] + np.arange(-attention.OVERLAP, attention.STEP)
-    x = np.take(flat, at, mode="clip")
-    now = np.take(flat, at[:, attention.OVERLAP :] + 1, mode="clip")
-    keep = at[:, attention.OVERLAP :] + 1 < np.cumsum(size)[block][:, None]
-    heads = attention.HEADS * attention.MEMBERS
-    group = np.where(now < heads, now // attention.MEMBERS, now - np.uint16(heads - attention.HEADS)).astype(np.int8)
-    return np.where(begins[:, None] & (np.arange(attention.WINDOW) < attention.OVERLAP), np.uint16(attention.START), x), begins, group, np.where(now < heads, now % attention.MEMBERS, 0).astype(np.int8), keep
-
-
-def fit(docs: DataFrame, path: str, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[attention.Model, attention.Units]:
-    """Model and units from ``docs`` (_row, text), whose subword ``counts`` include the end's."""
-    spark = docs.sparkSession
-    u = attention.units(counts)
+    ends = np.cumsum(size)
+    return attention.inputs(np.concatenate(parts), (ends - size + context)[block], first, ends[block], (first == 0) & (context[block] == 0))
+
+
+def fit(texts: DataFrame, u: attention.Units, total: int, count: int, rounds: int = ROUNDS) -> attention.Model:
+    """Model from ``texts`` (_row, units), ``count`` of them with ``total`` units in all."""
+    spark = texts.sparkSession
     model = attention.start(u)
-    texts = int(counts[_end(path)])
-    if not texts:
-        return model, u
+    if not count:
+        return model
     # a text has at most one window more than its units over the step
-    shards = -(-(int(counts.sum()) // attention.STEP + texts) // (SHARD * rounds))
+    shards = -(-(total // attention.STEP + count) // (SHARD * rounds))
     deal = F.pmod(F.xxhash64("at"), F.lit(shards * rounds))
-    blocks = training_blocks(docs, path, u).select("at", "units", (deal % rounds).cast("int").alias("turn"), F.floor(deal / rounds).cast("int").alias("shard"))
+    blocks = training_blocks(texts).select("at", "units", (deal % rounds).cast("int").alias("turn"), F.floor(deal / rounds).cast("int").alias("shard"))
     blocks = cut(blocks)
     names, shapes = list(model), {k: w.shape for k, w in model.items()}
     for turn in range(rounds):
@@ -205,7 +196,7 @@ def fit(docs: DataFrame, path: str, counts: np.ndarray, rounds: int = ROUNDS) ->
             size = math.prod(shapes[k])
             model[k] = flat[at : at + size].reshape(shapes[k])
             at += size
-    return model, u
+    return model
 
 
 def hot_count(words: DataFrame, most: int = HOT) -> int:
@@ -221,11 +212,6 @@ def hot_count(words: DataFrame, most: int = HOT) -> int:
     return math.ceil(2 ** (least / 8) - 1e-9)
 
 
-class _Hot(dict):
-    def __missing__(self, key: bytes) -> float:
-        return math.nan
-
-
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Scores of ``docs`` (doc_id, text, held_out): see op6_lm; texts that are not held out are learnt from."""
     spark = docs.sparkSession
@@ -239,31 +225,38 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     train, vocabulary = total + ends, distinct + (ends > 0)
     counts = count_subwords(words, path)
     counts[_end(path)] += ends
-    model, u = fit(seen, path, counts)
+    u = attention.units(counts)
     hot = words.where(F.col("c") >= hot_count(words)).toPandas()
-    sent = spark.sparkContext.broadcast((_Hot(zip((w.encode() for w in hot["word"]), np.log10(hot["c"].to_numpy(np.float64) + 1).tolist(), strict=True)), model, u))
-    end = np.array([_end(path)], np.uint32).tobytes()
+    sent = spark.sparkContext.broadcast((dict(zip((w.encode() for w in hot["word"]), np.log10(hot["c"].to_numpy(np.float64) + 1).tolist(), strict=True)), u))
+    end = array("H", [u.unit[_end(path)]]).tobytes()
+    end_inner = float(u.inner[_end(path)])
 
-    def each(frames):
-        hot, model, u = sent.value
-        subwords = _subwords(path)
+    def read(frames):
+        known = _Words(path, *sent.value)
         for frame in frames:
-            n, known, base, rest, ids = [], [], [], [], []
+            n, hits, base, rest, units, inner = [], [], [], [], [], []
             for text in frame["text"]:
                 words = words_of(text)
-                logs = np.fromiter(map(hot.__getitem__, words), np.float64, len(words))
+                logs, parts, within = zip(*map(known.__getitem__, words), strict=True) if words else ((), (), ())
+                logs = np.array(logs)
                 missed = np.flatnonzero(np.isnan(logs))
                 n.append(len(words) + 1)
-                known.append(len(words) - len(missed))
+                hits.append(len(words) - len(missed))
                 base.append(np.nansum(logs))
                 rest.append([words[i].decode("utf-8", "replace") for i in missed])
-                ids.append(b"".join(map(subwords.__getitem__, words)) + end)
-            lengths = np.array([len(p) // 4 for p in ids])
-            found = attention.score(model, u, np.frombuffer(b"".join(ids), np.uint32).astype(np.int64), lengths) / math.log(10)
-            yield pd.DataFrame({"_row": frame["_row"], "doc_id": frame["doc_id"], "held_out": frame["held_out"], "n_tokens": n, "known": known, "base": base, "rest": rest, "score": found})
+                units.append(b"".join(parts) + end)
+                inner.append(math.fsum(within) + end_inner)
+            yield pd.DataFrame({"_row": frame["_row"], "doc_id": frame["doc_id"], "held_out": frame["held_out"], "n_tokens": n, "known": hits, "base": base, "rest": rest, "units": units, "inner": inner})
+
+    schema = "_row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rest array<string>, units binary, inner double"
+    texts = cut(rows.mapInPandas(read, schema))
+    model = spark.sparkContext.broadcast(fit(texts.where("not held_out"), u, int(counts.sum()), ends))
+
+    @F.pandas_udf("double")
+    def by_model(units: pd.Series) -> pd.Series:
+        return pd.Series(attention.score(model.value, [np.frombuffer(x, np.uint16) for x in units]))
 
-    schema = "_row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rest array<string>, score double"
-    scored = cut(rows.mapInPandas(each, schema))
+    scored = cut(texts.select("_row", "doc_id", "held_out", "n_tokens", "known", "base", "rest", ((by_model("units") + F.col("inner")) / math.log(10)).alias("score")))
     # what the frequent words leave over
     left = scored.select("_row", F.explode("rest").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("t"))
     left = left.join(words, "word", "left").groupBy("_row").agg(F.sum(F.col("t") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("also"))

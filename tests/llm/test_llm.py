@@ -347,21 +347,28 @@ def test_attention_is_a_distribution_and_causal():
     counts[:2000] = np.arange(2000, 0, -1)
     u = attention.units(counts)
     m = attention.start(u)
-    ids, lengths = np.array([5, 7, 11, 13]), np.array([4])
-    x, begins, g, mem, inner, keep = attention.inputs(u, ids, lengths, *attention.cut_windows(lengths))
+    x, begins, unit, keep = windows_of([u.unit[[5, 7, 11, 13]]])
     total = 0.0
     for t in range(3000):
-        of = [np.full_like(g, u.group[t]), np.full_like(mem, u.member[t]), np.full_like(inner, u.inner[t])]
-        total += math.exp(attention.log_probs(m, x, begins, *of, keep)[0, 2])
+        total += math.exp(attention.log_probs(m, x, begins, np.full_like(unit, u.unit[t]), keep)[0, 2] + u.inner[t])
     assert abs(total - 1) < 1e-3
-    a = attention.log_probs(m, x, begins, g, mem, inner, keep)
+    a = attention.log_probs(m, x, begins, unit, keep)
     y = x.copy()
     y[0, attention.OVERLAP + 3] = 1  # a later input changes nothing before it
     y[0, : attention.OVERLAP] = 2  # nor does what lies before the text
-    b = attention.log_probs(m, y, begins, g, mem, inner, keep)
+    b = attention.log_probs(m, y, begins, unit, keep)
     assert np.allclose(a[0, :3], b[0, :3]) and not np.allclose(a[0, 3], b[0, 3])
 
 
+def windows_of(texts):
+    """Windows of texts of units, one text after the other."""
+    lengths = np.array([len(t) for t in texts])
+    flat = np.concatenate([np.array([attention.START, *t], np.uint16) for t in texts])
+    text, first = attention.cut_windows(lengths)
+    ends = np.cumsum(lengths + 1)
+    return attention.inputs(flat, (ends - lengths - 1)[text], first, ends[text], first == 0)
+
+
 def naive_score(m, u, ids):
     """Log probability of one text, token by token, by the formulas, in double precision."""
     m = {k: v.astype(np.float64) for k, v in attention.bounded(m).items()}
@@ -376,9 +383,10 @@ def naive_score(m, u, ids):
             values.append(e @ m["qkv"][:, 2 * d :])
         h = np.tanh(m["embed"][before[t]] + np.average(values, axis=0, weights=weights))
         soft = lambda z: z - math.log(np.exp(z).sum())
-        total += soft(h @ m["class"] + m["class0"])[u.group[i]]
-        if u.member[i] >= 0:
-            total += soft(h @ m["member"][u.group[i]] + m["member0"][u.group[i]])[u.member[i]]
+        c, k = attention.GROUP[u.unit[i]], attention.MEMBER[u.unit[i]]
+        total += soft(h @ m["class"] + m["class0"])[c]
+        if c < attention.HEADS:
+            total += soft(h @ m["member"][c] + m["member0"][c])[k]
         total += u.inner[i]
     return total
 
@@ -386,11 +394,10 @@ def naive_score(m, u, ids):
 def test_scores_equal_a_naive_reading():
     rng = np.random.default_rng(2)
     texts = [rng.zipf(1.3, n) % 2500 for n in (1, 23, 24, 25, 48, 49, 200, 3)]
-    ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
-    u = attention.units(np.bincount(ids, minlength=2500))
-    windows = attention.inputs(u, ids, lengths, *attention.cut_windows(lengths))
-    m = attention.train(attention.start(u), (*windows[:4], windows[5]), 0.05, 4)
-    got = attention.score(m, u, ids, lengths)
+    u = attention.units(np.bincount(np.concatenate(texts), minlength=2500))
+    units = [u.unit[t] for t in texts]
+    m = attention.train(attention.start(u), windows_of(units), 0.05, 4)
+    got = attention.score(m, units) + [u.inner[t].sum() for t in texts]
     assert np.allclose(got, [naive_score(m, u, t) for t in texts], rtol=1e-4)
 
 
@@ -399,11 +406,9 @@ def test_attention_learns_and_gradients_hold():
     ids = np.tile([3, 1, 4, 1, 5, 9, 2, 6], 600)
     u = attention.units(np.bincount(ids, minlength=2000))
     m = attention.start(u)
-    lengths = np.array([len(ids)])
-    w = attention.inputs(u, ids, lengths, *attention.cut_windows(lengths))
-    windows = (w[0], w[1], w[2], w[3], w[5])
+    windows = windows_of([u.unit[ids]])
     after = attention.train(attention.train(m, windows, 0.02), windows, 0.02)
-    assert attention.score(after, u, ids, lengths)[0] > 0.5 * attention.score(m, u, ids, lengths)[0]
+    assert attention.score(after, [u.unit[ids]])[0] > 0.5 * attention.score(m, [u.unit[ids]])[0]
     wide = {k: v.astype(np.float64) for k, v in after.items()}
     few = tuple(x[:3] for x in windows)
     _, g = attention.gradients(wide, *few)
@@ -419,7 +424,7 @@ def test_attention_learns_and_gradients_hold():
 def test_windows_score_each_unit_once():
     lengths = np.array([1, 23, 24, 25, 48, 49, 500])
     text, first = attention.cut_windows(lengths)
-    keep = attention.inputs(attention.units(np.ones(10, np.int64)), np.zeros(lengths.sum(), np.int64), lengths, text, first)[5]
+    keep = windows_of([np.zeros(n, np.uint16) for n in lengths])[3]
     for i, n in enumerate(lengths):
         assert sorted((first[text == i][:, None] + np.arange(attention.STEP))[keep[text == i]]) == list(range(n))
 
@@ -428,23 +433,22 @@ def test_training_blocks_cover_each_unit_once(spark):
     rng = np.random.default_rng(5)
     docs = ["", "a", *[" ".join(f"w{x}" for x in rng.integers(0, 3000, n)) for n in (5, 31, 32, 33, 900, 20_000)]]
     path = public_tokenizers.path(lm.RANKS)
-    texts = [np.array([*(x for w in lm.words_of(t) for x in np.frombuffer(lm._subwords(path)[w], np.uint32)), lm._end(path)]) for t in docs]
-    ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
-    u = attention.units(np.bincount(ids, minlength=lm._end(path) + 1))
-    blocks = [bytes(r.units) for r in lm.training_blocks(spark.createDataFrame(list(enumerate(docs)), "_row long, text string"), path, u).collect()]
+    texts = [np.array([*(x for w in lm.words_of(t) for x in lm._subwords(path)(w)), lm._end(path)]) for t in docs]
+    u = attention.units(np.bincount(np.concatenate(texts), minlength=lm._end(path) + 1))
+    rows = [(i, bytearray(u.unit[t].tobytes())) for i, t in enumerate(texts)]
+    blocks = [bytes(r.units) for r in lm.training_blocks(spark.createDataFrame(rows, "_row long, units binary")).collect()]
     assert len(blocks) > len(docs)
 
-    def seen(x, begins, group, member, keep):
+    def seen(x, begins, unit, keep):
         """Every window's visible inputs and kept targets."""
         out = collections.Counter()
         for i in range(len(x)):
             n = keep[i].sum()
-            out[bool(begins[i]), *x[i, attention.OVERLAP * begins[i] : attention.OVERLAP + n].tolist(), -1, *group[i, :n].tolist(), *np.where(group[i, :n] < attention.HEADS, member[i, :n], 0).tolist()] += 1
+            out[bool(begins[i]), *x[i, attention.OVERLAP * begins[i] : attention.OVERLAP + n].tolist(), -1, *unit[i, :n].tolist()] += 1
         return out
 
-    whole = attention.inputs(u, ids, lengths, *attention.cut_windows(lengths))
     got = lm.training_arrays(blocks)
-    assert got[4].sum() == lengths.sum() and seen(*got) == seen(*whole[:4], whole[5])
+    assert got[3].sum() == sum(map(len, texts)) and seen(*got) == seen(*windows_of([u.unit[t] for t in texts]))
 
 
 def test_hot_count(spark):

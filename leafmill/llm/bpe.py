@@ -9,7 +9,8 @@ of a text are the ids of its pieces in order.  Where two chunks share no
 boundary (a run longer than the overlap), the text is encoded in one piece, so the result is exact.
 
 Texts: null and empty give no ids.  Repeated rows, equal or null doc_ids are
-kept apart by a row id.  Columns other than the named ones are ignored.
+kept apart by a row id.  Other columns are carried along under any name; one
+that has the name of the result gives way to it.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import small_batches, table, with_row_id
+from leafmill.llm.common import cut, lookup_join, small_batches, table, with_row_id
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Code points a chunk holds, and code points it reads on into the next.
-CHUNK, OVERLAP = 32_768, 512
+CHUNK, OVERLAP = 4096, 512
 #: Words whose ids a worker remembers.
 CACHE = 100_000
 #: White_Space of Unicode, as \s of the pattern has it (fixed values).
@@ -108,21 +109,21 @@ def _words(path: str) -> WordIds:
     return WordIds(coder(path).encode_ordinary)
 
 
-def edges_of(chunk: str) -> tuple[list[int], list[int]]:
-    """Boundaries of a chunk's pre-tokens in its first OVERLAP code points, and in those after CHUNK (from there).
+def edges_of(part: str, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
+    """Boundaries of a chunk's pre-tokens in its first ``overlap`` code points, and in those after ``chunk`` (from there).
 
     Only those after a character that is no white space, for a piece may end
     there; and none in the last four code points, where the text that is cut
     off could tell.
     """
-    first, last, stop = [], [], len(chunk) - 4
-    for m in _pattern().finditer(chunk):
+    first, last, stop = [], [], len(part) - 4
+    for m in _pattern().finditer(part):
         p = m.end()
         if p > stop:
             break
-        if p < OVERLAP or p >= CHUNK:
-            if not chunk[p - 1].isspace():
-                (first if p < OVERLAP else last).append(p if p < OVERLAP else p - CHUNK)
+        if p < overlap or p >= chunk:
+            if not part[p - 1].isspace():
+                (first if p < overlap else last).append(p if p < overlap else p - chunk)
     return first, last
 
 
@@ -131,8 +132,32 @@ def _pattern():
     return regex.compile(public_tokenizers.PATTERN)
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit ids of the whole text); null texts as empty ones."""
+def chunked(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(_row, _n, _chunk, _part) of texts (_row, _text): chunks that read on into the next, and how many they are, dealt out."""
+
+    @F.pandas_udf("array<string>")
+    def parts(texts: pd.Series) -> pd.Series:
+        return pd.Series([[t[i : i + chunk + overlap] for i in range(0, len(t), chunk)] for t in texts], dtype=object)
+
+    each = long.select("_row", parts("_text").alias("_parts")).select("_row", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_chunk", "_part"))
+    return each.repartition("_row", "_chunk")
+
+
+def stitches(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(_row, _cut): for each chunk but the last the first boundary it has in common with the next, null where there is none."""
+
+    @F.pandas_udf("first array<int>, last array<int>")
+    def edges(parts: pd.Series) -> pd.DataFrame:
+        got = [edges_of(t, chunk, overlap) for t in parts]
+        return pd.DataFrame({"first": [a for a, _ in got], "last": [b for _, b in got]}, dtype=object)
+
+    seen = chunks.select("_row", "_chunk", edges("_part").alias("_e")).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_chunk", "_e.first", "_e.last"))).alias("_e"))
+    common = F.transform(F.slice("_e", F.lit(1), F.size("_e") - 1), lambda x, i: F.array_min(F.array_intersect(x["last"], F.get(F.col("_e"), i + 1)["first"])))
+    return seen.select("_row", common.alias("_cut"))
+
+
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``docs`` without its text, with ``ids`` (binary, little-endian unsigned 32-bit ids of the whole text); null texts as empty ones."""
     path = path or public_tokenizers.path(RANKS)
 
     @F.pandas_udf("binary")
@@ -140,36 +165,27 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
         words = _words(path)
         return pd.Series([pack_ids(t, words) for t in texts], dtype=object)
 
-    @F.pandas_udf("first array<int>, last array<int>")
-    def edges(chunks: pd.Series) -> pd.DataFrame:
-        got = [edges_of(t) for t in chunks]
-        return pd.DataFrame({"first": [a for a, _ in got], "last": [b for _, b in got]}, dtype=object)
-
     @F.pandas_udf("binary")
     def joined(parts: pd.Series) -> pd.Series:
         return pd.Series([b"".join(x) for x in parts], dtype=object)
 
-    keep = [c for c in docs.columns if c != text]
-    rows = with_row_id(docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))), "_row").withColumn("_long", F.length("_text") > CHUNK + OVERLAP)
-    short = rows.where(~F.col("_long")).withColumn("ids", whole("_text"))
+    keep = [c for c in docs.columns if c not in (text, "ids")]
+    inner = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0))
+    rows = with_row_id(docs.select(inner.alias("_in"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_row").withColumn("_long", F.length("_text") > chunk + overlap)
+    short = rows.where(~F.col("_long")).select("_in", whole("_text").alias("ids"))
     long = rows.where("_long")
-    chunks = long.select("_row", F.length("_text").alias("_len"), "_text", F.explode(F.sequence(F.lit(0), ((F.length("_text") - 1) / CHUNK).cast("int"))).alias("_chunk"))
-    chunks = chunks.select("_row", "_len", "_chunk", F.substring(F.col("_text"), F.col("_chunk") * CHUNK + 1, F.lit(CHUNK + OVERLAP)).alias("_part"))
-    chunks = chunks.repartition("_row", "_chunk")
-    # a stitch: the first boundary that a chunk and the next have in common
-    seen = chunks.select("_row", "_chunk", "_len", edges("_part").alias("_e")).groupBy("_row").agg(F.first("_len").alias("_len"), F.array_sort(F.collect_list(F.struct("_chunk", "_e.first", "_e.last"))).alias("_e"))
-    stitch = F.transform(F.slice("_e", F.lit(1), F.size("_e") - 1), lambda x, i: F.array_min(F.array_intersect(x["last"], F.get(F.col("_e"), i + 1)["first"])))
-    stitched = seen.select("_row", "_len", stitch.alias("_cut"))
+    chunks = chunked(long, chunk, overlap)
+    stitched = cut(stitches(chunks, chunk, overlap))
     broken = F.exists("_cut", lambda x: x.isNull())
     # pieces: from a chunk's stitch with the one before to its stitch with the next, within the chunk
     pieces = stitched.where(~broken).select("_row", F.posexplode(F.concat(F.array(F.lit(0)), "_cut")).alias("_chunk", "_from"), "_cut")
-    pieces = pieces.select("_row", "_chunk", "_from", (F.get("_cut", F.col("_chunk")) + CHUNK).alias("_to"))
+    pieces = pieces.select("_row", "_chunk", "_from", (F.get("_cut", F.col("_chunk")) + chunk).alias("_to"))
     pieces = chunks.join(pieces, ["_row", "_chunk"]).select("_row", "_chunk", F.substring("_part", F.col("_from") + 1, F.coalesce(F.col("_to"), F.length("_part")) - F.col("_from")).alias("_piece"))
     parts = pieces.select("_row", "_chunk", whole("_piece").alias("ids")).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_chunk", "ids"))).alias("_p"))
-    parts = parts.select("_row", joined(F.col("_p.ids")).alias("ids"))
-    unbroken = long.select("_row", *keep).join(parts, "_row")
-    rest = long.join(stitched.where(broken).select("_row"), "_row", "left_semi").withColumn("ids", whole("_text"))
-    return short.select(*keep, "ids").union(unbroken.select(*keep, "ids")).union(rest.select(*keep, "ids"))
+    unbroken = long.select("_row", "_in").join(parts.select("_row", joined(F.col("_p.ids")).alias("ids")), "_row")
+    rest = lookup_join(long, stitched.where(broken).select("_row"), ["_row"], "left_semi").select("_in", whole("_text").alias("ids"))
+    out = short.union(unbroken.select("_in", "ids")).union(rest)
+    return out.select(*[F.col(f"_in.`{c}`").alias(c) for c in keep], "ids")
 
 
 def decode(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:

@@ -65,13 +65,30 @@ def encoding():
 
 
 @pytest.mark.parametrize("chunk", [(bpe.CHUNK, bpe.OVERLAP), (60, 16)])
-def test_bpe_equals_the_library_and_decodes(spark, odd, encoding, chunk, monkeypatch):
-    monkeypatch.setattr(bpe, "CHUNK", chunk[0])
-    monkeypatch.setattr(bpe, "OVERLAP", chunk[1])
-    got = [(r.text, bytes(r.ids)) for r in bpe.encode(spark.read.parquet(f"{odd}/documents.parquet").selectExpr("text", "text as kept").withColumnRenamed("text", "t").withColumnRenamed("kept", "text").withColumnRenamed("t", "kept")).selectExpr("kept as text", "ids").collect()]
+def test_bpe_equals_the_library_and_decodes(spark, odd, encoding, chunk):
+    rows = spark.read.parquet(f"{odd}/documents.parquet").selectExpr("text", "text as original", "1 as _row", "2 as _text", "3 as _in", "'x' as ids")
+    out = bpe.decode(bpe.encode(rows, chunk=chunk[0], overlap=chunk[1]))
+    assert out.columns == ["original", "_row", "_text", "_in", "ids", "decoded"]
+    got = out.collect()
     assert len(got) == len(ODD) + 3
-    for text, ids in got:
-        assert list(memoryview(ids).cast("I")) == encoding.encode_ordinary(text or "")
+    for r in got:
+        assert list(memoryview(r.ids).cast("I")) == encoding.encode_ordinary(r.original or "")
+        assert bytes(r.decoded).decode() == (r.original or "") and (r._row, r._text, r._in) == (1, 2, 3)
+
+
+@pytest.mark.parametrize("chunk", [(4096, 512), (60, 16)])
+def test_bpe_stitches_texts(spark, encoding, chunk):
+    """Texts of many chunks go by their pieces; one without a common boundary is known as such."""
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdé'1 \n日"), rng.integers(1, 9)))
+    docs = [" ".join(word() for _ in range(4000)) for _ in range(5)] + ["z" * 20_000]
+    rows = spark.createDataFrame(list(enumerate(docs)), "_row long, _text string")
+    cuts = {r._row: r._cut for r in bpe.stitches(bpe.chunked(rows, *chunk), *chunk).collect()}
+    assert all(len(cuts[i]) > 3 for i in range(6)) and None in cuts[5]
+    if chunk[0] > 1000:
+        assert all(None not in cuts[i] for i in range(5))
+    for r in bpe.encode(rows.withColumnRenamed("_text", "text"), chunk=chunk[0], overlap=chunk[1]).collect():
+        assert list(memoryview(r.ids).cast("I")) == encoding.encode_ordinary(docs[r._row])
 
 
 def test_bpe_query(spark, encoding):
@@ -81,6 +98,7 @@ def test_bpe_query(spark, encoding):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(array.array("I", ids).tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+    assert sum(len(t) > bpe.CHUNK + bpe.OVERLAP for t in docs.values()) >= 20  # which are stitched
 
 
 def test_packing_places_every_token_once(spark):

@@ -16,7 +16,7 @@ import pytest
 from tokenizers import Tokenizer
 from twins import DATA, same
 
-from leafmill.llm import attention, bpe, lattice, lines, lm, packing, pii, quality, registry, simhash, urls, warc
+from leafmill.llm import attention, bpe, common, lattice, lines, lm, packing, pii, quality, registry, simhash, urls, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", None, " \n\t ", "a  b\n\n c\t\td 'll don't x　　y   z  ", "x" * 5000, "ab" * 400 + " " * 500 + "cd", "12 34'll've " * 200, "\x1c\x1d a\x1eb  \x1f c", "日本語" * 500, " lead", " trail ", "\n\n\nfoo\n\n\n", "same text", "same text"]
@@ -258,9 +258,17 @@ def test_pii_redacts(spark, odd):
 def test_lines_template_with_variable_field(spark):
     line = "posted by user {} on the public board today"
     rows = [(i, f"{chr(97 + i) * 3} {chr(98 + i) * 4} {chr(99 + i) * 5} own\n{line.format(['ann', 'bob', 'eve', 'joe'][i])}\nshort") for i in range(4)]
-    out = {r.doc_id: r for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r for r in lines.dedup(common.with_row_id(spark.createDataFrame(rows, "doc_id long, text string"), "_row")).collect()}
     assert "posted by" in out[0].text and all("posted by" not in out[i].text for i in (1, 2, 3))
-    assert all(out[i].text.endswith("short") and out[i].n_dropped == 1 for i in (1, 2, 3))
+    assert out[0].text.endswith("short") and all(out[i].text.endswith("own") and out[i].n_dropped == 2 for i in (1, 2, 3))
+
+
+def test_lines_equal_ones_recur(spark):
+    """Short lines and lines of numbers from three documents on, passages of 50 words from two on."""
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
+    rows = [(0, f"Read more\n(c) 2024 12 34 56\n{passage}\nalpha"), (1, f"Read more\n{passage}\n(c) 2024 12 34 56\nbeta"), (2, "Read more\ngamma\n(c) 2024 12 34 56\nonly two"), (3, "only two\n(c) 2025 12 34 56")]
+    out = {r.doc_id: r.text for r in lines.dedup(common.with_row_id(spark.createDataFrame(rows, "doc_id long, text string"), "_row")).collect()}
+    assert out == {0: rows[0][1], 1: "beta", 2: "gamma\nonly two", 3: rows[3][1]}
 
 
 def test_quality_rejects_outliers_and_keeps_the_rest(spark, tmp_path):

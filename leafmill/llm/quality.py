@@ -1,11 +1,12 @@
 """Quality rules: base rules, then robust multivariate outliers per language and source.
 
-Five statistics of a text (length, mean word length, symbols, repeated lines and
-repeated words, each per word and on a log scale) are held as whole thousandths, so all
+Five statistics of a text (length, mean word length, symbols and repeated words per word,
+repeated lines per line, on a log scale) are held as whole thousandths, so all
 sums are exact.  For each group a minimum-covariance-determinant estimate is
-found by concentration steps: start from medians and median deviations, keep
-the half with the smallest distances, take its mean and covariance, repeat;
-then reweight with what lies inside the 97.5 % ellipse.  A text whose squared
+found by concentration steps: keep the half with the smallest distances, take its
+mean and covariance, repeat.  The steps start from two sets of distances, both from medians and median deviations: the
+sum of squares, and the largest one; of the two halves they end in, that with the smaller determinant is taken,
+then reweighted with what lies inside the 97.5 % ellipse.  A text whose squared
 Mahalanobis distance to its group is over CUTOFF is rejected.
 
 Everything is DataFrame expressions.  Texts are read once for their statistics;
@@ -14,9 +15,10 @@ BINS distance classes are gathered, so a group with a third of all rows is aggre
 any other.  Repeated windows of words are found by 64-bit hashes within a text.
 
 Null and empty texts have no words and fail the base rules.  Null language or
-source is a value of its own.  Groups of fewer than LEAST texts are pooled by
-language; a pool that is still smaller rejects nothing.  Repeated rows and ids
-are judged row by row; other columns are carried along by the stage.
+source is a value of its own.  A text is judged by its language and source if they
+have LEAST texts that pass the base rules, else by all texts of the language, or by the whole corpus where those are
+fewer than LEAST; a corpus of fewer rejects nothing more.  Repeated rows and ids
+are judged row by row; other columns are carried along by the stage under any name.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import BROADCAST_ROWS, SPACE, cut, let, lookup_join, table, with_row_id
+from leafmill.llm.common import SPACE, cut, is_small, let, lookup_join, table, unwrapped, with_row_id, wrapped
 
 #: Statistics in thousandths, as SQL both engines read: floor(1000 * ln(1 + x) + 0.5).
 STATISTICS = [
     "floor(1000 * ln(cast(n_words as double)) + 0.5)",
     "floor(1000 * ln(cast(word_chars as double) / n_words) + 0.5)",
     "floor(1000 * ln(1 + cast(n_symbols as double) / n_words) + 0.5)",
-    "floor(1000 * ln(1 + cast(n_dup_lines as double) / n_words) + 0.5)",
+    "floor(1000 * ln(1 + cast(n_dup_lines as double) / text_lines) + 0.5)",
     "floor(1000 * ln(1 + cast(n_repeat_words as double) / n_words) + 0.5)",
 ]
 #: A least standard deviation of each, in thousandths: most texts have no symbols at all.
@@ -48,7 +50,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, text_lines (long) and base_failed."""
     long = lambda x: x.cast("long")
     whole = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(whole, F.lit(BLANKS))
@@ -73,8 +75,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
     lines = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     out = docs.withColumn("_s", let(words, of)).withColumn("n_symbols", long(F.regexp_count(whole, F.lit("[#*$%&|<>]"))))
-    out = out.withColumn("n_dup_lines", long(let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))))
-    out = out.select("*", "_s.n_words", "_s.word_chars", "_s.n_repeat_words").drop("_s")
+    out = out.withColumn("_l", let(lines, lambda x: F.struct(long(F.size(x)).alias("text_lines"), long(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))))
+    out = out.select("*", "_s.*", "_l.*").drop("_s", "_l")
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -88,8 +90,9 @@ def _sums(sums: str) -> list[str]:
 
 
 def _estimate(factor: float) -> list[str]:
-    """Mean and covariance from the sums."""
-    cov = lambda i, j: f"(cast(m * q{i}{j} - s{i} * s{j} as double) / (cast(m as double) * m)) * {factor}" + (f" + {LEAST_SD[i] ** 2}" if i == j else "")
+    """Mean and covariance from the sums; variances have a floor, and a hundredth of it on top keeps the matrix regular."""
+    raw = lambda i, j: f"(cast(m * q{i}{j} - s{i} * s{j} as double) / (cast(m as double) * m)) * {factor}"
+    cov = lambda i, j: raw(i, j) if i != j else f"greatest({raw(i, j)}, {float(LEAST_SD[i] ** 2)}) + {LEAST_SD[i] ** 2 / 100}"
     return [*[f"cast(s{i} as double) / m as u{i}" for i in range(P)], *[f"{cov(i, j)} as c{i}{j}" for i, j in _pairs()]]
 
 
@@ -126,36 +129,67 @@ def _distance() -> list[list[str]]:
 BIN = f"cast(least(floor(d2 * 16), {BINS}) as int) as bin"
 
 
+#: Log of the square root of the determinant, rounded so that equal halves tie.
+VOLUME = "round(" + " + ".join(f"ln(l{i}{i})" for i in range(P)) + ", 9) as volume"
+XS = [f"x{i}" for i in range(P)]
+FIRST = {0: " + ".join(f"((x{i} - u{i}) / v{i}) * ((x{i} - u{i}) / v{i})" for i in range(P)), 1: "greatest(" + ", ".join(f"abs(x{i} - u{i}) / v{i}" for i in range(P)) + ")"}
+
+
+def groups(seen: DataFrame) -> DataFrame:
+    """By lang and source: the group its texts are judged by, and all groups they are members of (grp, judged); cut."""
+    sizes = cut(seen.groupBy("lang", "source").agg(F.count("*").alias("n")))
+    langs = sizes.groupBy(F.col("lang").alias("_l")).agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    corpus = sizes.agg(F.sum("n")).first()[0] or 0
+    sizes = cut(sizes.join(langs, sizes["lang"].eqNullSafe(langs["_l"])).drop("_l"))
+    rare = F.lit(not sizes.where(F.col("n_lang") < LEAST).isEmpty())
+    own, lang = F.col("n") >= LEAST, (F.col("n") < LEAST) & (F.col("n_lang") >= LEAST)
+    key = lambda level, *of: F.xxhash64(F.to_json(F.struct(F.lit(level).alias("level"), *of)))
+    none = F.lit(None)
+    member = F.array(
+        F.struct(F.when(own, key(0, "lang", "source")).alias("grp"), own.alias("judged")),
+        F.struct(F.when((F.col("least") < LEAST) & (F.col("n_lang") >= LEAST), key(1, "lang")).alias("grp"), lang.alias("judged")),
+        F.struct(F.when(rare & F.lit(corpus >= LEAST), key(2)).otherwise(none).alias("grp"), (F.col("n_lang") < LEAST).alias("judged")),
+    )
+    return cut(sizes.select("lang", "source", F.explode(F.filter(member, lambda g: g["grp"].isNotNull())).alias("g")).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "g.grp", "g.judged"))
+
+
 def verdicts(stats: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
     """``stats`` (from statistics(), with lang and source; cut) with ``d2`` (null: not judged) and ``kept``."""
-    stats = stats.withColumn("_id", F.monotonically_increasing_id())
+    stats = with_row_id(stats, "_id")
     seen = stats.where("not base_failed")
-    # small groups are pooled by language
-    sizes = seen.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    group = sizes.select("lang", "source", F.when(F.col("n") >= LEAST, F.struct("source")).alias("g"))
-    group = cut(group.withColumn("grp", F.xxhash64(F.to_json(F.struct("lang", "g")))).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "grp"))
+    group = groups(seen)
     same = seen["lang"].eqNullSafe(group["_l"]) & seen["source"].eqNullSafe(group["_s"])
-    small = group.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    x = seen.join(F.broadcast(group) if small else group, same).selectExpr("_id", "grp", *[f"cast({s} as bigint) as x{i}" for i, s in enumerate(STATISTICS)])
+    x = seen.join(F.broadcast(group) if is_small(group) else group, same).selectExpr("_id", "grp", "judged", *[f"cast({s} as bigint) as x{i}" for i, s in enumerate(STATISTICS)])
     x = cut(x)
-    of = lambda df, table: lookup_join(df, cut(table), ["grp"], "inner")
+    of = lambda df, table, on=("grp", "start"): lookup_join(df, cut(table), list(on), "inner")
 
-    centre = of(x, x.groupBy("grp").agg(*[F.expr(f"percentile(x{i}, 0.5) as u{i}") for i in range(P)], F.expr(f"count(*) >= {LEAST} as enough")).where("enough").drop("enough"))
-    spread = of(centre, centre.groupBy("grp").agg(*[F.expr(f"greatest(1.4826 * percentile(abs(x{i} - u{i}), 0.5), {float(LEAST_SD[i])}) as v{i}") for i in range(P)]))
-    near = spread.selectExpr("_id", "grp", *[f"x{i}" for i in range(P)], " + ".join(f"((x{i} - u{i}) / v{i}) * ((x{i} - u{i}) / v{i})" for i in range(P)) + " as d2")
-    for step in range(steps + 2):
-        near = near.selectExpr("*", BIN)
-        if step <= steps:  # the half with the smallest distances
-            half = of(near, near.groupBy("grp").agg(F.expr("percentile(bin, 0.5) as most"))).where("bin <= most")
-        else:  # all inside the ellipse
-            half = near.where(f"d2 <= {INNER}")
-        model = half.groupBy("grp").agg(*[F.expr(e) for e in _sums("decimal(38,0)")]).selectExpr("grp", *_estimate(RAW if step <= steps else 1.0))
-        for e in _lower():
-            model = model.selectExpr("*", *e)
-        near = of(x, model.select("grp", *PARAMETERS))
+    def distances(rows, model):
+        near = of(rows, model.select("grp", *(["start"] if "start" in rows.columns else []), *PARAMETERS), ("grp", "start") if "start" in rows.columns else ("grp",))
         for e in _distance():
             near = near.selectExpr("*", *e)
-        near = near.select("_id", "grp", *[f"x{i}" for i in range(P)], "d2")
+        return near.drop(*PARAMETERS, *[f"z{i}" for i in range(P)])
+
+    def estimated(rows, factor, *by):
+        model = rows.groupBy(*by).agg(*[F.expr(e) for e in _sums("decimal(38,0)")]).selectExpr(*by, *_estimate(factor))
+        for e in _lower():
+            model = model.selectExpr("*", *e)
+        return model
+
+    centre = of(x, x.groupBy("grp").agg(*[F.expr(f"percentile(x{i}, 0.5) as u{i}") for i in range(P)]), ["grp"])
+    spread = of(centre, centre.groupBy("grp").agg(*[F.expr(f"greatest(1.4826 * percentile(abs(x{i} - u{i}), 0.5), {float(LEAST_SD[i])}) as v{i}") for i in range(P)]), ["grp"])
+    starts = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), F.expr(e).alias("d2")) for k, e in FIRST.items()])).alias("d")
+    near = spread.select("grp", *XS, starts).select("grp", *XS, "d.*")
+    both = x.select("grp", *XS, F.explode(F.array(*map(F.lit, FIRST))).alias("start"))
+    for step in range(steps + 1):
+        near = near.selectExpr("*", BIN)
+        half = of(near, near.groupBy("grp", "start").agg(F.expr("percentile(bin, 0.5) as most"))).where("bin <= most")
+        model = cut(estimated(half, RAW, "grp", "start"))
+        if step < steps:
+            near = distances(both, model)
+    best = model.selectExpr("grp", "start", VOLUME).groupBy("grp").agg(F.min(F.struct("volume", "start")).getField("start").alias("start"))
+    model = model.join(best, ["grp", "start"], "left_semi").drop("start")
+    near = distances(x, model).where(f"d2 <= {INNER}")
+    near = distances(x.where("judged"), estimated(near, 1.0, "grp"))
     judged = stats.join(near.select("_id", "d2"), "_id", "left").drop("_id")
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff)))
 
@@ -168,12 +202,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """Pipeline stage: documents that the rules reject go; the columns stay as they are."""
-    rows = with_row_id(docs, "_row")
-    stats = cut(statistics(rows.select("_row", "text", "lang", "source")).drop("text"))
+    rows = wrapped(docs, "text", "lang", "source")
+    stats = cut(statistics(rows.drop("_in")).drop("text"))
     gone = cut(verdicts(stats).where("not kept").select("_row"))
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    return unwrapped(lookup_join(rows.select("_row", "_in"), gone, ["_row"], "left_anti"), docs)
 
 
 def oracle(docs: str = "documents") -> str:
@@ -187,30 +219,48 @@ def oracle(docs: str = "documents") -> str:
     stats as (
       select t._id, doc_id, lang, source, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
         cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines,
-        cast(coalesce(rep.n, 0) as bigint) as n_repeat_words
+        cast(coalesce(rep.n, 0) as bigint) as n_repeat_words, len(l) as text_lines
       from t join w using (_id) left join rep using (_id)),
     judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from stats),
-    seen as (select *, count(*) over (partition by lang, source) as n from judged where not base_failed),
-    x as (select _id, dense_rank() over (order by lang, case when n >= {LEAST} then 1 else 0 end, case when n >= {LEAST} then source end) as grp,
-      {', '.join(f'cast({s} as bigint) as x{i}' for i, s in enumerate(STATISTICS))} from seen)"""
-    xs = ", ".join(f"x{i}" for i in range(P))
+    sizes as (select *, sum(n) over (partition by lang) as n_lang, min(n) over (partition by lang) as least, sum(n) over () as corpus
+      from (select lang, source, count(*) as n from judged where not base_failed group by lang, source)),
+    members as (select lang, source, 0 as level, true as judged from sizes where n >= {LEAST}
+      union all select lang, source, 1, n < {LEAST} from sizes where least < {LEAST} and n_lang >= {LEAST}
+      union all select lang, source, 2, n_lang < {LEAST} from sizes where corpus >= {LEAST} and (select min(n_lang) from sizes) < {LEAST}),
+    x as (select _id, m.judged, concat_ws('|', level, case when level < 2 then coalesce('=' || j.lang, '') end, case when level < 1 then coalesce('=' || j.source, '') end) as grp,
+      {', '.join(f'cast({s} as bigint) as x{i}' for i, s in enumerate(STATISTICS))}
+      from judged j join members m on j.lang is not distinct from m.lang and j.source is not distinct from m.source where not base_failed)"""
+    xs = ", ".join(XS)
     ctes = [base.strip()]
-    ctes.append("med as (select grp, " + ", ".join(f"quantile_cont(x{i}, 0.5) as u{i}" for i in range(P)) + f" from x group by grp having count(*) >= {LEAST})")
+    ctes.append("med as (select grp, " + ", ".join(f"quantile_cont(x{i}, 0.5) as u{i}" for i in range(P)) + " from x group by grp)")
     ctes.append("mad as (select grp, " + ", ".join(f"greatest(1.4826::double * quantile_cont(abs(x{i} - u{i}), 0.5), {float(LEAST_SD[i])}) as v{i}" for i in range(P)) + " from x join med using (grp) group by grp)")
-    ctes.append(f"n0 as (select _id, grp, {xs}, " + " + ".join(f"((x{i} - u{i}) / v{i}) * ((x{i} - u{i}) / v{i})" for i in range(P)) + " as d2 from x join med using (grp) join mad using (grp))")
-    for step in range(STEPS + 2):
-        ctes.append(f"b{step} as (select *, {BIN} from n{step})")
-        half = f"(select * from b{step} join (select grp, quantile_cont(bin, 0.5) as most from b{step} group by grp) using (grp) where bin <= most)" if step <= STEPS else f"(select * from b{step} where d2 <= {INNER})"
-        ctes.append(f"m{step}_0 as (select grp, {', '.join(_estimate(RAW if step <= STEPS else 1.0))} from (select grp, {', '.join(_sums('hugeint'))} from {half} group by grp))")
+    ctes.append("n0 as (" + " union all ".join(f"select grp, {k} as start, {xs}, {e} as d2 from x join med using (grp) join mad using (grp)" for k, e in FIRST.items()) + ")")
+
+    def estimated(name: str, rows: str, factor: float, by: str) -> str:
+        ctes.append(f"{name}_0 as (select {by}, {', '.join(_estimate(factor))} from (select {by}, {', '.join(_sums('hugeint'))} from {rows} group by {by}))")
         for k, e in enumerate(_lower()):
-            ctes.append(f"m{step}_{k + 1} as (select *, {e[0]} from m{step}_{k})")
-        ctes.append(f"d{step}_0 as (select _id, x.grp, {xs}, {', '.join(PARAMETERS)} from x join m{step}_{len(_lower())} using (grp))")
+            ctes.append(f"{name}_{k + 1} as (select *, {e[0]} from {name}_{k})")
+        return f"{name}_{len(_lower())}"
+
+    def distances(name: str, model: str, more: str) -> str:
+        ctes.append(f"{name}_0 as (select _id, judged, x.grp, {more} {xs}, {', '.join(PARAMETERS)} from x join {model} using (grp))")
         for k, e in enumerate(_distance()):
-            ctes.append(f"d{step}_{k + 1} as (select *, {e[0]} from d{step}_{k})")
-        ctes.append(f"n{step + 1} as (select _id, grp, {xs}, d2 from d{step}_{len(_distance())})")
+            ctes.append(f"{name}_{k + 1} as (select *, {e[0]} from {name}_{k})")
+        return f"{name}_{len(_distance())}"
+
+    near = "n0"
+    for step in range(STEPS + 1):
+        ctes.append(f"b{step} as (select *, {BIN} from {near})")
+        half = f"(select * from b{step} join (select grp, start, quantile_cont(bin, 0.5) as most from b{step} group by grp, start) using (grp, start) where bin <= most)"
+        model = estimated(f"m{step}", half, RAW, "grp, start")
+        if step < STEPS:
+            near = distances(f"d{step}", model, "start,")
+    ctes.append(f"best as (select * from {model} qualify row_number() over (partition by grp order by {VOLUME.removesuffix(' as volume')}, start) = 1)")
+    inner = distances("di", "best", "")
+    last = distances("dl", estimated("ml", f"(select * from {inner} where d2 <= {INNER})", 1.0, "grp"), "")
     return f"""with {', '.join(ctes)}
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and (d2 is null or d2 <= {CUTOFF}) as kept
-    from judged left join n{STEPS + 2} using (_id)"""
+    from judged left join (select _id, d2 from {last} where judged) using (_id)"""
 
 
 QUERIES = {"op1_quality": op1_quality}

@@ -17,7 +17,8 @@ out again by blocks of their remaining bits, which is exact for the same reason.
 
 Texts: null, empty and blank ones have fingerprint zero and link like any other.
 Equal or null doc_ids and repeated rows are kept as rows; component_id is the
-smallest non-null doc_id reachable (null if there is none).
+smallest non-null doc_id reachable (null if there is none).  Other columns pass
+through the stage under any name.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import components, cut, lookup_join, small_batches, table, with_row_id
+from leafmill.llm.common import components, cut, lookup_join, small_batches, table, unwrapped, wrapped
 
 BITS, SHINGLE = 2, 3
 #: Members of an index node.
@@ -182,9 +183,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """(_row, doc_id, fp, component_id) of every row of ``docs`` (doc_id, text)."""
+    """(_row, doc_id, fp, component_id) of every row of ``docs`` (_row, doc_id, text)."""
     small_batches(docs.sparkSession)
-    rows = cut(fingerprints(with_row_id(docs.select("doc_id", "text"), "_row"), shingle).select("_row", "doc_id", "fp"))
+    rows = cut(fingerprints(docs.select("_row", "doc_id", "text"), shingle).select("_row", "doc_id", "fp"))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(fps.select("fp"), bits))
     named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -193,18 +194,18 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = near_duplicates(table(spark, sf_dir, "documents"))
+    rows = near_duplicates(wrapped(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the row with the smallest doc_id stays (of repeated rows the first)."""
-    rows = with_row_id(docs, "_row")
-    found = near_duplicates(docs).withColumn("_first", F.coalesce("component_id", F.lit(0)))
+    rows = wrapped(docs, "doc_id", "text")
+    found = near_duplicates(rows)
     # a row stays if it is the least of its component: the component's id itself, once
     mine = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = mine.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp")).agg(F.min("_row").alias("_row"))
-    return rows.join(stay.select("_row"), "_row", "left_semi").drop("_row")
+    stay = cut(mine.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp")).agg(F.min("_row").alias("_row")).select("_row"))
+    return unwrapped(lookup_join(rows.select("_row", "_in"), stay, ["_row"], "left_semi"), docs)
 
 
 QUERIES = {"op7_simhash": op7_simhash}

@@ -197,9 +197,9 @@ def test_gray_index_finds_all_links(spark, hot):
 
 
 def test_one_of_each_keeps_one_row(spark, odd):
-    docs = spark.read.parquet(f"{odd}/documents.parquet").drop("_row")
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
     kept = simhash.one_of_each(spark, docs).collect()
-    rows = simhash.near_duplicates(docs).collect()
+    rows = simhash.near_duplicates(common.wrapped(docs, "doc_id", "text")).collect()
     assert len(kept) == len({(r.component_id, r.fp if r.component_id is None else 0) for r in rows})
     assert set(kept[0].asDict()) == set(docs.columns)
 
@@ -281,6 +281,55 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark, tmp_path):
     assert kept == set(range(len(good)))
 
 
+def robust_distances(x):
+    """Squared distances to the reweighted estimate of least determinant, by numpy."""
+    floor = np.array(quality.LEAST_SD, float)
+    middle = np.median(x, axis=0)
+    spread = np.maximum(1.4826 * np.median(np.abs(x - middle), axis=0), floor)
+
+    def estimate(rows, factor):
+        cov = np.cov(rows.T, bias=True) * factor
+        cov[np.diag_indices(5)] = np.maximum(cov.diagonal(), floor**2) + floor**2 / 100
+        return rows.mean(axis=0), cov
+
+    def distances(mean, cov):
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    found = []
+    for d2 in ((((x - middle) / spread) ** 2).sum(axis=1), np.abs((x - middle) / spread).max(axis=1)):
+        for _ in range(quality.STEPS + 1):
+            bins = np.minimum(np.floor(d2 * 16), quality.BINS)
+            model = estimate(x[bins <= np.quantile(bins, 0.5)], quality.RAW)
+            d2 = distances(*model)
+        found.append((np.linalg.det(model[1]), d2))
+    d2 = min(found, key=lambda f: f[0])[1]
+    return distances(*estimate(x[d2 <= quality.INNER], 1.0))
+
+
+def test_quality_against_numpy_and_small_groups(spark):
+    """Large groups by themselves, small ones by their language, rare languages by the corpus."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for lang, source, n in (("en", "a", 300), ("en", "b", 90), ("en", "c", 7), ("xx", "a", 5), (None, None, 60)):
+        for _ in range(n):
+            words = int(rng.lognormal(5, 0.7)) + 10
+            rows.append((len(rows), lang, source, words, int(words * rng.normal(5, 0.3)), int(rng.integers(0, 4) * words // 50), int(rng.integers(0, 2)), int(rng.integers(0, 2) * words // 10), int(words // 9 + 2), False))
+    rows += [(1000, "en", "c", 100, 1900, 0, 0, 0, 12, False), (1001, "xx", "a", 100, 500, 300, 0, 0, 12, False), (1002, "xx", None, 100, 500, 300, 0, 0, 12, True)]
+    schema = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_lines long, base_failed boolean"
+    got = {r.doc_id: r for r in quality.verdicts(spark.createDataFrame(rows, schema)).collect()}
+    x = np.array([[math.floor(1000 * v + 0.5) for v in (math.log(r[3]), math.log(r[4] / r[3]), math.log(1 + r[5] / r[3]), math.log(1 + r[6] / r[8]), math.log(1 + r[7] / r[3]))] for r in rows], float)
+    passed = np.array([not r[9] for r in rows])
+    for i, r in enumerate(rows):
+        if r[9]:
+            assert got[r[0]].d2 is None and not got[r[0]].kept
+            continue
+        own = np.array([o[1:3] == r[1:3] for o in rows]) & passed
+        lang = np.array([o[1] == r[1] for o in rows]) & passed
+        group = own if own.sum() >= quality.LEAST else lang if lang.sum() >= quality.LEAST else passed
+        assert got[r[0]].d2 == pytest.approx(robust_distances(x[group])[np.flatnonzero(group).searchsorted(i)], rel=1e-6)
+    assert not got[1000].kept and not got[1001].kept
+
+
 def test_urls_longest_rule_and_odd_urls(spark):
     cases = {"http://A.Example.COM/en/7x?q": "allow", "https://b.com/en/": "block", "http://com/en/": "block", "http://xcom/en/": "allow", "http://x.example.net/de/8": "block", "http://net/de/": "allow", "x.com/en/": "allow", None: "allow", "": "allow", "http://": "allow", "http://b.com/en": "allow"}
     df = spark.createDataFrame([(i, u) for i, u in enumerate(cases)] * 2, "page_id long, url string")

@@ -1,23 +1,25 @@
 """Personal data: fixed patterns, then identifiers found by bootstrapped context.
 
 Base spans (email, ip, card, phone) come from the regular expressions below, with
-positions from the gaps between matches.  They seed the second part: the words
-left and right of a seed are lexical patterns.  Patterns and the identifier-like
+positions from the gaps between matches.  They are seeds of the second part, with
+tokens that are secrets by their shape alone (SECRET digits and letters of a hexadecimal number).
+The words around a seed, one or two on either side, are lexical patterns.  Patterns and the identifier-like
 tokens that stand in them form a graph, and scores go to and fro for ROUNDS
-rounds: a pattern's score is the share of its occurrences that are (likely)
-personal, a token's the mean over its patterns.  A token whose mean over the patterns
-with enough different seeds is high is a seed from the next round on.  Patterns with a high score and
-enough different seeds are trusted; the unknown tokens in their context, and
-tokens that became seeds wherever they stand, are spans of kind "id".
-
-All is DataFrame expressions; texts are read once, the graph is aggregated by shuffles,
+rounds: a pattern's score is what its instances score, by the number of all its occurrences in the
+corpus, whatever stands there, so a frequent word is no pattern however many seeds it has beside it; a token's score is
+that of its best pattern with SEEDS different seeds.  A token that scores TRUST is a seed of the next round with that score.
+Identifier-like tokens in patterns that score TRUST, and tokens that became
+seeds wherever they stand, are spans of kind "id".
+
+All is DataFrame expressions; texts are read once for spans and once to count the occurrences of the
+patterns that could be trusted; the graph is aggregated by shuffles,
 and sums are whole numbers, so that no result depends on the order of rows.
 Expressions are written to run in linear time and without recursion: an atom
 never gives back what it took, and a run of characters is tried from its start
 or from the end of the match before only.
 
 Null and empty texts have no spans.  Repeated rows and ids are kept apart by a row
-id; a text's spans may overlap across kinds.  Other columns pass through the stage.
+id; a text's spans may overlap across kinds.  Other columns pass through the stage under any name.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, let, lookup_join, table, with_row_id
+from leafmill.llm.common import cut, let, lookup_join, table, unwrapped, wrapped
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 #: The base patterns, each with what a text must hold to be searched (fixed values, in the form that never backtracks far).
@@ -38,6 +40,8 @@ PATTERNS = {
 }
 #: Identifier-like tokens: code points, and digits at least.
 ID_LEAST, ID_MOST, ID_DIGITS = 8, 128, 3
+#: Letters and digits that a hexadecimal number has at least to be a secret by its shape.
+SECRET = 32
 #: Code points of context that a pattern's word is looked for in.
 CONTEXT = 80
 #: Scores are millionths.
@@ -82,13 +86,37 @@ def _spans(text, digits, kind: str):
     return F.when(holds, let(matches, lambda m: F.when(F.size(m) > 0, walk(m)).otherwise(none))).otherwise(none)
 
 
+WORD = r"[\p{L}\p{N}]++"
+GAP = r"[^\p{L}\p{N}]"
+
+
 def _contexts(text, start, end):
-    """Lexical patterns of a span: the nearest word on either side."""
-    left = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    right = F.substring(text, end + 1, F.lit(CONTEXT))
-    before = F.lower(F.regexp_extract(left, r"([\p{L}\p{N}]++)[^\p{L}\p{N}]*+$", 1))
-    after = F.lower(F.regexp_extract(right, r"^[^\p{L}\p{N}]*+([\p{L}\p{N}]++)", 1))
-    return F.filter(F.array(F.concat(F.lit("L:"), before), F.concat(F.lit("R:"), after)), lambda p: F.length(p) > 2)
+    """Lexical patterns of a span: the nearest word, and the nearest two, on either side."""
+    left = F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
+    right = F.lower(F.substring(text, end + 1, F.lit(CONTEXT)))
+    before = F.split(F.regexp_replace(F.regexp_extract(left, f"(?:{WORD}{GAP}++)?{WORD}{GAP}*+$", 0), f"{GAP}++", " "), " ")
+    after = F.split(F.regexp_replace(F.regexp_extract(right, f"^{GAP}*+{WORD}(?:{GAP}++{WORD})?", 0), f"{GAP}++", " "), " ")
+
+    def sides(before, after):
+        b, a = (F.filter(x, lambda w: w != "") for x in (before, after))
+        one = lambda mark, w: F.when(w.isNotNull(), F.concat(F.lit(mark), w))
+        two = lambda mark, w: F.when(F.size(w) > 1, F.concat(F.lit(mark), F.array_join(w, " ")))
+        return F.filter(F.array(one("L:", F.get(b, F.size(b) - 1)), two("L:", b), one("R:", F.get(a, F.lit(0))), two("R:", a)), lambda p: p.isNotNull())
+
+    return let(F.struct(before.alias("b"), after.alias("a")), lambda x: sides(x["b"], x["a"]))
+
+
+def _words_of(pattern):
+    """Key of a pattern's words, without its side."""
+    return F.xxhash64(F.substring(pattern, 3, 2 * CONTEXT))
+
+
+def occurrences(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(words, total): how often the words of each of ``patterns`` (words) stand in the texts of ``rows``, next to each other if they are two."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    keys = lambda w: F.concat(F.transform(w, lambda x: F.xxhash64(x)), F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x, i: F.xxhash64(F.concat_ws(" ", x, F.get(w, i + 1)))))
+    each = rows.select(F.explode(F.when(F.col("text").rlike(WORD), let(found, keys))).alias("words"))
+    return lookup_join(each, patterns, ["words"], "inner").groupBy("words").agg(F.count("*").alias("total"))
 
 
 def marked(rows: DataFrame) -> DataFrame:
@@ -102,20 +130,26 @@ def marked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seen", seen).drop("_t", "_d", "_all")
 
 
-def trusted(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Patterns and instances to trust, from ``seen`` (instance, kind, patterns), by scores that go round the pattern-instance graph."""
-    edges = seen.select("instance", (F.col("kind") < 4).alias("seed"), F.explode("patterns").alias("pattern"))
-    edges = cut(edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
-    known = edges.select("pattern", "instance", "n", "seed", F.when(F.col("seed"), ONE).otherwise(0).cast("long").alias("s"))
+def trusted(seen: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patterns and instances to trust, from ``seen`` (instance, kind, patterns) in ``rows`` (text), by scores that go round the pattern-instance graph."""
+    secret = F.col("instance").rlike(f"^(?:[0-9a-f]{{{SECRET},}}|[0-9A-F]{{{SECRET},}})$") & F.col("instance").rlike("(?i)[a-f]")
+    edges = seen.select("instance", ((F.col("kind") < 4) | secret).alias("seed"), F.explode("patterns").alias("pattern"))
+    edges = edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    # only patterns with so many instances can have so many seeds
+    edges = cut(edges)
+    wide = cut(edges.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= SEEDS).select("pattern", _words_of(F.col("pattern")).alias("words")))
+    totals = cut(occurrences(rows, cut(wide.select("words").distinct())))
+    wide = cut(lookup_join(wide, totals, ["words"]).select("pattern", F.coalesce("total", F.lit(0)).alias("total")))
+    edges = cut(lookup_join(edges, wide, ["pattern"], "inner"))
+    known = edges.select("pattern", "instance", "n", "total", F.when(F.col("seed"), ONE).otherwise(0).cast("long").alias("s"))
     for turn in range(ROUNDS):
-        score = cut(known.groupBy("pattern").agg(F.expr("sum(cast(n as decimal(38,0)) * s) div (sum(n) + 1)").cast("long").alias("p"), F.count_if("seed").alias("seeds")))
-        scored = lookup_join(edges, score, ["pattern"])
-        held = f"coalesce(sum(cast(n as decimal(38,0)) * p) filter (where seeds >= {SEEDS}) div sum(n) filter (where seeds >= {SEEDS}) >= {TRUST}, false)"
-        value = cut(scored.groupBy("instance").agg(F.expr("sum(cast(n as decimal(38,0)) * p) div sum(n)").cast("long").alias("v"), F.expr(held).alias("found")))
+        score = known.groupBy("pattern").agg(F.expr("sum(cast(n as decimal(38,0)) * s) div greatest(sum(n), max(total))").cast("long").alias("p"), F.count_if(F.col("s") > 0).alias("seeds"))
+        good = cut(score.where((F.col("p") >= TRUST) & (F.col("seeds") >= SEEDS)).select("pattern", "p"))
+        value = cut(lookup_join(edges.select("pattern", "instance"), good, ["pattern"], "inner").groupBy("instance").agg(F.max("p").alias("v")))
         if turn < ROUNDS - 1:
-            known = lookup_join(edges, value, ["instance"]).withColumn("seed", F.col("seed") | F.col("found"))
-            known = cut(known.select("pattern", "instance", "n", "seed", F.when(F.col("seed"), ONE).otherwise(F.col("v")).cast("long").alias("s")))
-    return score.where((F.col("p") >= TRUST) & (F.col("seeds") >= SEEDS)).select("pattern"), value.where("found").select("instance")
+            known = lookup_join(edges, value, ["instance"])
+            known = cut(known.select("pattern", "instance", "n", "total", F.when(F.col("seed"), ONE).otherwise(F.coalesce("v", F.lit(0))).cast("long").alias("s")))
+    return good.select("pattern"), value.select("instance")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -123,11 +157,11 @@ def find(docs: DataFrame) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
     slim = cut(marked(docs).select(*keep, "base", "seen"))
     each = slim.where(F.size("seen") > 0).select("_row", F.explode("seen").alias("s")).select("_row", "s.*")
-    good, ids = trusted(each)
+    good, ids = trusted(each, docs)
     tokens = each.where(F.col("kind") == 4)
     span = F.struct("start", "kind", "end").alias("s")
-    more = lookup_join(tokens.withColumn("pattern", F.explode("patterns")), cut(good), ["pattern"], "left_semi").select("_row", span)
-    more = more.union(lookup_join(tokens, cut(ids), ["instance"], "left_semi").select("_row", span))
+    more = lookup_join(tokens.withColumn("pattern", F.explode("patterns")), good, ["pattern"], "left_semi").select("_row", span)
+    more = more.union(lookup_join(tokens, ids, ["instance"], "left_semi").select("_row", span))
     more = more.groupBy("_row").agg(F.collect_set("s").alias("more"))
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
     return slim.drop("seen").join(more, "_row", "left").withColumn("spans", spans).drop("more")
@@ -139,7 +173,7 @@ def _joined(spans: str):
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(with_row_id(table(spark, sf_dir, "documents").select("doc_id", "text"), "_row"))
+    found = find(wrapped(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").drop("_in"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{KINDS[k]}") for k in range(4)]
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
@@ -147,7 +181,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """Pipeline stage: every span becomes its kind in angle brackets; n_chars follows the text."""
-    rows = with_row_id(docs, "_row")
+    rows = wrapped(docs, "text", "n_chars")
     spans = cut(find(rows.select("_row", "text")).where(F.size("spans") > 0).select("_row", "spans"))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
@@ -157,9 +191,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> D
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(new, text).otherwise(a["out"]).alias("out"))
 
     walked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    new = lookup_join(rows, spans, ["_row"]).withColumn("_new", F.when(F.col("spans").isNotNull(), walked))
-    out = {"text": F.coalesce("_new", "text")} | ({"n_chars": F.when(F.col("_new").isNotNull(), F.length("_new")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return new.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
+    new = lookup_join(rows, spans, ["_row"]).withColumn("new", F.when(F.col("spans").isNotNull(), walked))
+    length = F.when(F.col("new").isNotNull(), F.length("new")).otherwise(F.col("n_chars"))
+    return unwrapped(new, docs, text=F.coalesce("new", "text"), n_chars=length)
 
 
 QUERIES = {"op8_pii": op8_pii}

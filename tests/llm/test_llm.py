@@ -248,6 +248,55 @@ def test_pii_found_identifiers_are_seeds_and_marked_everywhere(spark):
     assert all(found[i] == [4] for i in (*range(100, 108), *range(200, 208), 300, 301, 302)) and found[303] == []
 
 
+def brute_ids(docs):
+    """Spans of found identifiers by a plain reading of the rules, over lists."""
+    import regex
+
+    words = lambda t: regex.findall(r"[\p{L}\p{N}]+", t)
+    seen, totals = [], collections.Counter()
+    for row, text in docs:
+        base = [(a, b, True) for a, _, b in brute_spans(text)]
+        ids = [(m.start(), m.end(), False) for m in regex.finditer(r"(?<![A-Za-z0-9_-])[A-Za-z_-]*[0-9][A-Za-z0-9_-]*", text) if 8 <= len(m[0]) <= 128 and len(re.sub("[^0-9]", "", m[0])) >= 3]
+        ids = [(a, b, k) for a, b, k in ids if not any(x < b and a < y for x, y, _ in base)]
+        for a, b, known in base + ids:
+            left, right = words(text[max(a - 80, 0) : a].lower())[-2:], words(text[b : b + 80].lower())[:2]
+            patterns = {f"L:{w}" for w in left[-1:]} | {f"R:{w}" for w in right[:1]} | {f"L:{' '.join(left)}" for _ in left[1:]} | {f"R:{' '.join(right)}" for _ in right[1:]}
+            instance = text[a:b]
+            secret = re.fullmatch("[0-9a-f]{32,}|[0-9A-F]{32,}", instance) and re.search("[a-fA-F]", instance)
+            seen.append((row, a, b, known, instance, patterns, known or bool(secret)))
+        w = words(text.lower())
+        totals.update(w + [" ".join(p) for p in zip(w, w[1:], strict=False)])
+    seeds = {i for _, _, _, _, i, _, s in seen if s}
+    score = {i: 1_000_000 for i in seeds}
+    for _ in range(pii.ROUNDS):
+        by = collections.defaultdict(collections.Counter)
+        for _, _, _, _, i, patterns, _ in seen:
+            for q in patterns:
+                by[q][i] += 1
+        p = {q: sum(n * score.get(i, 0) for i, n in c.items()) // max(sum(c.values()), totals[q[2:]]) for q, c in by.items() if sum(score.get(i, 0) > 0 for i in c) >= pii.SEEDS}
+        good = {q: v for q, v in p.items() if v >= pii.TRUST}
+        value = {}
+        for _, _, _, _, i, patterns, _ in seen:
+            for q in patterns & good.keys():
+                value[i] = max(value.get(i, 0), good[q])
+        score = value | {i: 1_000_000 for i in seeds}
+    return {(row, a, b) for row, a, b, known, i, patterns, _ in seen if not known and (i in value or patterns & good.keys())}
+
+
+def test_pii_graph_scores_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    code = lambda: "".join(rng.choice(list("ABC0123456789"), 9)) + "123"
+    word = lambda: str(rng.choice(["the", "of", "and", "log", "über", "it's", "key", "is"]))
+    pool, docs = [code() for _ in range(25)], []
+    for i in range(400):
+        value = [f"u{i}@m{i}.org", str(rng.choice(pool)), code(), "".join(rng.choice(list("0123456789abcdef"), 40)), f"+1 415 555 {i:04d}"][rng.integers(5)]
+        before = [["account", "no"], ["badge"], ["my", "token ="], ["the"], []][rng.integers(5)]
+        docs.append((i, " ".join([word(), word(), *before, value, *(["for you"] if rng.random() < 0.4 else [word()]), word()])))
+    got = {(r._row, s.start, s.end) for r in pii.find(spark.createDataFrame(docs, "_row long, text string")).collect() for s in r.spans if s.kind == 4}
+    want = brute_ids(docs)
+    assert got == want and 20 < len(want) < 380
+
+
 def test_pii_redacts(spark, odd):
     docs = spark.createDataFrame([(1, "call +1 (415) 555-0000 or a@b.com", "en", "s", 33)], "doc_id long, text string, lang string, source string, n_chars long")
     r = pii.redact(spark, docs).collect()[0]

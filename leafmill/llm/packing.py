@@ -10,7 +10,7 @@ the number of lengths and of residual rooms, not by the corpus.
 Documents: null and empty texts hold the end id alone.  Repeated rows and equal
 or null doc_ids are packed as rows of their own.  Longer documents are cut so
 that the first piece may be shorter and all others are full; a full piece is a
-sequence by itself.
+sequence by itself.  The result has the named columns only: the pieces replace the documents.
 """
 
 from __future__ import annotations

@@ -581,12 +581,68 @@ def test_hot_count(spark):
         assert words.where(words.c >= lm.hot_count(words, most)).count() == want
 
 
-def test_pipeline_stages_keep_columns(spark, odd):
+def test_packing_odd_rows(spark, odd):
+    """Null, blank and repeated rows are packed as rows of their own."""
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    want = sorted((str(i), tuple([*t.encode(x or "", add_special_tokens=False).ids, packing.END])) for i, x in duckdb.sql(f"select doc_id, text from '{odd}/documents.parquet/*.parquet'").fetchall())
+    got = packing.op9_packing(spark, odd).collect()
+    lengths = collections.Counter((str(i), len(ids)) for i, ids in want if len(ids) <= packing.SIZE)
+    assert collections.Counter((str(r.doc_id), r.length) for r in got if r.start == 0 and (str(r.doc_id), r.length) in lengths) >= lengths
+    assert sum(r.length for r in got) == sum(len(ids) for _, ids in want)
+    crcs = collections.Counter(zlib.crc32(array.array("I", ids).tobytes()) for _, ids in want if len(ids) <= packing.SIZE)
+    assert collections.Counter(r.ids_crc32 for r in got if r.start == 0) >= crcs
+
+
+#: Every name that an operator uses for itself, as a user's column.
+OWN = "_row _in _new _text _long _id _l _t _d _s lines line n_lines n_dropped spans base seen new ids fp component_id kept d2 grp judged n_words text_lines words first leaf same".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, odd, tmp_path_factory):
+    """Odd documents among ordinary ones, with columns of all our names."""
+    folder = tmp_path_factory.mktemp("clashing")
+    docs = spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    more = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id + 100 as doc_id", "text", "lang", "source", "n_chars")
+    docs.union(more).selectExpr("*", *[f"cast(doc_id as string) || ':{n}' as `{n}`" for n in OWN]).coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_stages_keep_columns_of_any_name(spark, clashing, odd):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{clashing}/documents.parquet")
+    before = {(r.doc_id, r.lang, r.source): r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, clashing)
+        assert out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert rows and all(r[n] == before[r.doc_id, r.lang, r.source][n] for r in rows for n in OWN)
+        if name in ("line dedup", "PII"):
+            assert len(rows) == docs.count()
+        none = stage(spark, docs.limit(0), clashing)
+        assert none.dtypes == docs.dtypes and none.count() == 0
+        # fewer columns, and rows that come out of a shuffle
+        few = stage(spark, docs.select("doc_id", "text", "lang", "source").repartition(5, "doc_id"), clashing)
+        assert few.columns == ["doc_id", "text", "lang", "source"] and sorted(str(r.doc_id) for r in few.collect()) == sorted(str(r.doc_id) for r in rows)
+
+
+def test_pipeline_on_odd_and_empty_documents(spark, clashing, tmp_path):
+    """The whole pipeline equals its stages' rules by brute force: what stays is packed whole, once."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    out = corpus_pipeline.run(spark, DATA)
-    assert {r.doc_id for r in out.select("doc_id").collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
-    rows = spark.read.parquet(f"{odd}/documents.parquet").drop("_row")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, rows, odd).columns == rows.columns
+    spark.read.parquet(f"{clashing}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    out = corpus_pipeline.run(spark, clashing).collect()
+    docs = spark.read.parquet(f"{clashing}/documents.parquet")
+    kept = {r.doc_id for r in quality.verdicts(quality.statistics(docs.select("doc_id", "text", "lang", "source"))).where("kept").collect()}
+    got = {r.doc_id for r in out}
+    assert got <= kept and len(got) > 0.8 * len(kept)
+    for doc in got:
+        pieces = sorted((r.piece, r.start, r.length) for r in out if r.doc_id == doc)
+        assert [p for p, _, _ in pieces] == list(range(len(pieces)))
+        assert all(b[1] == a[1] + a[2] for a, b in zip(pieces, pieces[1:], strict=False))
+    filled = collections.defaultdict(list)
+    for r in out:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for placed in filled.values():
+        assert all(b[0] == a[0] + a[1] for a, b in zip(sorted(placed), sorted(placed)[1:], strict=False)) and sum(n for _, n in placed) <= packing.SIZE

@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
 A long text is cut into chunks that overlap.  Every chunk is pre-tokenised by
-itself, as a row of its own and so in parallel.  The pattern looks ahead but
+itself.  Chunks of texts with over SPREAD chunks are rows of their own and are dealt out over the tasks; other texts'
+chunks stay in the task that read the text, so that most texts are never moved.  The pattern looks ahead but
 never back, so from a position where two readings both have a boundary they
 agree for good: neighbouring chunks are stitched at the first boundary they share inside the
 overlap.  The pieces between stitches are then encoded on their own, and the ids
@@ -31,6 +32,8 @@ from leafmill.llm.common import cut, lookup_join, small_batches, table, with_row
 RANKS = "byte_bpe_50k.tiktoken"
 #: Code points a chunk holds, and code points it reads on into the next.
 CHUNK, OVERLAP = 4096, 512
+#: Chunks of a text that one task takes.
+SPREAD = 16
 #: Words whose ids a worker remembers.
 CACHE = 100_000
 #: White_Space of Unicode, as \s of the pattern has it (fixed values).
@@ -132,15 +135,28 @@ def _pattern():
     return regex.compile(public_tokenizers.PATTERN)
 
 
+def cut_up(text: str, chunk: int, overlap: int) -> list[str]:
+    return [text[i : i + chunk + overlap] for i in range(0, len(text), chunk)]
+
+
+def pieces_of(text: str, chunk: int, overlap: int) -> list[str] | None:
+    """The pieces between stitches of a text's chunks; None where two chunks share no boundary."""
+    parts = cut_up(text, chunk, overlap)
+    edges = [edges_of(p, chunk, overlap) for p in parts]
+    cuts = [min(set(last).intersection(edges[k + 1][0]), default=None) for k, (_, last) in enumerate(edges[:-1])]
+    if None in cuts:
+        return None
+    return [p[a : len(p) if b is None else chunk + b] for p, a, b in zip(parts, [0, *cuts], [*cuts, None], strict=True)]
+
+
 def chunked(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(_row, _n, _chunk, _part) of texts (_row, _text): chunks that read on into the next, and how many they are, dealt out."""
+    """(_row, _chunk, _part) of texts (_row, _text): chunks that read on into the next, dealt out."""
 
     @F.pandas_udf("array<string>")
     def parts(texts: pd.Series) -> pd.Series:
-        return pd.Series([[t[i : i + chunk + overlap] for i in range(0, len(t), chunk)] for t in texts], dtype=object)
+        return pd.Series([cut_up(t, chunk, overlap) for t in texts], dtype=object)
 
-    each = long.select("_row", parts("_text").alias("_parts")).select("_row", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_chunk", "_part"))
-    return each.repartition("_row", "_chunk")
+    return long.select("_row", F.posexplode(parts("_text")).alias("_chunk", "_part")).repartition("_row", "_chunk")
 
 
 def stitches(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -156,7 +172,7 @@ def stitches(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
     return seen.select("_row", common.alias("_cut"))
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """``docs`` without its text, with ``ids`` (binary, little-endian unsigned 32-bit ids of the whole text); null texts as empty ones."""
     path = path or public_tokenizers.path(RANKS)
 
@@ -165,14 +181,24 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, chunk:
         words = _words(path)
         return pd.Series([pack_ids(t, words) for t in texts], dtype=object)
 
+    @F.pandas_udf("binary")
+    def stitched_here(texts: pd.Series) -> pd.Series:
+        words = _words(path)
+
+        def ids(text):
+            pieces = pieces_of(text, chunk, overlap) if len(text) > chunk + overlap else None
+            return pack_ids(text, words) if pieces is None else b"".join(pack_ids(p, words) for p in pieces)
+
+        return pd.Series([ids(t) for t in texts], dtype=object)
+
     @F.pandas_udf("binary")
     def joined(parts: pd.Series) -> pd.Series:
         return pd.Series([b"".join(x) for x in parts], dtype=object)
 
     keep = [c for c in docs.columns if c not in (text, "ids")]
     inner = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0))
-    rows = with_row_id(docs.select(inner.alias("_in"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_row").withColumn("_long", F.length("_text") > chunk + overlap)
-    short = rows.where(~F.col("_long")).select("_in", whole("_text").alias("ids"))
+    rows = with_row_id(docs.select(inner.alias("_in"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_row").withColumn("_long", F.length("_text") > spread * chunk)
+    short = rows.where(~F.col("_long")).select("_in", stitched_here("_text").alias("ids"))
     long = rows.where("_long")
     chunks = chunked(long, chunk, overlap)
     stitched = cut(stitches(chunks, chunk, overlap))

@@ -67,7 +67,7 @@ def encoding():
 @pytest.mark.parametrize("chunk", [(bpe.CHUNK, bpe.OVERLAP), (60, 16)])
 def test_bpe_equals_the_library_and_decodes(spark, odd, encoding, chunk):
     rows = spark.read.parquet(f"{odd}/documents.parquet").selectExpr("text", "text as original", "1 as _row", "2 as _text", "3 as _in", "'x' as ids")
-    out = bpe.decode(bpe.encode(rows, chunk=chunk[0], overlap=chunk[1]))
+    out = bpe.decode(bpe.encode(rows, chunk=chunk[0], overlap=chunk[1], spread=3))
     assert out.columns == ["original", "_row", "_text", "_in", "ids", "decoded"]
     got = out.collect()
     assert len(got) == len(ODD) + 3
@@ -87,8 +87,12 @@ def test_bpe_stitches_texts(spark, encoding, chunk):
     assert all(len(cuts[i]) > 3 for i in range(6)) and None in cuts[5]
     if chunk[0] > 1000:
         assert all(None not in cuts[i] for i in range(5))
-    for r in bpe.encode(rows.withColumnRenamed("_text", "text"), chunk=chunk[0], overlap=chunk[1]).collect():
-        assert list(memoryview(r.ids).cast("I")) == encoding.encode_ordinary(docs[r._row])
+    for i, text in enumerate(docs):
+        pieces = bpe.pieces_of(text, *chunk)
+        assert (pieces is None) == (None in cuts[i]) and (pieces is None or "".join(pieces) == text and [sum(map(len, pieces[: k + 1])) - chunk[0] * (k + 1) for k in range(len(pieces) - 1)] == cuts[i])
+    for spread in (2, 1000):
+        for r in bpe.encode(rows.withColumnRenamed("_text", "text"), chunk=chunk[0], overlap=chunk[1], spread=spread).collect():
+            assert list(memoryview(r.ids).cast("I")) == encoding.encode_ordinary(docs[r._row])
 
 
 def test_bpe_query(spark, encoding):

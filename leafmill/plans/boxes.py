@@ -52,7 +52,10 @@ def containment(spark, sf_dir):
     return joined.select("a.page", F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.round(g.contained("a", "b"), 6).alias("share"))
 
 
-@query("geo05_tilt")
+@query("geo05_tilt", f"""with {BOXES}, c as (select page, id, [[x0, y0], [x1, y0 + id], [x1, y1 + id], [x0, y1]] as p from boxes),
+  e as (select page, id, k, p[k % 4 + 1][1] - p[k][1] as dx, p[k % 4 + 1][2] - p[k][2] as dy from (select *, unnest([1, 2, 3, 4]) as k from c)),
+  l as (select page, id, abs(degrees(atan2(dy::double, dx::double))) % 90 as deg from e qualify row_number() over (partition by page, id order by sqrt((dx * dx + dy * dy)::double) desc, k) = 1)
+  select page, id, round(least(deg, 90 - deg), 6) as tilt from l""")
 def tilt(spark, sf_dir):
     slant = F.array(g.point(F.col("x0"), F.col("y0")), g.point(F.col("x1"), F.col("y0") + F.col("id")), g.point(F.col("x1"), F.col("y1") + F.col("id")), g.point(F.col("x0"), F.col("y1")))
     return boxes(spark, sf_dir).select("page", "id", F.round(g.tilt(slant), 6).alias("tilt"))
@@ -138,7 +141,13 @@ def reading_order(spark, sf_dir):
     return boxes(spark, sf_dir).select("page", "id", F.row_number().over(order).cast("long").alias("place"))
 
 
-@query("geo17_line_order")
+@query("geo17_line_order", f"""with recursive {BOXES}, v as (select page, 2 * count(*) filter (y1 - y0 > x1 - x0) > count(*) as up from boxes group by page),
+  t as (select page, id, case when up then -(x0 + x1) / 2.0 else (y0 + y1) / 2.0 end as m, case when up then x1 - x0 else y1 - y0 end as thick, case when up then y0 else x0 end as along from boxes join v using (page)),
+  s as (select page, list_sort(list(thick))[(count(*) // 2 + 1)::int] as line from t group by page),
+  o as (select t.*, line, row_number() over (partition by page order by m, id) as k from t join s using (page)),
+  f as (select page, id, k, m as head, line, along, 1 as r from o where k = 1
+    union all select o.page, o.id, o.k, case when abs(o.m - f.head) <= 0.5 * o.line then f.head else o.m end, o.line, o.along, case when abs(o.m - f.head) <= 0.5 * o.line then f.r else f.r + 1 end from f join o on o.page = f.page and o.k = f.k + 1)
+  select page, list(id order by r, along, k) as ids from f group by page""")
 def line_order(spark, sf_dir):
     return boxes(spark, sf_dir).groupBy("page").agg(F.collect_list(F.struct(*_FIELDS)).alias("b")).select("page", grouping.line_order("b").alias("ids"))
 
@@ -173,7 +182,14 @@ def page_context(spark, sf_dir):
     return s.select("page", F.greatest(F.lit(1), F.bround(F.col("w") * f, 0)).cast("int").alias("w"), F.greatest(F.lit(1), F.bround(F.col("h") * f, 0)).cast("int").alias("h"))
 
 
-@query("agg04_greedy_dedupe")
+@query("agg04_greedy_dedupe", f"""with recursive {_pair()}, q as (select page, i, j, {OX} as ox, {OY} as oy, case when {_FLAT} then {OX} else {OY} end as span, case when {_FLAT} then {OY} else {OX} end as side,
+    case when {_FLAT} then ax1 - ax0 else ay1 - ay0 end as sa, case when {_FLAT} then bx1 - bx0 else by1 - by0 end as sb, case when {_FLAT} then ay1 - ay0 else ax1 - ax0 end as ta, case when {_FLAT} then by1 - by0 else bx1 - bx0 end as tb from p),
+  same as (select page, i, j from q where ox > 0 and oy > 0 and span >= 0.8 * greatest(sa, sb) and side >= 0.7 * least(ta, tb) and least(ta, tb) >= 0.6 * greatest(ta, tb)),
+  last as (select page, max(id) as n from boxes group by page),
+  hit as (select page, j, list(i) as eq from same group by page, j),
+  f as (select page, n, 0::bigint as k, []::bigint[] as kept from last
+    union all select f.page, f.n, f.k + 1, case when coalesce(list_has_any(f.kept, hit.eq), false) then f.kept else list_append(f.kept, f.k + 1) end from f left join hit on hit.page = f.page and hit.j = f.k + 1 where f.k < f.n)
+  select page, unnest(kept) as id from f where k = n""")
 def greedy_dedupe(spark, sf_dir):
     return boxes(spark, sf_dir).groupBy("page").agg(F.collect_list(F.struct(*_FIELDS)).alias("b")).select("page", F.explode(grouping.greedy_keep("b")).alias("id"))
 
@@ -190,10 +206,13 @@ def _blocks(spark, sf_dir):
     return named.groupBy("page", "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sort_array(F.collect_list("id")).alias("members"), F.collect_list(F.struct(*_FIELDS)).alias("boxes"))
 
 
-@query("agg06_absorb")
+@query("agg06_absorb", f"""with recursive {BLOCKS}, m as (select page, block, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from blocks join boxes using (page, id) group by page, block),
+  s as (select *, (x1 - x0) * (y1 - y0) as area from m),
+  h as (select a.page, a.block, b.block as into_, b.area from s a join s b on a.page = b.page and a.area < b.area and a.area > 0
+    where greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) >= 0.5 * a.area)
+  select page, block, into_ as "into" from h qualify row_number() over (partition by page, block order by area, into_) = 1""")
 def absorb(spark, sf_dir):
-    rows = _blocks(spark, sf_dir).groupBy("page").agg(F.collect_list(F.struct("block", "x0", "y0", "x1", "y1")).alias("b"))
-    return rows.select("page", F.explode(grouping.absorbed("b")).alias("a")).select("page", "a.block", "a.into")
+    return grouping.absorbed(_blocks(spark, sf_dir))
 
 
 @query("agg07_group_merge", f"with recursive {BLOCKS} select page, block, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, list(id order by id) as members from blocks join boxes using (page, id) group by page, block")

@@ -176,7 +176,7 @@ def wrap(spark, sf_dir):
 
 @query("lay04_layout")
 def laid_out(spark, sf_dir):
-    return _laid(spark, sf_dir, lambda s, t: "|".join(x for _, _, x in s.layout(t, 12) or []), "string")
+    return _laid(spark, sf_dir, lambda s, t: "|".join(x for _, _, x in s.layout(t, layout.Setting(12)) or []), "string")
 
 
 @query("lay05_capacity")

@@ -122,25 +122,30 @@ def widest_chord(points: Column, y: Column) -> Column:
     return let(xs, widest)
 
 
-def narrowest(points: Column, top: Column, bottom: Column, page_width: Column, samples: int = 5) -> Column:
-    """What all chords of a line's box have in common, on the page; null if a sample has none."""
-    at = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: widest_chord(points, top + (bottom - top) * i / max(samples - 1, 1)))
+def narrowest(points: Column, top: Column, bottom: Column, page_width: Column) -> Column:
+    """What the widest chords from ``top`` to ``bottom`` have in common, on the page; null if there is none.
 
-    def common(at: Column) -> Column:
-        lo = F.greatest(F.array_max(F.transform(at, lambda s: s["lo"])), F.lit(0.0))
-        hi = F.least(F.array_min(F.transform(at, lambda s: s["hi"])), page_width.cast("double"))
-        return F.when(~F.exists(at, lambda s: s.isNull()) & (hi > lo), F.struct(lo.alias("lo"), hi.alias("hi")))
+    Between the heights of corners sides are straight, so the chords at the ends and at the corners between them tell all.
+    """
+    ys = F.filter(F.transform(points, lambda p: p["y"]), lambda y: (y > top) & (y < bottom))
+    page = F.struct(F.lit(0.0).alias("lo"), page_width.cast("double").alias("hi"))
 
-    return let(at, common)
+    def met(held: Column, y: Column) -> Column:
+        both = lambda c: F.when(c.isNotNull(), F.struct(F.greatest(held["lo"], c["lo"]).alias("lo"), F.least(held["hi"], c["hi"]).alias("hi")))
+        return let(widest_chord(points, y), both)
+
+    return let(F.aggregate(F.concat(F.array(top.cast("double"), bottom.cast("double")), ys), page, lambda held, y: F.when(held.isNotNull(), met(held, y))), lambda r: F.when(r["hi"] > r["lo"], r))
 
 
 def inset(points: Column, d: Column) -> Column:
-    """The polygon drawn in towards its box's middle by d; as it is if it is too small."""
-    b = bbox(points)
-    w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]
-    cx, cy = (b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2
-    moved = F.transform(points, lambda p: point(cx + (p["x"] - cx) * ((w - 2 * d) / w), cy + (p["y"] - cy) * ((h - 2 * d) / h)))
-    return F.when((d <= 0) | (w <= 2 * d) | (h <= 2 * d), points).otherwise(moved)
+    """The polygon mapped from its box onto the box with every side ``d`` further in; as it is if the box has no room for that."""
+
+    def mapped(b: Column) -> Column:
+        axis = lambda v, low, high: low + d + (v - low) * (1 - 2 * d / (high - low))
+        moved = F.transform(points, lambda p: point(axis(p["x"], b["x0"], b["x1"]), axis(p["y"], b["y0"], b["y1"])))
+        return F.when((d > 0) & (F.least(b["x1"] - b["x0"], b["y1"] - b["y0"]) > 2 * d), moved).otherwise(points)
+
+    return let(bbox(points), mapped)
 
 
 def holds(points: Column, x: Column, y: Column) -> Column:

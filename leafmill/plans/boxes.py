@@ -39,10 +39,12 @@ def box_to_points(spark, sf_dir):
     return boxes(spark, sf_dir).select("page", "id", F.transform(g.corners(), lambda p: F.array(p["x"], p["y"])).alias("polygon"))
 
 
-@query("geo03_ellipse", f"with {BOXES} select page, id, k, round((x0 + x1) / 2.0 + (x1 - x0) / 2.0 * cos(k * 2 * pi() / 64), 3) as x, round((y0 + y1) / 2.0 + (y1 - y0) / 2.0 * sin(k * 2 * pi() / 64), 3) as y from (select *, unnest(range(0, 64, 8))::int as k from boxes)")
+@query("geo03_ellipse", f"with {BOXES} select page, id, count(*) as points, round(min(x), 3) as left, round(max(y), 3) as bottom, round(sum(x * (k + 1)), 3) as xs, round(sum(y * (k + 1)), 3) as ys from (select page, id, k, (x0 + x1) / 2.0 + (x1 - x0) / 2.0 * cos(k * 2 * pi() / 64) as x, (y0 + y1) / 2.0 + (y1 - y0) / 2.0 * sin(k * 2 * pi() / 64) as y from (select *, unnest(range(0, 64))::int as k from boxes)) group by page, id")
 def ellipse(spark, sf_dir):
-    points = boxes(spark, sf_dir).select("page", "id", F.posexplode(g.ellipse()).alias("k", "p")).where("k % 8 = 0")
-    return points.select("page", "id", "k", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+    """All points of the ellipse in the row, given back as their number, extremes, and sums weighted by place."""
+    points = boxes(spark, sf_dir).select("page", "id", g.ellipse().alias("p"))
+    weighted = lambda axis: F.round(F.aggregate(F.transform("p", lambda p, k: p[axis] * (k + 1)), F.lit(0.0), lambda a, x: a + x), 3)
+    return points.select("page", "id", F.size("p").cast("long").alias("points"), F.round(F.array_min("p.x"), 3).alias("left"), F.round(F.array_max("p.y"), 3).alias("bottom"), weighted("x").alias("xs"), weighted("y").alias("ys"))
 
 
 @query("geo04_containment", f"with {_pair()} select page, i, j, round({INSIDE}, 6) as share from p where {OX} > 0 and {OY} > 0")
@@ -122,10 +124,9 @@ def narrowest_chord(spark, sf_dir):
     return c.select("page", "id", F.round("c.lo", 3).alias("lo"), F.round("c.hi", 3).alias("hi"))
 
 
-@query("geo14_inset", f"with {BOXES} select page, id, round(case when y1 - y0 <= 60 then x0 else x0 + 30 end, 3)::double as x, round(case when y1 - y0 <= 60 then y0 else y0 + 30 end, 3)::double as y from boxes where x1 - x0 > 60")
+@query("geo14_inset", f"with {BOXES} select page, id, case when y1 - y0 <= 60 or x1 - x0 <= 60 then [[x0, y0], [x1, y0], [x1, y1], [x0, y1]] else [[x0 + 30, y0 + 30], [x1 - 30, y0 + 30], [x1 - 30, y1 - 30], [x0 + 30, y1 - 30]] end::double[][] as polygon from boxes")
 def inset(spark, sf_dir):
-    p = boxes(spark, sf_dir).where("x1 - x0 > 60").select("page", "id", g.inset(g.corners(), F.lit(30))[0].alias("p"))
-    return p.select("page", "id", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+    return boxes(spark, sf_dir).select("page", "id", F.transform(g.inset(g.corners(), F.lit(30)), lambda p: F.array(F.round(p["x"], 3), F.round(p["y"], 3))).alias("polygon"))
 
 
 @query("geo15_hit_test", f"with {BOXES} select page, min(id) as hit from boxes where 150 between x0 and x1 - 1 and 150 between y0 and y1 - 1 group by page")

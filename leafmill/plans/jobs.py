@@ -29,7 +29,7 @@ def ocr_routing(spark, sf_dir):
     """Japanese regions are read whole, others line by line and joined; the recogniser is a function given by the caller (here: upper case)."""
     from leafmill.engine import Engine
 
-    regions = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "ja").when(F.col("doc_id") % 3 == 1, "zh").otherwise("ko").alias("source"), F.split(F.substring("text", 1, 200), "\n").alias("parts"))
+    regions = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "ja").when(F.col("doc_id") % 3 == 1, "zh").otherwise("ko").alias("source"), F.split("text", "\n").alias("parts"))
     return Engine(spark, recognise=F.upper).read_regions(regions)
 
 
@@ -57,12 +57,12 @@ def cache_hit(spark, sf_dir):
     return d.select("doc_id", F.when(F.col("found").isNull(), "miss").when(F.col("quality") == 0, "recheck").when(F.col("lang") != "en", "miss").otherwise("hit").alias("decision"))
 
 
-@query("pip06_content_projection", "select d.doc_id, lang as source, case when toxic = 1 and quality = 0 then null else substr(text, 1, 50) end as text from documents d left join labels l on d.doc_id = l.doc_id")
+@query("pip06_content_projection", "select d.doc_id, lang as source, case when toxic = 1 and quality = 0 then null else text end as text from documents d left join labels l on d.doc_id = l.doc_id")
 def content_projection(spark, sf_dir):
     """Only content is kept of a record, and no null that the vision model gave."""
     known = table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
     gone = F.coalesce((F.col("toxic") == 1) & (F.col("quality") == 0), F.lit(False))
-    return table(spark, sf_dir, "documents").join(known, "doc_id", "left").select("doc_id", F.col("lang").alias("source"), F.when(~gone, F.substring("text", 1, 50)).alias("text"))
+    return table(spark, sf_dir, "documents").join(known, "doc_id", "left").select("doc_id", F.col("lang").alias("source"), F.when(~gone, F.col("text")).alias("text"))
 
 
 @query("pip07_bounded_concurrency")

@@ -26,10 +26,10 @@ def polarity(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg((F.avg(F.floor("value") % 256) < 128).alias("dark"))
 
 
-@query("pix05_ink_separator", "with r as (select user_id, event_id % 16 as ray, bool_or(floor(value) % 256 < 110) as hit from events where event_id % 3 <> 0 group by 1, 2) select user_id, avg(hit::int) >= 0.5 as separated from r group by user_id")
+@query("pix05_ink_separator", "with r as (select user_id, event_id % 16 as ray, bool_or(floor(value) % 256 < 110) as hit from events group by 1, 2) select user_id, avg(hit::int) >= 0.5 as separated from r group by user_id")
 def ink_separator(spark, sf_dir):
     """Rays across a gap: separated if half of them hit ink."""
-    rays = table(spark, sf_dir, "events").where("event_id % 3 <> 0").groupBy("user_id", (F.col("event_id") % 16).alias("ray")).agg(F.bool_or(F.floor("value") % 256 < 110).alias("hit"))
+    rays = table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 16).alias("ray")).agg(F.bool_or(F.floor("value") % 256 < 110).alias("hit"))
     return rays.groupBy("user_id").agg((F.avg(F.col("hit").cast("int")) >= 0.5).alias("separated"))
 
 
@@ -144,31 +144,34 @@ def font_range(spark, sf_dir):
     return h.select("l_orderkey", floor.alias("floor"), F.greatest(F.lit(96), 4 * floor).alias("ceiling"))
 
 
-@query("lay02_text_width", "select doc_id, round(length(t) * 6.0::double + case when length(t) > 0 then -0.02::double * 12 * (length(t) - 1) else 0 end, 6) as width from (select doc_id, substr(text, 1, 80) as t from documents)")
+@query("lay02_text_width", "select doc_id, round(length(t) * 6.0::double + case when length(t) > 0 then -0.02::double * 12 * (length(t) - 1) else 0 end, 6) as width from (select doc_id, text as t from documents)")
 def text_width(spark, sf_dir):
     """Advance and tracking between glyphs."""
-    n = F.length(F.substring("text", 1, 80))
+    n = F.length("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.round(n * F.lit(6.0) + F.when(n > 0, F.lit(-0.02) * 12 * (n - 1)).otherwise(0.0), 6).alias("width"))
 
 
+def _shape(i: int) -> layout.Shape:
+    w, h = 60 + i % 7 * 40, 40 + i % 5 * 30
+    return layout.Shape([(100, 100), (100 + w, 100), (100 + w * 3 / 4, 100 + h), (100 + w / 4, 100 + h)], (600, 600))
+
+
 def _laid(spark, sf_dir, f, kind: str):
-    """``f(shape, text)`` for each document's first line in a box that depends on its id."""
+    """``f(shape, text)`` for each document in a shape that depends on its id."""
 
     def each(ids: pd.Series, texts: pd.Series) -> pd.Series:
         out = []
         for i, t in zip(ids, texts, strict=True):
-            w, h = 60 + i % 7 * 40, 40 + i % 5 * 30
-            out.append(f(layout.Shape([(100, 100), (100 + w, 100), (100 + w * 3 / 4, 100 + h), (100 + w / 4, 100 + h)], (600, 600)), t))
+            out.append(f(_shape(i), t))
         return pd.Series(out)
 
-    first = F.substring_index(F.substring("text", 1, 400), "\n", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.pandas_udf(each, kind)("doc_id", first).alias("out"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.pandas_udf(each, kind)("doc_id", "text").alias("out"))
 
 
-@query("lay03_wrap", "with recursive w as (select doc_id, list_filter(string_split(substr(string_split(text, chr(10))[1], 1, 400), ' '), lambda x: x <> '') as ws from documents), f as (select doc_id, ws, 1 as i, 0 as line, 0 as used from w union all select doc_id, ws, i + 1, case when used > 0 and used + 1 + length(ws[i]) <= 40 then line else line + 1 end, case when used > 0 and used + 1 + length(ws[i]) <= 40 then used + 1 + length(ws[i]) else length(ws[i]) end from f where i <= len(ws)) select doc_id, max(line)::int as lines from f group by doc_id")
+@query("lay03_wrap", "with recursive w as (select doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') as ws from documents), f as (select doc_id, ws, 1 as i, 0 as line, 0 as used from w union all select doc_id, ws, i + 1, case when used > 0 and used + 1 + length(ws[i]) <= 40 then line else line + 1 end, case when used > 0 and used + 1 + length(ws[i]) <= 40 then used + 1 + length(ws[i]) else length(ws[i]) end from f where i <= len(ws)) select doc_id, max(line)::int as lines from f group by doc_id")
 def wrap(spark, sf_dir):
     """Greedy wrap at a constant width, folded over a row's words."""
-    words = F.filter(F.split(F.substring(F.substring_index("text", "\n", 1), 1, 400), " "), lambda x: x != "")
+    words = F.filter(F.split("text", "[ \n]"), lambda x: x != "")
     fits = lambda a, x: (a["used"] > 0) & (a["used"] + 1 + F.length(x) <= 40)
     step = lambda a, x: F.struct(F.when(fits(a, x), a["line"]).otherwise(a["line"] + 1).alias("line"), F.when(fits(a, x), a["used"] + 1 + F.length(x)).otherwise(F.length(x)).alias("used"))
     return table(spark, sf_dir, "documents").select("doc_id", F.aggregate(words, F.struct(F.lit(0).alias("line"), F.lit(0).alias("used")), step)["line"].alias("lines"))
@@ -194,18 +197,61 @@ def truncate(spark, sf_dir):
     return _laid(spark, sf_dir, lambda s, t: ":".join(s.truncate(t)[::-1]), "string")
 
 
+_FIT = "text string, rung int, size int, rung4_skipped boolean, fit_compromised boolean, fit_failed boolean, retranslated boolean, reply_rejected boolean, reason string"
+
+
+def _fitted(reply: bool):
+    """Fit of doc_id, text and (if ``reply``) a reply, as a struct."""
+
+    def one(i, t, r=None):
+        return layout.fit(_shape(i), t, r)._asdict()
+
+    if reply:
+
+        @F.pandas_udf(_FIT)
+        def with_reply(ids: pd.Series, texts: pd.Series, replies: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([one(i, t, None if pd.isna(r) else r) for i, t, r in zip(ids, texts, replies, strict=True)], columns=layout.Fit._fields)
+
+        return with_reply
+
+    @F.pandas_udf(_FIT)
+    def alone(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(i, t) for i, t in zip(ids, texts, strict=True)], columns=layout.Fit._fields)
+
+    return alone
+
+
 @query("lay08_two_phase")
 def two_phase(spark, sf_dir):
-    """Regions on rung 5 ask once per page for shorter text; a reply over the cap is not taken and the text is cut."""
-    first = _laid(spark, sf_dir, lambda s, t: f"{s.ladder(t)[1]}:{s.capacity(t)}", "string")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(first, "doc_id").select("source", "doc_id", F.split("out", ":")[0].cast("int").alias("rung"), F.split("out", ":")[1].cast("int").alias("cap"))
-    asked = rows.where("rung = 5").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "cap"))).alias("asked"))
-    return rows.join(asked, "source", "left").select("source", "doc_id", "rung", F.coalesce(F.size("asked"), F.lit(0)).alias("in_request"))
+    """Regions on rung 5 ask once per page for shorter text, which a caller's function gives; a reply over the cap is not taken and the text is cut.
+
+    Pages are runs of 16 documents; the stand-in for the caller answers with three words, or for odd ids with too much.
+    """
+
+    @F.pandas_udf("array<string>")
+    def shorten(requests: pd.Series) -> pd.Series:
+        return requests.map(lambda page: [" ".join(r["text"].split()[:3]) if r["doc_id"] % 2 == 0 else r["text"] + r["text"] for r in page])
+
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 16).alias("page"), "doc_id", F.col("text").alias("t"))
+    first = rows.withColumn("fit", _fitted(False)("doc_id", "t"))
+    asked = first.where("fit.rung = 5").groupBy("page").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.col("t").alias("text")))).alias("asked"))
+    replies = asked.select(F.explode(F.arrays_zip(F.col("asked.doc_id").alias("doc_id"), shorten("asked").alias("reply"))).alias("z")).select("z.doc_id", "z.reply")
+    again = rows.join(replies, "doc_id").select("page", "doc_id", F.lit(True).alias("asked"), _fitted(True)("doc_id", "t", "reply").alias("fit"))
+    done = first.where("fit.rung < 5").select("page", "doc_id", F.lit(False).alias("asked"), "fit")
+    return done.union(again).select("page", "doc_id", "asked", "fit.*")
+
+
+@query("lay09_fit_row")
+def fit_row(spark, sf_dir):
+    """What is stored of every set region."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", _fitted(False)("doc_id", "text").alias("fit"))
+    return rows.select("doc_id", "fit.*")
 
 
-@query("lay10_glyph_positions", "select doc_id, k::int as k, substr(t, k, 1) as glyph, round((k - 1) * (6.0::double - 0.24::double), 6) as x from (select doc_id, t, unnest(range(1, length(t) + 1)) as k from (select doc_id, substr(text, 1, 20) as t from documents))")
+@query("lay10_glyph_positions", "select doc_id, len(xs) as glyphs, xs[-1] as last, round(list_sum(xs), 3) as total from (select doc_id, list_transform(range(1, length(text) + 1), lambda k: round((k - 1) * (6.0::double - 0.24::double), 6)) as xs from documents)")
 def glyph_positions(spark, sf_dir):
-    """Glyph by glyph: the advances and tracking before it."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 20).alias("t"))
-    g = t.select("doc_id", "t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("k")).where("k <= length(t)")
-    return g.select("doc_id", "k", F.expr("substr(t, k, 1)").alias("glyph"), F.round((F.col("k") - 1) * (F.lit(6.0) - F.lit(0.24)), 6).alias("x"))
+    """Glyph by glyph the advances and tracking before it, in the row; how many, the last and the sum are given back."""
+    n = F.length("text")
+    xs = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.round((k - 1) * (F.lit(6.0) - F.lit(0.24)), 6))).otherwise(F.array().cast("array<double>"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", xs.alias("xs"))
+    return rows.select("doc_id", F.size("xs").cast("long").alias("glyphs"), F.element_at("xs", -1).alias("last"), F.round(F.when(F.size("xs") > 0, F.aggregate("xs", F.lit(0.0), lambda a, x: a + x)), 3).alias("total"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import names, text
 from leafmill.operators import records
 from leafmill.plans.registry import query
-from leafmill.plans.scans import BASE, EXT
+from leafmill.plans.scans import BASE, EXT, NAT
 from leafmill.plans.standins import MEMBERS, members, table
 from leafmill.plans.texts import CHRF_WORDS
 
@@ -49,7 +49,7 @@ def _gram(kind: str, n: int, side: str) -> str:
 
 
 _ORDERS = [("c", n) for n in range(1, 7)] + [("w", n) for n in (1, 2)]
-_CHRF = f"""with s as (select a.conv_id, substr(a.text, 1, 200) as hyp, substr(b.text, 1, 200) as ref from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = 0 and b.turn = 1),
+_CHRF = f"""with s as (select a.conv_id, a.text as hyp, b.text as ref from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = 0 and b.turn = 1),
   h as (select o, conv_id, g, count(*) as n from ({' union all '.join(_gram(k, n, 'hyp') for k, n in _ORDERS)}) group by all), r as (select o, conv_id, g, count(*) as n from ({' union all '.join(_gram(k, n, 'ref') for k, n in _ORDERS)}) group by all),
   m as (select o, sum(least(h.n, r.n)) as match from h join r using (o, conv_id, g) group by o), ht as (select o, sum(n) as n from h group by o), rt as (select o, sum(n) as n from r group by o),
   p as (select avg(coalesce(match, 0)::double / ht.n) as p, avg(coalesce(match, 0)::double / rt.n) as r from ht join rt using (o) left join m using (o))
@@ -59,30 +59,28 @@ _CHRF = f"""with s as (select a.conv_id, substr(a.text, 1, 200) as hyp, substr(b
 @query("agg08_chrf", _CHRF)
 def chrf(spark, sf_dir):
     """Corpus chrF++: clipped matches of character 1- to 6-grams and word 1- and 2-grams, F with beta 2."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 200).alias("t"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
     pair = c.where("turn = 0").select("conv_id", F.col("t").alias("hyp")).join(c.where("turn = 1").select("conv_id", F.col("t").alias("ref")), "conv_id")
 
-    def grams(side: str):
-        all_orders = [_named(side, k, n) for k, n in _ORDERS]
-        return pair.select("conv_id", F.explode(F.concat(*all_orders)).alias("x")).groupBy("conv_id", "x.o", "x.g").agg(F.count("*").alias(side))
-
-    h, r = grams("hyp"), grams("ref")
-    both = h.join(r, ["conv_id", "o", "g"], "full_outer").groupBy("o").agg(F.sum(F.least(F.coalesce("hyp", F.lit(0)), F.coalesce("ref", F.lit(0)))).alias("m"), F.sum("hyp").alias("h"), F.sum("ref").alias("r"))
+    # both sides of a pair are one row: their grams are exploded together and counted map-side, keyed by hash
+    every = F.concat(*[_named(side, k, n) for side in ("hyp", "ref") for k, n in _ORDERS])
+    counted = pair.select("conv_id", F.explode(every).alias("x")).groupBy("conv_id", "x.o", "x.g").agg(F.count_if("x.hyp").alias("hyp"), F.count_if(~F.col("x.hyp")).alias("ref"))
+    both = counted.groupBy("o").agg(F.sum(F.least("hyp", "ref")).alias("m"), F.sum("hyp").alias("h"), F.sum("ref").alias("r"))
     live = both.where("h > 0 and r > 0").agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("r"))
     return live.select(F.round(F.when((F.col("p") == 0) | (F.col("r") == 0), 0.0).otherwise(5 * F.col("p") * F.col("r") / (4 * F.col("p") + F.col("r"))), 9).alias("chrf"))
 
 
 def _named(side: str, k: str, n: int):
     items = text.chars(F.col(side)) if k == "c" else text.chrf_words(F.col(side))
-    return F.transform(text.ngrams(items, n), lambda g: F.struct(F.lit(f"{k}{n}").alias("o"), g.alias("g")))
+    return F.transform(text.ngrams(items, n), lambda g: F.struct(F.lit(f"{k}{n}").alias("o"), F.xxhash64(g).alias("g"), F.lit(side == "hyp").alias("hyp")))
 
 
-_ASCII = "regexp_replace(substr({c}.text, 1, 32), '[^ -~]', '', 'g')"
+_ASCII = "regexp_replace({c}.text, '[^ -~]', '', 'g')"
 
 
 @query("agg09_set_cer", f"select round(avg(levenshtein(g, w)::double / length(w)), 9) as mean_cer, avg((g = w)::int) as exact from (select {_ASCII.format(c='d')} as g, {_ASCII.format(c='b')} as w from documents d join benchmark b on doc_id = item_id) where w <> ''")
 def set_cer(spark, sf_dir):
-    a = lambda c: F.regexp_replace(F.substring(c, 1, 32), "[^ -~]", "")
+    a = lambda c: F.regexp_replace(c, "[^ -~]", "")
     got = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), a("text").alias("g"))
     want = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), a("text").alias("w")).where("w <> ''")
     return got.join(want, "i").agg(F.round(F.avg(text.cer(F.col("g"), F.col("w"))), 9).alias("mean_cer"), F.avg((F.col("g") == F.col("w")).cast("int")).alias("exact"))
@@ -146,10 +144,10 @@ def severity_order(spark, sf_dir):
     return ranked.join(before, ["s", "part"]).select("doc_id", (F.col("before") + F.col("r")).alias("place"))
 
 
-@query("win02_member_order", f"with {MEMBERS} select item, list(member order by lower(member), page_id) as members from members group by item")
+@query("win02_member_order", f"with {MEMBERS} select item, list(member order by {NAT.format(p='member')}, member, page_id) as members from members group by item")
 def member_order(spark, sf_dir):
-    """Members of an item in order (the stand-in's names hold one number at the end at most, so folded order is compared)."""
-    rows = members(spark, sf_dir).groupBy("item").agg(F.array_sort(F.collect_list(F.struct(F.lower("member").alias("k"), "page_id", "member"))).alias("m"))
+    """Members of an item in natural order."""
+    rows = members(spark, sf_dir).groupBy("item").agg(F.array_sort(F.collect_list(F.struct(names.natural_key(F.col("member")).alias("k"), "member", "page_id"))).alias("m"))
     return rows.select("item", F.col("m.member").alias("members"))
 
 

@@ -19,7 +19,7 @@ def natural_key(spark, sf_dir):
     return members(spark, sf_dir).select("item", "page_id", F.row_number().over(order).cast("long").alias("place"))
 
 
-_JA = "case when doc_id % 2 = 0 then substr(text, 1, 60) || '...．．ＡＢｚ９' else text end"
+_JA = "case when doc_id % 2 = 0 then text || '...．．ＡＢｚ９' else text end"
 
 
 @query("txt02_canonical_ja", f"select doc_id, translate(regexp_replace({_JA}, '(?:．|\\.){{3,}}', '…', 'g'), '{''.join(chr(c) for a, b in ((0xFF10, 0xFF1A), (0xFF21, 0xFF3B), (0xFF41, 0xFF5B)) for c in range(a, b))}', '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz') as text from documents")
@@ -39,9 +39,9 @@ def join_lines(spark, sf_dir):
 
 
 @query("txt05_cer", """select doc_id, item_id, case when want = '' then case when got = '' then 0.0 else 1.0 end else cast(levenshtein(got, want) as double) / length(want) end as cer
-  from (select doc_id, regexp_replace(substr(text, 1, 64), '[^ -~]', '', 'g') as got from documents) d join (select item_id, case when item_id % 9 = 0 then '' else regexp_replace(substr(text, 1, 64), '[^ -~]', '', 'g') end as want from benchmark) b on doc_id = item_id""")
+  from (select doc_id, regexp_replace(text, '[^ -~]', '', 'g') as got from documents) d join (select item_id, case when item_id % 9 = 0 then '' else regexp_replace(text, '[^ -~]', '', 'g') end as want from benchmark) b on doc_id = item_id""")
 def cer(spark, sf_dir):
-    ascii_only = lambda c: F.regexp_replace(F.substring(c, 1, 64), "[^ -~]", "")
+    ascii_only = lambda c: F.regexp_replace(c, "[^ -~]", "")
     got = table(spark, sf_dir, "documents").select("doc_id", ascii_only("text").alias("got"))
     want = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 9 == 0, "").otherwise(ascii_only("text")).alias("want"))
     return got.join(want, got["doc_id"] == want["item_id"]).select("doc_id", "item_id", text.cer(F.col("got"), F.col("want")).alias("cer"))
@@ -73,7 +73,7 @@ def chrf_tokens(spark, sf_dir):
 def prompt(spark, sf_dir):
     """Prompt of each page: instruction, glossary pairs, then its regions as JSON, boxes only where an image is sent."""
     region = F.struct("id", F.col("text"), F.when(F.col("boxed"), F.array("id", "id")).alias("box"))
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("page"), F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("text"), (F.col("lang") == "en").alias("boxed"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("page"), F.col("doc_id").alias("id"), F.col("text"), (F.col("lang") == "en").alias("boxed"))
     regions = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("id", region.alias("r")))), lambda x: x["r"]))
     glossary = F.lit("senpai -> kakak kelas\nbaka -> bodoh")
     return rows.groupBy("page").agg(regions.alias("regions")).select("page", F.concat_ws("\n\n", F.lit("Translate every region."), glossary, "regions").alias("prompt"))

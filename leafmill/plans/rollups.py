@@ -162,7 +162,9 @@ def evict(spark, sf_dir):
     return records.evict(entries, 200_000, 32)
 
 
-@query("win04_memory_tier")
+@query("win04_memory_tier", """with e as (select user_id, event_id * 7 % 5 as page, row_number() over (partition by user_id order by event_id) as k from events), p as (select *, lag(k) over (partition by user_id, page order by k) as pk from e),
+  h as (select p.user_id, p.k, count(distinct b.page) as d from p join e b on b.user_id = p.user_id and b.k > p.pk and b.k < p.k group by 1, 2)
+  select user_id, count(*) filter (pk is not null and coalesce(d, 0) <= 2) as hits from p left join h using (user_id, k) group by user_id""")
 def memory_tier(spark, sf_dir):
     """Replay of an access log against a tier of three items: hits per item, a fold over each user's log in one Arrow UDF."""
     def replay(logs: pd.Series) -> pd.Series:

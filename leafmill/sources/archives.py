@@ -11,6 +11,7 @@ as unavailable here.
 from __future__ import annotations
 
 import contextlib
+import io
 import os
 import tarfile
 import uuid
@@ -173,11 +174,35 @@ def read_members(spark: SparkSession, folder: str, **options) -> DataFrame:
     return reader.load()
 
 
-def write_zips(entries: DataFrame, folder: str) -> DataFrame:
-    """Write ``entries`` (item, place, name, content) as one zip per item, entries by place; returns (item, path, entries).
+class _Zip:
+    def __init__(self, path: str):
+        self.file = zipfile.ZipFile(path, "w")
+
+    def add(self, name: str, content: bytes) -> None:
+        self.file.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content)
+
+
+class _Tar:
+    def __init__(self, path: str, mode: str):
+        self.file = tarfile.open(path, mode)  # noqa: SIM115
+
+    def add(self, name: str, content: bytes) -> None:
+        info = tarfile.TarInfo(name)
+        info.size = len(content)
+        self.file.addfile(info, io.BytesIO(content))
+
+
+#: Writers by kind; stamps are fixed, so that equal entries give equal archives.
+WRITERS = {"zip": _Zip, "tar": lambda path: _Tar(path, "w"), "tar.gz": lambda path: _Tar(path, "w:gz"), "tar.bz2": lambda path: _Tar(path, "w:bz2"), "tar.xz": lambda path: _Tar(path, "w:xz")}
+
+
+def write_archives(entries: DataFrame, folder: str, kind: str = "zip") -> DataFrame:
+    """Write ``entries`` (item, place, name, content) as one archive per item, entries by place; returns (item, path, entries).
 
-    Stamps are fixed, files are renamed into place, and an item's rows pass through its task one after the other.
+    An entry named ComicInfo.xml comes first, whatever its place.  Files are renamed
+    into place, and an item's rows pass through its task one after the other.
     """
+    new = WRITERS[kind]
 
     def write(frames):
         import pandas as pd
@@ -186,7 +211,7 @@ def write_zips(entries: DataFrame, folder: str) -> DataFrame:
 
         def close():
             if archive:
-                archive.close()
+                archive.file.close()
                 os.replace(own, os.path.join(folder, now))
 
         for frame in frames:
@@ -194,17 +219,18 @@ def write_zips(entries: DataFrame, folder: str) -> DataFrame:
                 if r.item != now:
                     close()
                     now, own = r.item, os.path.join(folder, f".{r.item}.{uuid.uuid4().hex}.tmp")
-                    archive = zipfile.ZipFile(own, "w")
+                    archive = new(own)
                     made[now] = 0
-                archive.writestr(zipfile.ZipInfo(r.name, (1980, 1, 1, 0, 0, 0)), bytes(r.content))
+                archive.add(r.name, bytes(r.content))
                 made[now] += 1
         close()
         yield pd.DataFrame({"item": list(made), "path": [os.path.join(folder, i) for i in made], "entries": list(made.values())})
 
     with contextlib.suppress(FileExistsError):
         os.makedirs(folder)
-    ordered = entries.repartition("item").sortWithinPartitions("item", "place")
-    return ordered.select("item", "place", "name", "content").mapInPandas(write, "item string, path string, entries long")
+    first = F.col("name") != "ComicInfo.xml"
+    ordered = entries.withColumn("place", F.struct(first.alias("late"), F.col("place").alias("at"))).repartition("item").sortWithinPartitions("item", "place")
+    return ordered.select("item", "name", "content").mapInPandas(write, "item string, path string, entries long")
 
 
 def write_json_records(records: DataFrame, path: str) -> None:

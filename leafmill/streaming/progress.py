@@ -5,6 +5,9 @@ Event time is the ingestion stamp.  State is per item and bounded by its pages.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +54,25 @@ def front_pages(stream: DataFrame) -> DataFrame:
     return stream.groupBy("item").applyInPandasWithState(fold, "item long, page long, stage string", "pages array<struct<page:long,stage:string,event:long>>", "update", "NoTimeout")
 
 
-def drain(frame: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over all that is there and give its result table."""
-    q = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return frame.sparkSession.table(name)
+def drain(frame: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over all that is there and give its result: each batch is a folder of files, written again if it is run again.
+
+    Files and the stream's checkpoint lie below spark.checkpoint.dir (in local mode a temporary folder where that is unset).
+    """
+    spark = frame.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir()
+    root, done = f"{base}/stream-{uuid.uuid4().hex}", []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/{number}")
+        done.append(number)
+
+    frame.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], frame.schema)
+    # in complete mode the last batch is the whole result
+    return spark.read.parquet(*[f"{root}/out/{n}" for n in (done[-1:] if mode == "complete" else sorted(set(done)))])

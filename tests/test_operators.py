@@ -121,7 +121,7 @@ def test_natural_order(spark):
 
 def test_zip_round_trip(spark, tmp_path):
     rows = [("a.cbz", i, f"p{i}.png", bytes([i])) for i in range(5)] + [("b.cbz", 0, "x.png", b"")]
-    made = archives.write_zips(spark.createDataFrame(rows, "item string, place int, name string, content binary"), str(tmp_path / "out"))
+    made = archives.write_archives(spark.createDataFrame(rows, "item string, place int, name string, content binary"), str(tmp_path / "out"))
     assert {r.item: r.entries for r in made.collect()} == {"a.cbz": 5, "b.cbz": 1}
     got = archives.read_members(spark, str(tmp_path / "out")).collect()
     assert [(r.item, r.member, bytes(r.content)) for r in got] == [(i, n, c) for i, _, n, c in rows]
@@ -146,3 +146,32 @@ def test_page_labels_against_closure():
         for a, b in itertools.chain(edges, [(b, a) for a, b in edges]):
             reach[a] |= reach[b]
     assert got == [min(reach[i]) for i in ids]
+
+
+def test_tar_writer_and_comicinfo_first(spark, tmp_path):
+    from leafmill.sources import archives
+
+    rows = [("a.cbt", 1, "p1.png", bytearray(b"one")), ("a.cbt", 2, "p2.png", bytearray(b"two" * 400)), ("a.cbt", 3, "ComicInfo.xml", bytearray(b"<x/>"))]
+    for kind in ("tar", "tar.gz", "tar.bz2", "tar.xz", "zip"):
+        folder = str(tmp_path / kind)
+        assert archives.write_archives(spark.createDataFrame(rows, "item string, place int, name string, content binary"), folder, kind).collect()[0].entries == 3
+        back = sorted(archives.read_members(spark, folder).collect(), key=lambda r: r.position)
+        assert [(r.member, bytes(r.content), r.refused) for r in back] == [("ComicInfo.xml", b"<x/>", None), ("p1.png", b"one", None), ("p2.png", b"two" * 400, None)]
+
+
+def test_fit_takes_a_short_reply_and_rejects_a_long_one():
+    small = layout.Shape([(100, 100), (150, 100), (150, 130), (100, 130)], (600, 2480))
+    long = "words that do not fit into so small a box at all"
+    assert layout.fit(small, "ok").rung == 1
+    assert layout.fit(small, long, "ok ok")[6:8] == (True, False) and layout.fit(small, long, "ok ok").text == "ok ok"
+    rejected = layout.fit(small, long, long * 3)
+    assert rejected.reply_rejected and rejected.rung == 5 and long.startswith(rejected.text) and rejected.reason == layout.REASONS["cut"]
+    assert layout.fit(small, long)[6:8] == (False, False)
+
+
+def test_bands_are_exact():
+    """A notch between two samples of a line is seen; of two runs the wider, of equal ones the left."""
+    notched = layout.Bands([(0, 0), (100, 0), (100, 49), (40, 50), (100, 51), (100, 100), (0, 100)])
+    assert notched.free(0, 40) == (0, 100) and notched.free(45, 55)[1] == pytest.approx(40)
+    two = layout.Bands([(0, 0), (100, 0), (100, 100), (60, 100), (60, 50), (40, 50), (40, 100), (0, 100)])
+    assert two.free(60, 90) == (0, 40) and two.free(10, 40) == (0, 100) and two.free(90, 110) is None

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import importlib
+from leafmill.llm import bpe, lattice, lines, lm, packing, pii, quality, simhash, urls, warc
 
-MODULES = ["quality", "urls", "bpe", "lines", "warc", "lm", "simhash", "pii", "packing", "lattice"]
+MODULES = [quality, urls, bpe, lines, warc, lm, simhash, pii, packing, lattice]
 
 
 def _each(name: str) -> dict:
     out: dict = {}
     for m in MODULES:
-        out |= getattr(importlib.import_module(f"leafmill.llm.{m}"), name)
+        out |= getattr(m, name)
     return out
 
 

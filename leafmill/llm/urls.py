@@ -9,7 +9,8 @@ ends and probes in key order: a start pushes its rule on the stack, an end
 leaves what was below it, a probe reads the stack's top, the longest
 path rule for that domain.  The longest over a url's probes decides.
 
-The axis is cut into ranges by a bounded sample of keys (SAMPLE, chosen by hash), and each range is swept by
+The axis is cut into ranges by a sample of about SAMPLE keys, whatever the number of rows (those whose hash is small enough), one range
+for each ROWS probes or partition, and each range is swept by
 itself; a rule is sent to every range that its interval touches.  A key that is
 so frequent that several cuts fall on it is dealt out over the ranges between them
 by row, so a host or url with a third of all rows is no single task.  Cuts change the load,
@@ -35,8 +36,8 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Keys that the cuts are taken from, and ranges at most.
-SAMPLE, RANGES = 4096, 512
+#: Keys that the cuts are taken from, about; probes of a range.
+SAMPLE, ROWS = 4096, 2_000_000
 DEFAULT = "allow"
 
 
@@ -69,9 +70,11 @@ def _chains(rules: DataFrame) -> DataFrame:
     return rules.join(chains, "key", "left").withColumn("below", F.coalesce("below", none))
 
 
-def _cuts(keys: DataFrame, ranges: int) -> list[str]:
-    """Keys that cut the axis into about equal shares, from a bounded sample: the keys whose hash is smallest."""
-    got = sorted(r[0] for r in keys.select("key", F.xxhash64("_row", "key").alias("h")).orderBy("h").limit(SAMPLE).select("key").collect())
+def _cuts(keys: DataFrame, count: int, ranges: int) -> list[str]:
+    """Keys that cut the axis into about equal shares, from a sample of about SAMPLE of ``count`` keys: only its rows leave their tasks."""
+    parts = 1 << 30
+    some = keys.where(F.pmod(F.xxhash64("_row", "key"), F.lit(parts)) < max(1, SAMPLE * parts // max(count, 1)))
+    got = sorted(r[0] for r in some.select("key").collect())
     return [got[len(got) * i // ranges] for i in range(1, ranges)] if got else []
 
 
@@ -87,7 +90,6 @@ def _count_below(cuts: list[str], key, equal: bool):
 def judge(urls: DataFrame, rules: DataFrame, ranges: int | None = None, default: str = DEFAULT) -> DataFrame:
     """``urls`` (a column ``url`` and others) with host, path, rule and verdict; ``rules`` has verdict, host, path."""
     spark = urls.sparkSession
-    ranges = ranges or min(RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     host, path = split_url(F.col("url"))
     kept = [c for c in urls.columns if c != "url"]
     rows = with_row_id(urls.select(F.struct(*kept).alias("_kept") if kept else F.struct(F.lit(0).alias("_")).alias("_kept"), host.alias("host"), path.alias("path")), "_row")
@@ -101,7 +103,8 @@ def judge(urls: DataFrame, rules: DataFrame, ranges: int | None = None, default:
     labels = F.split("host", r"\.")
     under = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
     probes = rows.where("host <> ''").select("_row", F.explode(under).alias("host"), "path").select("_row", axis(F.col("host"), F.col("path")).alias("key"))
-    cuts = _cuts(probes, ranges)
+    count = urls.count()
+    cuts = _cuts(probes, 4 * count, ranges or min(SAMPLE // 4, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * count // ROWS)))
     low, high = _count_below(cuts, F.col("key"), False), _count_below(cuts, F.col("key"), True)
     points = probes.select((low + F.pmod(F.xxhash64("_row"), high - low + 1)).alias("at"), "key", F.lit(1).alias("kind"), "_row", F.lit(None).cast(r.schema["below"].dataType).alias("stack"))
     r = r.withColumn("past", _past(F.col("key"))).withColumn("at", F.explode(F.sequence(_count_below(cuts, F.col("key"), False), _count_below(cuts, F.col("past"), True))))
@@ -117,7 +120,7 @@ def judge(urls: DataFrame, rules: DataFrame, ranges: int | None = None, default:
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, ("verdict", "host", "path"), strict=True)]) for r in RULES])))
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 

@@ -36,6 +36,8 @@ from leafmill.llm.common import cut, lookup_join, shared_dir, small_batches, tab
 
 #: Payloads from so many bytes on may be revisits; captures of an index block.
 REVISIT, BLOCK = 1000, 256
+#: Rows of an input partition whose captures of one key are looked up together; archived bytes that a task reads back.
+SPAN, TASK = 4096, 32 << 20
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -144,7 +146,7 @@ def index(captures: DataFrame, root: str) -> list[tuple[str, str]]:
             def flush():
                 nonlocal at
                 data = gzip.compress("".join(held).encode(), 6, mtime=0)
-                directory.append([held[0].split(" ", 1)[0], at, len(data)])
+                directory.append([" ".join(held[0].split(" ", 2)[:2]), at, len(data)])
                 f.write(data)
                 at += len(data)
                 held.clear()
@@ -160,7 +162,7 @@ def index(captures: DataFrame, root: str) -> list[tuple[str, str]]:
         _put(store, f"{folder}/{name}", fill)
         if directory:
             _put(store, f"{folder}/{name}.directory", lambda f: f.write(json.dumps(directory).encode()))
-            yield pd.DataFrame({"first": [directory[0][0]], "file": [name]})
+            yield pd.DataFrame({"first": [directory[0][0].split(" ")[0]], "file": [name]})
 
     ordered = captures.repartitionByRange("key", "_row").sortWithinPartitions("key", "_row").withColumnRenamed("_row", "row")
     # a row for each index file, of which there are as many as partitions
@@ -186,19 +188,20 @@ class Reader:
             f.seek(at)
             return gzip.decompress(f.read(size)).decode().splitlines()
 
-    def captures(self, key: str):
-        """(row, archive file, at, size) of each capture of a key."""
+    def captures(self, key: str, low: int, high: int):
+        """(row, archive file, at, size) of each capture of a key with a row from ``low`` up to ``high``."""
         mark = key + " "
+        begin = f"{mark}{low:020d}"
         i = max(bisect.bisect_left(self.starts, key) - 1, 0)  # its first captures may end the file before
         while i < len(self.files) and self.starts[i] <= key:
             directory = self.directory(self.files[i][1])
-            b = max(bisect.bisect_left(directory, key, key=lambda x: x[0]) - 1, 0)
-            while b < len(directory) and directory[b][0] <= key:
+            b = max(bisect.bisect_right(directory, begin, key=lambda x: x[0]) - 1, 0)
+            while b < len(directory) and directory[b][0] < f"{mark}{high:020d}":
                 lines = self.block(self.files[i][1], directory[b][1], directory[b][2])
-                for line in lines[bisect.bisect_left(lines, mark) :]:
-                    if not line.startswith(mark):
-                        break
+                for line in lines[bisect.bisect_left(lines, begin) :]:
                     _, row, file, at, size = line.split(" ")
+                    if not line.startswith(mark) or int(row) >= high:
+                        break
                     yield int(row), file, int(at), int(size)
                 b += 1
             i += 1
@@ -209,18 +212,27 @@ class Reader:
         return parse(gzip.decompress(f.read(size)))
 
 
-def lookup(keys: DataFrame, root: str, files: list[tuple[str, str]]) -> DataFrame:
-    """Records of every capture of ``keys`` (key): page_id, payload_bytes, payload_digest, record_type, refers_to, payload.
+def lookups(captures: DataFrame) -> DataFrame:
+    """(key, low, high): what to look up to read all captures; a key with many captures is several ranges of rows."""
+    part = F.floor(F.col("_row") / SPAN)
+    return captures.select("key", (part * SPAN).alias("low"), ((part + 1) * SPAN).alias("high")).distinct()
+
+
+def lookup(keys: DataFrame, root: str, files: list[tuple[str, str]], tasks: int | None = None) -> DataFrame:
+    """Records of every capture of ``keys`` (key; low and high, if only captures of rows in this range): page_id, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    Keys are looked up once each and in order, so that a task reads each block once.
+    Keys are looked up once each and in order, so that a task reads each block about
+    once; they are dealt to ``tasks`` ranges, for the work lies in the records, not in the keys.
     """
+    if "low" not in keys.columns:
+        keys = keys.withColumns({"low": F.lit(0).cast("long"), "high": F.lit((1 << 63) - 1)})
 
     def read(frames):
         reader = Reader(root, files)
         for frame in frames:
             out, held = [], 0
-            for key in frame["key"]:
-                for _, file, at, size in reader.captures(key):
+            for key, low, high in zip(frame["key"], frame["low"], frame["high"], strict=True):
+                for _, file, at, size in reader.captures(key, low, high):
                     r = reader.record(file, at, size)
                     revisit = r["WARC-Type"] == "revisit"
                     digest = base64.b32decode(r["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
@@ -235,7 +247,9 @@ def lookup(keys: DataFrame, root: str, files: list[tuple[str, str]]) -> DataFram
                 yield _frame(out)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return keys.repartitionByRange("key").sortWithinPartitions("key").mapInPandas(read, schema)
+    order = ("key", "low")
+    ranged = keys.repartitionByRange(tasks, *order) if tasks else keys.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order).select("key", "low", "high").mapInPandas(read, schema)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -250,7 +264,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = root if "://" in root else "file://" + root
     captures = write(table(spark, sf_dir, "pages"), root)
     files = index(captures, root)
-    out = lookup(captures.select("key").distinct(), root, files).drop("payload")
+    size = captures.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, size // TASK)
+    out = lookup(lookups(captures), root, files, tasks).drop("payload")
     return cut(out)
 
 

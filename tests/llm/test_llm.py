@@ -419,6 +419,23 @@ def test_warc_looks_up_by_key(spark, tmp_path):
     assert [r.page_id for r in one] == [3]
 
 
+def test_warc_hot_keys_and_odd_rows(spark, tmp_path, monkeypatch):
+    """One key with most captures over many index blocks, null and equal ids, repeated rows, long payloads."""
+    monkeypatch.setattr(warc, "SPAN", 64)
+    rows = [(i, None if i % 3 else f"http://h.org/{i}", f"page {i}") for i in range(2000)]
+    rows += [(None, None, "y" * 3000), (5, None, "y" * 3000), (5, None, "y" * 3000), (9000, "http://h.org/9000", "z" * 500_000), (9001, "", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    root = f"file://{tmp_path}"
+    captures = warc.write(df, root)
+    files = warc.index(captures, root)
+    spans = warc.lookups(captures)
+    assert spans.where("key = ')'").count() > 20
+    got = warc.lookup(spans, root, files, 7).collect()
+    assert sorted((str(r.page_id), r.payload_digest) for r in got) == sorted((str(i), hashlib.sha1((t or "").encode()).hexdigest()) for i, _, t in rows)
+    same_payload = [(r.record_type, r.page_id, r.refers_to) for r in got if r.payload_bytes == 3000]
+    assert sorted(map(str, same_payload)) == ["('response', 5, None)", "('revisit', 5, 5)", "('revisit', None, 5)"]
+
+
 def test_e8_decoding_is_nearest():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(200, 8)) * 3

@@ -117,9 +117,14 @@ def edges_of(part: str, chunk: int, overlap: int) -> tuple[list[int], list[int]]
 
     Only those after a character that is no white space, for a piece may end
     there; and none in the last four code points, where the text that is cut
-    off could tell.
+    off could tell.  Every reading has a boundary before a lone blank, so where
+    both stretches hold one, those are enough; else the whole chunk is read.
     """
-    first, last, stop = [], [], len(part) - 4
+    stop = len(part) - 4
+    first, last = ([m.start() for m in _alone().finditer(part, a, max(b + 2, a)) if m.start() < b] for a, b in ((0, min(overlap, stop + 1)), (chunk, stop + 1)))
+    if first and (last or stop < chunk):
+        return first, [p - chunk for p in last]
+    first, last = [], []
     for m in _pattern().finditer(part):
         p = m.end()
         if p > stop:

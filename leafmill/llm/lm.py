@@ -157,7 +157,6 @@ def fit(texts: DataFrame, u: attention.Units, total: int, count: int, rounds: in
     shards = -(-(total // attention.STEP + count) // (SHARD * rounds))
     deal = F.pmod(F.xxhash64("at"), F.lit(shards * rounds))
     blocks = training_blocks(texts).select("at", "units", (deal % rounds).cast("int").alias("turn"), F.floor(deal / rounds).cast("int").alias("shard"))
-    blocks = cut(blocks)
     names, shapes = list(model), {k: w.shape for k, w in model.items()}
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model)

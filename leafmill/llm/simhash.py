@@ -13,7 +13,7 @@ drops a whole subtree once they exceed ``bits``.
 
 A fingerprint has at most 2 080 others within two bits, so links are bounded by
 the number of distinct fingerprints.  Groups of over HOT fingerprints are dealt
-out again by blocks of their remaining bits, which is exact for the same reason.
+out again by blocks of their remaining bits, until they fit, which is exact for the same reason.
 
 Texts: null, empty and blank ones have fingerprint zero and link like any other.
 Equal or null doc_ids and repeated rows are kept as rows; component_id is the
@@ -23,7 +23,7 @@ through the stage under any name.
 
 from __future__ import annotations
 
-from itertools import pairwise
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -117,40 +117,42 @@ class GrayIndex:
             yield query[ok], node[ok]
 
 
-def _blocks(n: int, low: int, high: int) -> list[tuple[int, int]]:
-    """(shift, width) of n nearly equal blocks of the bits from low to high."""
-    edges = [low + (high - low) * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in pairwise(edges)]
+def _dealt(groups: DataFrame, bits: int) -> DataFrame:
+    """Groups (fp, key, rest, left) dealt out by the ``bits`` + 1 blocks of their ``left`` open bits, which ``rest`` holds packed.
 
-
-def _cut_bits(shift: int, width: int):
-    return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+    Codes of one group within ``bits`` differing bits agree on one of the blocks, so they meet again; a
+    block's bits are settled from then on and leave ``rest``.
+    """
+    width = F.expr("high - low")
+    block = F.expr("shiftrightunsigned(rest, low)").bitwiseAND(F.expr("shiftleft(1L, high - low) - 1"))
+    above = F.when(F.col("high") < F.col("left"), F.expr("shiftleft(shiftrightunsigned(rest, high), low)")).otherwise(F.lit(0))
+    below = F.col("rest").bitwiseAND(F.expr("shiftleft(1L, low) - 1"))
+    edges = [F.struct(F.lit(s).alias("s"), F.expr(f"left * {s} div {bits + 1}").cast("int").alias("low"), F.expr(f"left * {s + 1} div {bits + 1}").cast("int").alias("high")) for s in range(bits + 1)]
+    each = groups.select("*", F.inline(F.array(*edges)))
+    return each.select("fp", F.xxhash64("key", "s", block).alias("key"), above.bitwiseOR(below).alias("rest"), (F.col("left") - width).alias("left"))
 
 
 def near_links(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints ``fp`` that differ in at most ``bits`` bits; ``fps`` holds each once."""
-    blocks = _blocks(bits + 1, 0, 64)
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), _cut_bits(*b).alias("key")) for t, b in enumerate(blocks)])).alias("k")).select("fp", "k.t", "k.key")
-    large = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("t", "key"))
-    if not large.isEmpty():
-        marked = lookup_join(keyed, large.withColumn("hot", F.lit(True)), ["t", "key"])
-        again = []
-        for t, (shift, width) in enumerate(blocks):
-            # the other bits, rotated down, are dealt out by their own blocks
-            rest = F.shiftleft(F.shiftrightunsigned("fp", shift + width), shift) if shift + width < 64 else F.lit(0)
-            rest = rest.bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << shift) - 1)))
-            for s, (a, w) in enumerate(_blocks(bits + 1, 0, 64 - width)):
-                sub = F.shiftrightunsigned(rest, a).bitwiseAND(F.lit((1 << w) - 1))
-                again.append(marked.where(F.col("hot") & (F.col("t") == t)).select("fp", F.lit(len(blocks) * (1 + t) + s).alias("t"), F.xxhash64("key", sub).alias("key")))
-        keyed = marked.where(F.col("hot").isNull()).select("fp", "t", "key")
-        for x in again:
-            keyed = keyed.union(x)
+    """Pairs (a, b) of distinct fingerprints ``fp`` that differ in at most ``bits`` bits; ``fps`` holds each once.
+
+    A group is dealt out again until it has at most ``hot`` fingerprints.  It has no more than two to the
+    power of its open bits, and a third of these is settled each time, so four times do for HOT.
+    """
+    groups = _dealt(fps.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), F.lit(64).alias("left")), bits)
+    keyed = []
+    while True:
+        large = cut(groups.where(F.col("left") > bits).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))
+        if large.isEmpty():
+            break
+        keyed.append(lookup_join(groups, large, ["key"], "left_anti").select("fp", "key"))
+        groups = cut(_dealt(lookup_join(groups, large, ["key"], "left_semi"), bits))
+    keyed = reduce(DataFrame.union, keyed, groups.select("fp", "key"))
 
     def search(frames):
         held, n = [], 0
 
         def found(frame: pd.DataFrame):
-            group = frame.groupby(["t", "key"], sort=False).ngroup().to_numpy()
+            group = frame.groupby("key", sort=False).ngroup().to_numpy()
             many = np.bincount(group)[group] > 1
             if many.any():
                 index = GrayIndex(group[many], frame["fp"].to_numpy()[many].astype(np.int64).view(np.uint64))
@@ -163,13 +165,13 @@ def near_links(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
             n += len(frame)
             if n >= hot:  # all but the last group are complete, for rows come sorted by group
                 whole = pd.concat(held)
-                last = (whole["t"] == whole["t"].iloc[-1]) & (whole["key"] == whole["key"].iloc[-1])
+                last = whole["key"] == whole["key"].iloc[-1]
                 yield from found(whole[~last])
                 held, n = [whole[last]], int(last.sum())
         if held:
             yield from found(pd.concat(held))
 
-    return keyed.repartition("t", "key").sortWithinPartitions("t", "key").mapInPandas(search, "a long, b long").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(search, "a long, b long").distinct()
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -183,14 +185,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """(_row, doc_id, fp, component_id) of every row of ``docs`` (_row, doc_id, text)."""
+    """(_row, doc_id, fp, root, component_id) of every row of ``docs`` (_row, doc_id, text); ``root`` is one fingerprint for each group."""
     small_batches(docs.sparkSession)
     rows = cut(fingerprints(docs.select("_row", "doc_id", "text"), shingle).select("_row", "doc_id", "fp"))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(fps.select("fp"), bits))
     named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return lookup_join(rows, cut(named.select("fp", "component_id")), ["fp"]).select("_row", "doc_id", "fp", "component_id")
+    return lookup_join(rows, cut(named.select("fp", "root", "component_id")), ["fp"]).select("_row", "doc_id", "fp", "root", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,9 +204,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None)
     """Pipeline stage: of each group of near-duplicates the row with the smallest doc_id stays (of repeated rows the first)."""
     rows = wrapped(docs, "doc_id", "text")
     found = near_duplicates(rows)
-    # a row stays if it is the least of its component: the component's id itself, once
-    mine = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = cut(mine.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp")).agg(F.min("_row").alias("_row")).select("_row"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    stay = cut(found.groupBy("root").agg(F.min(order).getField("_row").alias("_row")).select("_row"))
     return unwrapped(lookup_join(rows.select("_row", "_in"), stay, ["_row"], "left_semi"), docs)
 
 

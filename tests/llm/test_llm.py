@@ -187,12 +187,13 @@ def test_simhash_against_brute_force(spark, odd):
         assert all(r.component_id == least.get(label[place[int(r.fingerprint, 16)]]) for r in rows)
 
 
-@pytest.mark.parametrize("hot", [200_000, 40])
+@pytest.mark.parametrize("hot", [200_000, 40, 5])
 def test_gray_index_finds_all_links(spark, hot):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 100, dtype=np.uint64)
     dense = np.uint64(99) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))
-    codes = np.unique(np.concatenate([base, base ^ np.uint64(1 << 40), base ^ np.uint64(3), base ^ np.uint64(7 << 20), dense]))
+    cube = np.arange(256, dtype=np.uint64) << np.uint64(30)  # agree on all blocks but one, however often they are dealt out
+    codes = np.unique(np.concatenate([base, base ^ np.uint64(1 << 40), base ^ np.uint64(3), base ^ np.uint64(7 << 20), dense, cube]))
     i, j = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None]) <= 2, 1))
     s = codes.view(np.int64)
     want = {(int(max(s[a], s[b])), int(min(s[a], s[b]))) for a, b in zip(i, j, strict=True)}
@@ -204,10 +205,18 @@ def test_one_of_each_keeps_one_row(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     kept = simhash.one_of_each(spark, docs).collect()
     rows = simhash.near_duplicates(common.wrapped(docs, "doc_id", "text")).collect()
-    assert len(kept) == len({(r.component_id, r.fp if r.component_id is None else 0) for r in rows})
+    assert len(kept) == len({r.root for r in rows})
     assert set(kept[0].asDict()) == set(docs.columns)
 
 
+def test_one_of_each_tells_groups_with_equal_ids_apart(spark):
+    texts = {"a": "one two three four five six", "b": "quite another text that shares no words", "c": "a third one with nothing of the others"}
+    rows = [(5, texts["a"]), (5, texts["b"]), (7, texts["b"]), (None, texts["c"]), (None, texts["c"]), (9, texts["a"])]
+    kept = simhash.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted(texts.values())
+    assert {r.doc_id for r in kept} == {5, None}
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):

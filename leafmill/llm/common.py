@@ -62,6 +62,24 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     return big.join(F.broadcast(small) if is_small(small, limit) else small, on, how)
 
 
+def row_join(big: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``big`` whose ``_row`` is (left_semi) or is not (left_anti) among ``ids`` (_row, each once, already cut).
+
+    Ids travel as bitmaps of 32 768 rows, a bit a row, so ``big`` with its texts is not shuffled
+    up to about 8 000 bitmaps (BROADCAST_BYTES); beyond that both sides are.
+    """
+    bucket = F.bitmap_bucket_number("_row")
+    # dealt by bucket first, or every task would hand on a bitmap of every bucket
+    maps = cut(ids.select(bucket.alias("_at"), "_row").repartition("_at").groupBy("_at").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_row")).alias("_bits")))
+    if not is_small(maps):
+        return big.join(ids.select("_row"), "_row", how)
+    place = F.bitmap_bit_position("_row")
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    held = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    rows = big.withColumn("_at", bucket).join(F.broadcast(maps), "_at", "left")
+    return rows.where(held if how == "left_semi" else ~held).select(*big.columns)
+
+
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bound the bytes of a batch that goes to Python: 10 000 long texts at once do not fit a small executor."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import SPACE, cut, lookup_join, table, unwrapped, wrapped
+from leafmill.llm.common import SPACE, cut, is_small, lookup_join, row_join, table, unwrapped, wrapped
 
 DEPTH, TOKENS, DOCS, CONSTANT, LONG = 3, 3, 3, 0.7, 50
 BLANKS = " \t\n\x0b\x0c\r"
@@ -80,7 +80,13 @@ def dropped(rows: DataFrame) -> DataFrame:
 
 def dedup(rows: DataFrame) -> DataFrame:
     """``rows`` (_row, doc_id, text, ...) with recurring lines out of ``text``, and ``n_lines`` and ``n_dropped`` (long)."""
-    rows = lookup_join(rows, cut(dropped(rows.select("_row", "doc_id", "text"))), ["_row"])
+    gone = cut(dropped(rows.select("_row", "doc_id", "text")))
+    if is_small(gone):
+        rows = rows.join(F.broadcast(gone), "_row", "left")
+    else:  # only texts that lose lines are shuffled
+        ids = gone.select("_row")
+        rest = row_join(rows, ids, "left_anti").withColumn("lines", F.lit(None).cast("array<int>"))
+        rows = row_join(rows, ids, "left_semi").join(gone, "_row").unionByName(rest)
     lines = F.split("text", "\n")
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("lines", i)), "\n"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import components, cut, lookup_join, small_batches, table, unwrapped, wrapped
+from leafmill.llm.common import components, cut, lookup_join, row_join, small_batches, table, unwrapped, wrapped
 
 BITS, SHINGLE = 2, 3
 #: Members of an index node.
@@ -206,7 +206,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None)
     found = near_duplicates(rows)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
     stay = cut(found.groupBy("root").agg(F.min(order).getField("_row").alias("_row")).select("_row"))
-    return unwrapped(lookup_join(rows.select("_row", "_in"), stay, ["_row"], "left_semi"), docs)
+    return unwrapped(row_join(rows.select("_row", "_in"), stay, "left_semi"), docs)
 
 
 QUERIES = {"op7_simhash": op7_simhash}

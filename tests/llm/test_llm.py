@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from twins import DATA, same
 
@@ -676,3 +677,26 @@ def test_pipeline_on_odd_and_empty_documents(spark, clashing, tmp_path):
         filled[r.sequence_id].append((r.offset, r.length))
     for placed in filled.values():
         assert all(b[0] == a[0] + a[1] for a, b in zip(sorted(placed), sorted(placed)[1:], strict=False)) and sum(n for _, n in placed) <= packing.SIZE
+
+
+def test_row_join_by_bitmaps(spark):
+    big = spark.range(0, 100_000, 1, 3).withColumn("_row", F.monotonically_increasing_id())
+    ids = common.cut(big.where("id % 3 <> 1").select("_row"))
+    for how, odd in (("left_semi", False), ("left_anti", True)):
+        out = common.row_join(big, ids, how)
+        assert sorted(r.id for r in out.collect()) == [i for i in range(100_000) if (i % 3 == 1) == odd]
+        assert out.columns == big.columns and "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert common.row_join(big, common.cut(ids.where("false")), "left_anti").count() == 100_000
+
+
+def test_stages_over_many_rows_shuffle_only_changed_texts(spark, monkeypatch):
+    """As for a corpus whose rows are too many to be broadcast as rows."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = [rows(stage(spark, docs)) for stage in (lines.line_stage, simhash.one_of_each)]
+    monkeypatch.setattr(common.is_small, "__defaults__", (4,))
+    monkeypatch.setattr(common.lookup_join, "__defaults__", ("left", 4))
+    got = [stage(spark, docs) for stage in (lines.line_stage, simhash.one_of_each)]
+    assert [rows(df) for df in got] == want
+    split, one = (df._jdf.queryExecution().executedPlan().toString() for df in got)
+    assert "SortMergeJoin" not in one and "Union" in split

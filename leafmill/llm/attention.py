@@ -16,6 +16,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import glob
+import math
 import os
 from typing import NamedTuple
 
@@ -33,13 +34,18 @@ LIMIT = 30.0
 #: By unit: its class, and its member number in a head class.
 GROUP = np.r_[np.arange(HEADS * MEMBERS) // MEMBERS, HEADS + np.arange(TAILS)].astype(np.int8)
 MEMBER = np.r_[np.arange(HEADS * MEMBERS) % MEMBERS, np.zeros(TAILS, np.int64)].astype(np.int8)
-#: Windows scored at a time, and windows of a training step; rows of a chunk of targets.
-BATCH, TRAIN, CHUNK = 512, 96, 16
+#: Windows scored at a time, and windows of a training step.
+BATCH, TRAIN = 128, 96
 
 
 @functools.cache
 def one_thread() -> None:
-    """Tasks share an executor's cores: threads of the matrix library would only wait for each other."""
+    """Tasks share an executor's cores: threads of the matrix library would only wait for each other.
+
+    A large block that is freed also makes the C library keep smaller ones for later instead of giving
+    them back to the system after each batch, which costs a fault for every page of the next.
+    """
+    np.empty(24 << 20, np.uint8)
     for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
         call = getattr(ctypes.CDLL(path), "scipy_openblas_set_num_threads64_", None)
         if call:
@@ -95,6 +101,7 @@ def start(u: Units, seed: int = 6) -> Model:
 _BEGIN = np.array([START], np.uint16)
 #: How far back each key of a window lies from each query; negative after it.
 _BACK = np.arange(STEP)[:, None] + OVERLAP - np.arange(WINDOW)
+_PLACE = np.maximum(_BACK, 0)
 
 
 def _hidden(m: Model, x: np.ndarray, begins: np.ndarray):
@@ -103,12 +110,13 @@ def _hidden(m: Model, x: np.ndarray, begins: np.ndarray):
     ``begins`` marks windows that start a text: their context is hidden.
     """
     d = WIDTH
-    table = np.concatenate([m["embed"], m["embed"] @ m["qkv"], np.ones((START + 1, 1), m["embed"].dtype)], axis=1)
-    table[:, d : 2 * d] *= d**-0.5
+    table = np.empty((START + 1, 4 * d + 1), m["embed"].dtype)
+    table[:, :d], table[:, 4 * d] = m["embed"], 1
+    np.matmul(m["embed"], _scaled(m["qkv"]), out=table[:, d : 4 * d])
     t = np.take(table, x, axis=0)
     e, q, k, v = t[:, OVERLAP:, :d], t[:, OVERLAP:, d : 2 * d], t[:, :, 2 * d : 3 * d], t[:, :, 3 * d :]
     a = q @ k.transpose(0, 2, 1)
-    a += np.where(_BACK >= 0, m["place"][np.maximum(_BACK, 0)], a.dtype.type(-1e9))
+    a += np.where(_BACK >= 0, m["place"][_PLACE], a.dtype.type(-1e9))
     a[begins, :, :OVERLAP] = -1e9
     np.minimum(a, LIMIT, out=a)
     np.exp(a, out=a)
@@ -120,15 +128,19 @@ def _hidden(m: Model, x: np.ndarray, begins: np.ndarray):
     return h, (t, a, total, c)
 
 
+def _scaled(qkv: np.ndarray) -> np.ndarray:
+    """Weights with those of the query scaled."""
+    return np.concatenate([qkv[:, :WIDTH] * qkv.dtype.type(WIDTH**-0.5), qkv[:, WIDTH:]], axis=1)
+
+
 class _Targets(NamedTuple):
-    """Kept targets by class, and those of head classes in chunks of CHUNK rows of one class, so that all classes are one batch."""
+    """Kept targets by class: their flat places, classes, and members; those of head classes come first and lie in ``runs`` (class, first, end)."""
 
-    at: np.ndarray  # flat place
+    at: np.ndarray
     group: np.ndarray
     heads: int  # so many are of head classes
-    slot: np.ndarray  # of those: row in the chunks
     member: np.ndarray
-    owner: np.ndarray  # class of each chunk
+    runs: list[tuple[int, int, int]]
 
 
 def _targets(unit: np.ndarray, keep: np.ndarray) -> _Targets:
@@ -137,36 +149,45 @@ def _targets(unit: np.ndarray, keep: np.ndarray) -> _Targets:
     order = np.argsort(of, kind="stable")
     at, of = at[order], of[order].astype(np.intp)
     count = np.bincount(of, minlength=CLASSES)[:HEADS]
-    heads, chunks = int(count.sum()), -(-count // CHUNK)
-    shift = (np.cumsum(chunks) - chunks) * CHUNK - (np.cumsum(count) - count)
-    return _Targets(at, of, heads, np.arange(heads) + shift[of[:heads]], MEMBER[unit.ravel()[at[:heads]]].astype(np.intp), np.repeat(np.arange(HEADS), chunks))
+    ends = np.cumsum(count)
+    heads = int(ends[-1])
+    runs = [r for r in zip(range(HEADS), (ends - count).tolist(), ends.tolist(), strict=True) if r[1] < r[2]]
+    return _Targets(at, of, heads, MEMBER[unit.ravel()[at[:heads]]].astype(np.intp), runs)
+
+
+def _read_out(m: Model, t: _Targets, h: np.ndarray):
+    """Hidden states of targets with a last column of ones, and the read-out's weights with its constants as last row."""
+    rows = np.empty((len(t.at), WIDTH + 1), h.dtype)
+    np.take(h.reshape(-1, WIDTH), t.at, axis=0, out=rows[:, :WIDTH], mode="clip")
+    rows[:, WIDTH] = 1
+    return rows, np.concatenate([m["class"], m["class0"][None]]), np.concatenate([m["member"], m["member0"][:, None]], axis=1)
 
 
-def _member_logits(m: Model, t: _Targets, h: np.ndarray):
-    """Rows of hidden states in chunks, and their logits within their class."""
-    rows = np.zeros((len(t.owner) * CHUNK, WIDTH), h.dtype)
-    rows[t.slot] = h[: t.heads]
-    rows = rows.reshape(-1, CHUNK, WIDTH)
-    z = rows @ m["member"][t.owner]
-    z += m["member0"][t.owner][:, None, :]
-    return rows, z.reshape(-1, MEMBERS)
+def _member_logits(t: _Targets, rows: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Logits of targets of head classes within their class."""
+    z = np.empty((t.heads, MEMBERS), rows.dtype)
+    for c, first, end in t.runs:
+        np.matmul(rows[first:end], member[c], out=z[first:end])
+    return z
+
+
+def _flat_places(z: np.ndarray, column: np.ndarray) -> np.ndarray:
+    return np.arange(0, z.size, z.shape[1]) + column
 
 
 def log_probs(m: Model, x: np.ndarray, begins: np.ndarray, unit: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """Natural log probabilities (n, STEP) of the target units that ``keep`` marks, 0 elsewhere."""
     t = _targets(unit, keep)
-    h = np.take(_hidden(m, x, begins)[0].reshape(-1, WIDTH), t.at, axis=0)
+    rows, group, member = _read_out(m, t, _hidden(m, x, begins)[0])
 
-    def log_soft(z, rows, target):
-        got = z[rows, target]
+    def log_soft(z, target):
+        got = np.take(z, _flat_places(z, target))
         np.exp(z, out=z)
-        return got - np.log(z @ np.ones(z.shape[1], z.dtype))[rows]
+        return got - np.log(z @ np.ones(z.shape[1], z.dtype))
 
-    z = h @ m["class"]
-    z += m["class0"]
-    out = log_soft(z, np.arange(len(z)), t.group)
+    out = log_soft(rows @ group, t.group)
     if t.heads:
-        out[: t.heads] += log_soft(_member_logits(m, t, h)[1], t.slot, t.member)
+        out[: t.heads] += log_soft(_member_logits(t, rows, member), t.member)
     whole = np.zeros(keep.shape, out.dtype)
     whole.ravel()[t.at] = out
     return whole
@@ -182,77 +203,98 @@ def bounded(m: Model) -> Model:
     return m
 
 
-def gradients(m: Model, x: np.ndarray, begins: np.ndarray, unit: np.ndarray, keep: np.ndarray) -> tuple[float, Model]:
-    """Mean loss and its gradients."""
-    d = WIDTH
+def _views(flat: np.ndarray, like: Model) -> Model:
+    """The vector ``flat`` as weights in the shapes of ``like``."""
+    ends = np.cumsum([w.size for w in like.values()])
+    return {n: part.reshape(w.shape) for (n, w), part in zip(like.items(), np.split(flat, ends[:-1]), strict=True)}
+
+
+def gradients(m: Model, x: np.ndarray, begins: np.ndarray, unit: np.ndarray, keep: np.ndarray, g: Model | None = None) -> tuple[float, Model]:
+    """Mean loss and its gradients; with ``g``, weights of zeros that take them, the loss is not computed (NaN)."""
+    d, with_loss = WIDTH, g is None
     h, (t, a, total, c) = _hidden(m, x, begins)
-    g = {n: np.zeros_like(w) for n, w in m.items()}
+    if g is None:
+        g = {n: np.zeros_like(w) for n, w in m.items()}
     to = _targets(unit, keep)
-    flat = np.take(h.reshape(-1, d), to.at, axis=0)
+    rows, group, member = _read_out(m, to, h)
     n = max(len(to.at), 1)
 
-    def softmax(z, rows, target):
-        """Turns logits into the loss's gradient by them, 0 in rows without a target; returns the loss."""
+    def softmax(z, target):
+        """Turns logits into the loss's gradient by them; returns the loss."""
         np.minimum(z, LIMIT, out=z)
         np.exp(z, out=z)
-        sums = z @ np.ones(z.shape[1], z.dtype)
-        share = np.zeros(len(z), z.dtype)
-        share[rows] = 1 / (n * sums[rows])
-        lost = np.log(sums[rows] / z[rows, target]).sum()
-        z *= share[:, None]
-        z[rows, target] -= 1 / n
+        sums, places = z @ np.ones(z.shape[1], z.dtype), _flat_places(z, target)
+        lost = np.log(sums / np.take(z, places)).sum() if with_loss else math.nan
+        z *= (1 / (n * sums))[:, None]
+        z.reshape(-1)[places] -= 1 / n
         return lost
 
-    p = flat @ m["class"]
-    p += m["class0"]
-    loss = softmax(p, np.arange(len(p)), to.group)
-    g["class"], g["class0"] = flat.T @ p, np.ones(len(p), p.dtype) @ p
+    p = rows @ group
+    loss = softmax(p, to.group)
+    turned = rows.T
+    by_group = turned @ p
+    g["class"][:], g["class0"][:] = by_group[:d], by_group[d]
     back = p @ m["class"].T
     if to.heads:
-        rows, p = _member_logits(m, to, flat)
-        loss += softmax(p, to.slot, to.member)
-        p = p.reshape(-1, CHUNK, MEMBERS)
-        new = np.flatnonzero(np.r_[True, to.owner[1:] != to.owner[:-1]])
-        g["member"][to.owner[new]] = np.add.reduceat(rows.transpose(0, 2, 1) @ p, new, axis=0)
-        g["member0"][to.owner[new]] = np.add.reduceat(np.ones((1, CHUNK), p.dtype) @ p, new, axis=0)[:, 0]
-        back[: to.heads] += (p @ m["member"][to.owner].transpose(0, 2, 1)).reshape(-1, d)[to.slot]
-    back *= 1 - flat * flat
-    dh = np.zeros((len(x) * STEP, d), h.dtype)
-    dh[to.at] = back
-    dh = dh.reshape(-1, STEP, d)
-    # of the query, key and value of each input
+        p = _member_logits(to, rows, member)
+        loss += softmax(p, to.member)
+        by_member = np.zeros_like(member)
+        for of, first, end in to.runs:
+            part = p[first:end]
+            np.matmul(turned[:, first:end], part, out=by_member[of])
+            back[first:end] += part @ m["member"][of].T
+        g["member"][:], g["member0"][:] = by_member[:, :d], by_member[:, d]
+    back *= 1 - rows[:, :d] ** 2
+    # gradients by hidden states, and a last column that takes the mean out of the gradients by weights
+    dh = np.zeros((len(x) * STEP, d + 1), h.dtype)
+    dh[to.at, :d] = back
+    dh = dh.reshape(-1, STEP, d + 1)
+    dh[:, :, d] = -np.einsum("ijk,ijk->ij", dh[:, :, :d], c)
+    # of the scaled query, key and value of each input
     by = np.empty((len(x), WINDOW, 3 * d), h.dtype)
     by[:, :OVERLAP, :d] = 0
     a /= total
-    np.matmul(a.transpose(0, 2, 1), dh, out=by[:, :, 2 * d :])
-    da = dh @ t[:, :, 3 * d : 4 * d].transpose(0, 2, 1)
-    da -= (dh * c) @ np.ones((d, 1), h.dtype)
+    np.matmul(a.transpose(0, 2, 1), dh[:, :, :d], out=by[:, :, 2 * d :])
+    da = dh @ t[:, :, 3 * d :].transpose(0, 2, 1)
     da *= a
     np.matmul(da, t[:, :, 2 * d : 3 * d], out=by[:, OVERLAP:, :d])
-    by[:, :, :d] *= d**-0.5
     np.matmul(da.transpose(0, 2, 1), t[:, OVERLAP:, d : 2 * d], out=by[:, :, d : 2 * d])
-    g["place"] = np.bincount(np.maximum(_BACK, 0).ravel(), np.where(_BACK >= 0, da.sum(axis=0), 0).ravel(), WINDOW).astype(h.dtype)
+    g["place"][:] = np.bincount(_PLACE.ravel(), da.sum(axis=0).ravel(), WINDOW)  # 0 after a query
     by = by.reshape(-1, 3 * d)
-    g["qkv"] = np.take(m["embed"], x.ravel(), axis=0).T @ by
-    de = (by @ m["qkv"].T).reshape(-1, WINDOW, d)
-    de[:, OVERLAP:] += dh
+    np.matmul(t.reshape(-1, 4 * d + 1)[:, :d].T, by, out=g["qkv"])
+    g["qkv"][:, :d] *= d**-0.5
+    de = (by @ _scaled(m["qkv"]).T).reshape(-1, WINDOW, d)
+    de[:, OVERLAP:] += dh[:, :, :d]
     order = np.argsort(x, axis=None, kind="stable")
     used = x.ravel()[order]
-    first = np.flatnonzero(np.r_[True, used[1:] != used[:-1]])
+    first = np.append(0, np.flatnonzero(used[1:] != used[:-1]) + 1)
     g["embed"][used[first]] = np.add.reduceat(np.take(de.reshape(-1, d), order, axis=0), first, axis=0)
     return float(loss / n), g
 
 
 def train(m: Model, windows: tuple[np.ndarray, ...], rate: float = 0.01, batch: int = 32) -> Model:
     """One pass of Adam over windows (x, begins, unit, keep); returns new weights."""
-    m = {n: w.copy() for n, w in m.items()}
-    one, two = ({n: np.zeros_like(w) for n, w in m.items()} for _ in range(2))
+    flat = np.concatenate([w.ravel() for w in m.values()])
+    g, one, two = (np.zeros_like(flat) for _ in range(3))
+    m, by, some = _views(flat, m), _views(g, m), np.empty_like(flat)
     for step, at in enumerate(range(0, len(windows[0]), batch), 1):
-        _, g = gradients(m, *(w[at : at + batch] for w in windows))
-        for n in m:
-            one[n] += 0.1 * (g[n] - one[n])
-            two[n] += 0.01 * (g[n] * g[n] - two[n])
-            m[n] -= rate * (one[n] / (1 - 0.9**step)) / (np.sqrt(two[n] / (1 - 0.99**step)) + 1e-6)
+        g[:] = 0
+        gradients(m, *(w[at : at + batch] for w in windows), by)
+        # one += 0.1 (g - one), two += 0.01 (g g - two), weights -= rate one' / (sqrt(two') + 1e-6)
+        np.subtract(g, one, out=some)
+        some *= 0.1
+        one += some
+        np.multiply(g, g, out=some)
+        some -= two
+        some *= 0.01
+        two += some
+        np.divide(two, 1 - 0.99**step, out=some)
+        np.sqrt(some, out=some)
+        some += 1e-6
+        np.divide(one, 1 - 0.9**step, out=g)
+        g *= rate
+        g /= some
+        flat -= g
     return m
 
 

@@ -27,11 +27,12 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import attention
-from leafmill.llm.bpe import coder
+from leafmill.llm.bpe import WS, _bytes_of, coder
 from leafmill.llm.common import cut, small_batches, table, with_row_id
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,8 +40,8 @@ HOT = 150_000
 RUN, SHARD, ROUNDS, RATES = 64, 131_072, 3, (0.03, 0.015, 0.005)
 #: Words a task counts before it hands them on; floats of the model that travel together.
 FLUSH, CHUNK = 400_000, 8192
-#: Words whose subwords a worker remembers.
-CACHE = 250_000
+#: Words whose subwords a task remembers, the frequent ones always; words that are encoded together.
+CACHE, TOGETHER = 250_000, 4096
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -54,19 +55,77 @@ def _subwords(path: str):
     return lambda word: encode(" " + word.decode("utf-8", "replace"))
 
 
+@functools.cache
+def _blank_first(path: str) -> np.ndarray:
+    """By subword id: whether it starts with a blank."""
+    return np.array([b[:1] == b" " for b in _bytes_of(path)])
+
+
+@functools.cache
+def _spaced():
+    """White space of the coder's pattern, which a word can hold where it is not ASCII."""
+    return regex.compile(f"[{WS}]")
+
+
+def encoded(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of ``words`` in order, as ``_subwords`` has them, and how many each word has.
+
+    Words are encoded TOGETHER with a blank before each.  The pattern never goes on over a lone blank and looks
+    ahead for white space alone, so only words that hold other white space are encoded by themselves.
+    """
+    one, encode, first = _subwords(path), coder(path).encode_ordinary, _blank_first(path)
+    ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), TOGETHER):
+        some = words[i : i + TOGETHER]
+        text = " " + b" ".join(some).decode("utf-8", "replace")
+        if _spaced().search(text.replace(" ", "")):
+            found = [one(w) for w in some]
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.int64))
+            sizes.append(np.array(list(map(len, found)), np.int64))
+            continue
+        got = np.array(encode(text), np.int64)
+        ids.append(got)
+        sizes.append(np.diff(np.flatnonzero(first[got]), append=len(got)))
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
 class _Words(dict):
-    """By word: log10 of its count plus one (NaN: not a hot word), its packed units, its log probability within them."""
+    """Places of words in tables of log10 of their count plus one (NaN: not a hot word), log probability within units, packed units.
 
-    def __init__(self, path: str, hot: dict[bytes, float], u: attention.Units):
-        super().__init__()
-        self.subwords, self.hot, self.unit, self.inner = _subwords(path), hot, u.unit.tolist(), u.inner.tolist()
+    A word that is looked up for the first time has its place at once; ``learn`` then fills the tables for all such words together.
+    """
 
-    def __missing__(self, word: bytes) -> tuple[float, bytes, float]:
-        ids = self.subwords(word)
-        got = (self.hot.get(word, math.nan), array("H", [self.unit[i] for i in ids]).tobytes(), sum([self.inner[i] for i in ids]))
-        if len(self) < CACHE:
-            self[word] = got
-        return got
+    def __init__(self, path: str, hot: dict[bytes, float], u: attention.Units):
+        super().__init__(zip(hot, range(len(hot)), strict=True))
+        self.path, self.u, self.new = path, u, list(hot)
+        self.log, self.inner, self.units, self.rare = np.array(list(hot.values())), np.zeros(0), [], []
+        self.learn()
+        self.hot, self.rare = len(hot), []
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        self.new.append(word)
+        return at
+
+    def learn(self) -> None:
+        words, self.new = self.new, []
+        if not words:
+            return
+        ids, sizes = encoded(words, self.path)
+        ends = np.cumsum(sizes)
+        packed = self.u.unit[ids].tobytes()
+        self.units += [packed[2 * a : 2 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        self.inner = np.concatenate([self.inner, np.add.reduceat(self.u.inner[ids], ends - sizes)])
+        self.log = np.concatenate([self.log, np.full(len(self) - len(self.log), np.nan)])
+        self.rare += words
+
+    def forget(self) -> None:
+        """Words that are not hot go once there are too many."""
+        if len(self) > CACHE:
+            for w in self.rare:
+                del self[w]
+            del self.units[self.hot :]
+            self.inner, self.log, self.rare = self.inner[: self.hot], self.log[: self.hot], []
 
 
 def _end(path: str) -> int:
@@ -100,10 +159,10 @@ def count_subwords(words: DataFrame, path: str) -> np.ndarray:
     size = _end(path) + 1
 
     def count(frames):
-        total, subwords = np.zeros(size, np.int64), _subwords(path)
+        total = np.zeros(size, np.int64)
         for frame in frames:
-            found = [subwords(w.encode()) for w in frame["word"]]
-            np.add.at(total, np.fromiter(itertools.chain.from_iterable(found), np.int64), np.repeat(frame["c"].to_numpy(), list(map(len, found))))
+            found, sizes = encoded([w.encode() for w in frame["word"]], path)
+            np.add.at(total, found, np.repeat(frame["c"].to_numpy(), sizes))
         ids = np.flatnonzero(total)
         yield pd.DataFrame({"id": ids, "c": total[ids]})
 
@@ -233,21 +292,26 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     def read(frames):
         known = _Words(path, *sent.value)
         for frame in frames:
-            n, hits, base, rest, units, inner = [], [], [], [], [], []
-            for text in frame["text"]:
-                words = words_of(text)
-                logs, parts, within = zip(*map(known.__getitem__, words), strict=True) if words else ((), (), ())
-                logs = np.array(logs)
+            known.forget()
+            split = [words_of(text) for text in frame["text"]]
+            places = [list(map(known.__getitem__, words)) for words in split]
+            known.learn()
+            n, hits, base, rest, times, units, inner = [], [], [], [], [], [], []
+            for words, at in zip(split, places, strict=True):
+                units.append(b"".join(map(known.units.__getitem__, at)) + end)
+                at = np.array(at, np.intp)
+                logs = known.log[at]
                 missed = np.flatnonzero(np.isnan(logs))
+                left = Counter([words[i] for i in missed.tolist()])
                 n.append(len(words) + 1)
                 hits.append(len(words) - len(missed))
                 base.append(np.nansum(logs))
-                rest.append([words[i].decode("utf-8", "replace") for i in missed])
-                units.append(b"".join(parts) + end)
-                inner.append(math.fsum(within) + end_inner)
-            yield pd.DataFrame({"_row": frame["_row"], "doc_id": frame["doc_id"], "held_out": frame["held_out"], "n_tokens": n, "known": hits, "base": base, "rest": rest, "units": units, "inner": inner})
+                rest.append([w.decode("utf-8", "replace") for w in left])
+                times.append(list(left.values()))
+                inner.append(known.inner[at].sum() + end_inner)
+            yield pd.DataFrame({"_row": frame["_row"], "doc_id": frame["doc_id"], "held_out": frame["held_out"], "n_tokens": n, "known": hits, "base": base, "rest": rest, "times": times, "units": units, "inner": inner})
 
-    schema = "_row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rest array<string>, units binary, inner double"
+    schema = "_row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rest array<string>, times array<long>, units binary, inner double"
     texts = cut(rows.mapInPandas(read, schema))
     model = spark.sparkContext.broadcast(fit(texts.where("not held_out"), u, int(counts.sum()), ends))
 
@@ -255,11 +319,11 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     def by_model(units: pd.Series) -> pd.Series:
         return pd.Series(attention.score(model.value, [np.frombuffer(x, np.uint16) for x in units]))
 
-    scored = cut(texts.select("_row", "doc_id", "held_out", "n_tokens", "known", "base", "rest", ((by_model("units") + F.col("inner")) / math.log(10)).alias("score")))
+    scored = cut(texts.select("_row", "doc_id", "held_out", "n_tokens", "known", "base", "rest", "times", ((by_model("units") + F.col("inner")) / math.log(10)).alias("score")))
     # what the frequent words leave over
-    left = scored.select("_row", F.explode("rest").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("t"))
+    left = scored.select("_row", F.inline(F.arrays_zip(F.col("rest").alias("word"), F.col("times").alias("t"))))
     left = left.join(words, "word", "left").groupBy("_row").agg(F.sum(F.col("t") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("also"))
-    out = scored.drop("rest").join(left, "_row", "left")
+    out = scored.drop("rest", "times").join(left, "_row", "left")
     last = math.log10(ends + 1)
     each_log = math.log10(train + vocabulary + 1)
     return out.select(

@@ -606,6 +606,35 @@ def test_training_blocks_cover_each_unit_once(spark):
     assert got[3].sum() == sum(map(len, texts)) and seen(*got) == seen(*windows_of([u.unit[t] for t in texts]))
 
 
+def test_words_are_encoded_together(monkeypatch):
+    """Words encoded in few calls have the subwords they have alone; forgetting rare words changes no text's units."""
+    path = public_tokenizers.path(lm.RANKS)
+    rng = np.random.default_rng(8)
+    words = [bytes(w, "utf-8", "surrogatepass") for w in ("a", "don't", "\xa0", "x\xa0y", "\u3000'", "\u2028z", "\x1c", "\x85", "\ud800q", "\U0001f600", "\u00e9t\u00e9", "12,5", "'s")]
+    words += [b"\xff", b"\xe2\x82", b"\xc3"]
+    words += [f"w{i}'{i % 7}-\u00fc".encode() for i in rng.integers(0, 9000, 3 * lm.TOGETHER)]
+    one = lm._subwords(path)
+    want = [one(w) for w in words]
+    for some, alone in ((words, want), (words[20:], want[20:]), (words[:1], want[:1]), ([], [])):
+        ids, sizes = lm.encoded(some, path)
+        assert sizes.tolist() == list(map(len, alone)) and ids.tolist() == [i for w in alone for i in w]
+
+    u = attention.units(np.bincount([i for w in want for i in w], minlength=lm._end(path) + 1))
+    monkeypatch.setattr(lm, "CACHE", 500)
+    calls = []
+    monkeypatch.setattr(lm, "encoded", lambda w, p, real=lm.encoded: calls.append(len(w)) or real(w, p))
+    known = lm._Words(path, {w: float(i) for i, w in enumerate(words[:5])}, u)
+    for first in range(0, len(words), 400):
+        known.forget()
+        at = list(map(known.__getitem__, words[first : first + 400]))
+        known.learn()
+        assert len(known) <= 900 and len(known) == len(known.units) == len(known.log) == len(known.inner)
+        for i, w in zip(at, want[first : first + 400], strict=True):
+            assert known.units[i] == u.unit[w].tobytes() and math.isclose(known.inner[i], u.inner[w].sum(), abs_tol=1e-9)
+        assert known.log[:5].tolist() == [0, 1, 2, 3, 4] and np.isnan(known.log[5:]).all()
+    assert len(calls) <= 2 + len(words) // 400  # a call a frame, not a word
+
+
 def test_hot_count(spark):
     words = spark.createDataFrame([(f"w{i}", c) for i, c in enumerate([1] * 50 + [2] * 20 + [3] * 5 + [100, 1000])], "word string, c long")
     for most, want in ((1000, 77), (76, 27), (26, 7), (6, 2), (1, 1), (0, 0)):

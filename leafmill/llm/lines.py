@@ -33,15 +33,18 @@ FIELD = "<*>"
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """(_row, doc_id, line, _l, _t, _d, leaf) of each line with a word: its text, tokens, whether it has digits, and its leaf."""
+    """(_row, doc_id, line, _l, _m, n, leaf) of each line with a word: its text, its masked tokens with a blank between, their number, and its leaf.
+
+    Most lines have neither digits nor other white space than lone blanks: they are their own masked tokens, and no
+    token is cut out of them.
+    """
     lines = rows.select("_row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "_l"))
     lines = lines.withColumn("_l", F.btrim("_l", F.lit(BLANKS))).where("_l <> ''")
-    lines = lines.select("*", F.split("_l", SPACE).alias("_t"), F.col("_l").rlike("[0-9]").alias("_d"))
-    return lines.withColumn("leaf", F.xxhash64(F.size("_t"), _masked(F.slice("_t", 1, DEPTH))))
-
-
-def _masked(tokens):
-    return F.when(F.col("_d"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))).otherwise(tokens)
+    plain = ~(F.col("_l").contains("  ") | F.col("_l").rlike(r"[0-9\x09-\x0D]"))
+    masked = F.transform(F.split("_l", SPACE), lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+    lines = lines.withColumn("_m", F.when(plain, F.col("_l")).otherwise(F.array_join(masked, " ")))
+    lines = lines.withColumn("n", F.octet_length("_m") - F.octet_length(F.replace("_m", F.lit(" "), F.lit(""))) + 1)
+    return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("_m", " ", DEPTH)))
 
 
 def _documents(lines: DataFrame, *key: str) -> DataFrame:
@@ -52,7 +55,7 @@ def _documents(lines: DataFrame, *key: str) -> DataFrame:
 
 def dropped(rows: DataFrame) -> DataFrame:
     """(_row, lines) for ``rows`` (_row, doc_id, text): numbers of the lines to drop, for rows that have any."""
-    keys = _lines(rows).select("_row", "doc_id", "line", F.size("_t").alias("n"), F.xxhash64("_l").alias("exact"), "leaf", F.xxhash64(F.array_join(_masked(F.col("_t")), " ")).alias("same"))
+    keys = _lines(rows).select("_row", "doc_id", "line", "n", F.xxhash64("_l").alias("exact"), "leaf", F.xxhash64("_m").alias("same"))
     keys = cut(keys)
     equal = _documents(keys, "exact", "n").where((F.col("docs") >= DOCS) | (F.col("docs") >= 2) & (F.col("n") >= LONG))
     gone = [lookup_join(keys, cut(equal.select("exact", "first")), ["exact"], "inner")]
@@ -61,10 +64,10 @@ def dropped(rows: DataFrame) -> DataFrame:
     leaves = cut(_documents(inner, "leaf").where(F.col("docs") >= DOCS).select("leaf"))
     inner = lookup_join(inner, leaves, ["leaf"], "left_semi")
     # equal lines become one: its tokens, and in how many documents it is
-    parsed = lookup_join(_lines(rows).where(F.size("_t") >= TOKENS), leaves, ["leaf"], "left_semi").withColumn("tokens", _masked(F.col("_t")))
-    distinct = parsed.groupBy("leaf", F.xxhash64(F.array_join("tokens", " ")).alias("same")).agg(F.first("tokens").alias("tokens"))
+    parsed = lookup_join(_lines(rows).where(F.col("n") >= TOKENS), leaves, ["leaf"], "left_semi")
+    distinct = parsed.groupBy("leaf", F.xxhash64("_m").alias("same")).agg(F.first("_m").alias("tokens"))
     distinct = cut(distinct.join(_documents(inner, "leaf", "same").select("leaf", "same", F.col("docs").alias("n")), ["leaf", "same"]))
-    token = distinct.select("leaf", "same", "n", F.posexplode("tokens").alias("at", "token"))
+    token = distinct.select("leaf", "same", "n", F.posexplode(F.split("tokens", " ")).alias("at", "token"))
     constant = token.where(F.col("token") != FIELD).groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs")).where(F.col("docs") >= DOCS).select("leaf", "at", "token", F.lit(True).alias("constant"))
     known = token.join(constant, ["leaf", "at", "token"], "left")
     part = F.struct("at", F.when(F.col("constant"), F.col("token")).otherwise(FIELD).alias("token"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import array
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -482,6 +483,25 @@ def test_lattice_dense_clusters_and_odd_vectors(spark, tmp_path, monkeypatch, bl
     assert got == sorted(map(str, want.values()))
 
 
+def test_lines_are_their_own_tokens(spark):
+    """Masked tokens, their number and the leaf of a line, whether it is taken as it stands or cut into tokens; no array of tokens is carried."""
+    own = ["a", "a b", "a b c d", "a b c e", "\u00e9 \xa0 \u3000x", "<*> b c d", "a,b-c"]
+    cut_up = ["a  b c d", "a\tb c\x0bd", "a \x0c b\rc e", "a1 b c d", "9 b c d", "x2\t\t3y z", "a b c d5  ", "\t a b c d"]
+    rows = [(i, i, line) for i, line in enumerate([*own, *cut_up])] + [(90, 90, None), (91, 91, " \t\r\n\n\x0b"), (92, 92, "one\n\n two  2 \nend")]
+    got = lines._lines(spark.createDataFrame(rows, "_row long, doc_id long, text string"))
+    assert dict(got.dtypes)["_m"] == "string" and not any(t.startswith("array") for t in dict(got.dtypes).values())
+    want = {}
+    for row, _, text in rows:
+        for at, line in enumerate((text or "").split("\n")):
+            tokens = ["<*>" if re.search("[0-9]", t) else t for t in WORD.findall(line)]
+            if tokens:
+                want[row, at] = tokens
+    got = {(r._row, r.line): r for r in got.collect()}
+    assert {k: (r._m, r.n) for k, r in got.items()} == {k: (" ".join(t), len(t)) for k, t in want.items()}
+    for a, b in itertools.combinations(want, 2):
+        assert (got[a].leaf == got[b].leaf) == (len(want[a]) == len(want[b]) and want[a][: lines.DEPTH] == want[b][: lines.DEPTH])
+
+
 def test_lm_base_scores(spark, odd):
     for folder in (DATA, odd):
         docs = duckdb.sql(f"select doc_id, text from '{folder}/documents.parquet{'/*.parquet' if folder == odd else ''}'").fetchall()

@@ -104,28 +104,48 @@ _BACK = np.arange(STEP)[:, None] + OVERLAP - np.arange(WINDOW)
 _PLACE = np.maximum(_BACK, 0)
 
 
-def _hidden(m: Model, x: np.ndarray, begins: np.ndarray):
-    """Hidden states (n, STEP, WIDTH) of windows of input units (n, WINDOW), with what the way back needs.
+class _Ready(NamedTuple):
+    """What windows share as long as the weights stay as they are."""
 
-    ``begins`` marks windows that start a text: their context is hidden.
-    """
+    table: np.ndarray  # by unit: itself, its scaled query, its key, its value, and a one
+    place: np.ndarray  # by query and key of a window, what their places add
+    group: np.ndarray  # the read-out's weights with its constants as last row
+    member: np.ndarray
+
+
+def _ready(m: Model) -> _Ready:
     d = WIDTH
     table = np.empty((START + 1, 4 * d + 1), m["embed"].dtype)
     table[:, :d], table[:, 4 * d] = m["embed"], 1
     np.matmul(m["embed"], _scaled(m["qkv"]), out=table[:, d : 4 * d])
-    t = np.take(table, x, axis=0)
+    place = np.where(_BACK >= 0, m["place"][_PLACE], table.dtype.type(-1e9))
+    return _Ready(table, place, np.concatenate([m["class"], m["class0"][None]]), np.concatenate([m["member"], m["member0"][:, None]], axis=1))
+
+
+def _hidden(r: _Ready, x: np.ndarray, begins: np.ndarray):
+    """Hidden states (n, STEP, WIDTH) of windows of input units (n, WINDOW), with what the way back needs.
+
+    ``begins`` marks windows that start a text: their context is hidden.
+    """
+    d = WIDTH
+    t = np.take(r.table, x, axis=0)
     e, q, k, v = t[:, OVERLAP:, :d], t[:, OVERLAP:, d : 2 * d], t[:, :, 2 * d : 3 * d], t[:, :, 3 * d :]
     a = q @ k.transpose(0, 2, 1)
-    a += np.where(_BACK >= 0, m["place"][_PLACE], a.dtype.type(-1e9))
+    a += r.place
     a[begins, :, :OVERLAP] = -1e9
-    np.minimum(a, LIMIT, out=a)
+    _limit(a)
     np.exp(a, out=a)
-    c = a @ v  # the last column sums the weights
-    total = c[:, :, d:]
-    c = c[:, :, :d] / total
+    a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(len(a), STEP, 1)
+    c = a @ v[:, :, :d]
     h = e + c
     np.tanh(h, out=h)
-    return h, (t, a, total, c)
+    return h, (t, a, c)
+
+
+def _limit(z: np.ndarray) -> None:
+    """Keeps logits within the range of exp; to look for the largest costs less than to write all."""
+    if not z.max(initial=0) <= LIMIT:
+        np.minimum(z, LIMIT, out=z)
 
 
 def _scaled(qkv: np.ndarray) -> np.ndarray:
@@ -155,12 +175,11 @@ def _targets(unit: np.ndarray, keep: np.ndarray) -> _Targets:
     return _Targets(at, of, heads, MEMBER[unit.ravel()[at[:heads]]].astype(np.intp), runs)
 
 
-def _read_out(m: Model, t: _Targets, h: np.ndarray):
-    """Hidden states of targets with a last column of ones, and the read-out's weights with its constants as last row."""
+def _rows(t: _Targets, h: np.ndarray) -> np.ndarray:
+    """Hidden states of targets with a last column of ones."""
     rows = np.empty((len(t.at), WIDTH + 1), h.dtype)
-    np.take(h.reshape(-1, WIDTH), t.at, axis=0, out=rows[:, :WIDTH], mode="clip")
-    rows[:, WIDTH] = 1
-    return rows, np.concatenate([m["class"], m["class0"][None]]), np.concatenate([m["member"], m["member0"][:, None]], axis=1)
+    rows[:, :WIDTH], rows[:, WIDTH] = np.take(h.reshape(-1, WIDTH), t.at, axis=0), 1
+    return rows
 
 
 def _member_logits(t: _Targets, rows: np.ndarray, member: np.ndarray) -> np.ndarray:
@@ -175,19 +194,20 @@ def _flat_places(z: np.ndarray, column: np.ndarray) -> np.ndarray:
     return np.arange(0, z.size, z.shape[1]) + column
 
 
-def log_probs(m: Model, x: np.ndarray, begins: np.ndarray, unit: np.ndarray, keep: np.ndarray) -> np.ndarray:
+def log_probs(m: Model, x: np.ndarray, begins: np.ndarray, unit: np.ndarray, keep: np.ndarray, ready: _Ready | None = None) -> np.ndarray:
     """Natural log probabilities (n, STEP) of the target units that ``keep`` marks, 0 elsewhere."""
+    r = ready or _ready(m)
     t = _targets(unit, keep)
-    rows, group, member = _read_out(m, t, _hidden(m, x, begins)[0])
+    rows = _rows(t, _hidden(r, x, begins)[0])
 
     def log_soft(z, target):
         got = np.take(z, _flat_places(z, target))
         np.exp(z, out=z)
         return got - np.log(z @ np.ones(z.shape[1], z.dtype))
 
-    out = log_soft(rows @ group, t.group)
+    out = log_soft(rows @ r.group, t.group)
     if t.heads:
-        out[: t.heads] += log_soft(_member_logits(t, rows, member), t.member)
+        out[: t.heads] += log_soft(_member_logits(t, rows, r.member), t.member)
     whole = np.zeros(keep.shape, out.dtype)
     whole.ravel()[t.at] = out
     return whole
@@ -212,16 +232,17 @@ def _views(flat: np.ndarray, like: Model) -> Model:
 def gradients(m: Model, x: np.ndarray, begins: np.ndarray, unit: np.ndarray, keep: np.ndarray, g: Model | None = None) -> tuple[float, Model]:
     """Mean loss and its gradients; with ``g``, weights of zeros that take them, the loss is not computed (NaN)."""
     d, with_loss = WIDTH, g is None
-    h, (t, a, total, c) = _hidden(m, x, begins)
+    r = _ready(m)
+    h, (t, a, c) = _hidden(r, x, begins)
     if g is None:
         g = {n: np.zeros_like(w) for n, w in m.items()}
     to = _targets(unit, keep)
-    rows, group, member = _read_out(m, to, h)
+    rows = _rows(to, h)
     n = max(len(to.at), 1)
 
     def softmax(z, target):
         """Turns logits into the loss's gradient by them; returns the loss."""
-        np.minimum(z, LIMIT, out=z)
+        _limit(z)
         np.exp(z, out=z)
         sums, places = z @ np.ones(z.shape[1], z.dtype), _flat_places(z, target)
         lost = np.log(sums / np.take(z, places)).sum() if with_loss else math.nan
@@ -229,20 +250,21 @@ def gradients(m: Model, x: np.ndarray, begins: np.ndarray, unit: np.ndarray, kee
         z.reshape(-1)[places] -= 1 / n
         return lost
 
-    p = rows @ group
+    p = rows @ r.group
     loss = softmax(p, to.group)
     turned = rows.T
     by_group = turned @ p
     g["class"][:], g["class0"][:] = by_group[:d], by_group[d]
     back = p @ m["class"].T
     if to.heads:
-        p = _member_logits(to, rows, member)
+        p = _member_logits(to, rows, r.member)
         loss += softmax(p, to.member)
-        by_member = np.zeros_like(member)
+        by_member, more = np.zeros_like(r.member), np.empty((to.heads, d), h.dtype)
         for of, first, end in to.runs:
             part = p[first:end]
             np.matmul(turned[:, first:end], part, out=by_member[of])
-            back[first:end] += part @ m["member"][of].T
+            np.matmul(part, m["member"][of].T, out=more[first:end])
+        back[: to.heads] += more
         g["member"][:], g["member0"][:] = by_member[:, :d], by_member[:, d]
     back *= 1 - rows[:, :d] ** 2
     # gradients by hidden states, and a last column that takes the mean out of the gradients by weights
@@ -253,7 +275,6 @@ def gradients(m: Model, x: np.ndarray, begins: np.ndarray, unit: np.ndarray, kee
     # of the scaled query, key and value of each input
     by = np.empty((len(x), WINDOW, 3 * d), h.dtype)
     by[:, :OVERLAP, :d] = 0
-    a /= total
     np.matmul(a.transpose(0, 2, 1), dh[:, :, :d], out=by[:, :, 2 * d :])
     da = dh @ t[:, :, 3 * d :].transpose(0, 2, 1)
     da *= a
@@ -268,7 +289,9 @@ def gradients(m: Model, x: np.ndarray, begins: np.ndarray, unit: np.ndarray, kee
     order = np.argsort(x, axis=None, kind="stable")
     used = x.ravel()[order]
     first = np.append(0, np.flatnonzero(used[1:] != used[:-1]) + 1)
-    g["embed"][used[first]] = np.add.reduceat(np.take(de.reshape(-1, d), order, axis=0), first, axis=0)
+    # two numbers are added at a time, as one complex number
+    pairs = np.take(de.reshape(-1, d), order, axis=0).view(np.result_type(de, np.complex64))
+    g["embed"][used[first]] = np.add.reduceat(pairs, first, axis=0).view(de.dtype)
     return float(loss / n), g
 
 
@@ -280,20 +303,18 @@ def train(m: Model, windows: tuple[np.ndarray, ...], rate: float = 0.01, batch:
     for step, at in enumerate(range(0, len(windows[0]), batch), 1):
         g[:] = 0
         gradients(m, *(w[at : at + batch] for w in windows), by)
-        # one += 0.1 (g - one), two += 0.01 (g g - two), weights -= rate one' / (sqrt(two') + 1e-6)
-        np.subtract(g, one, out=some)
-        some *= 0.1
-        one += some
-        np.multiply(g, g, out=some)
-        some -= two
-        some *= 0.01
-        two += some
-        np.divide(two, 1 - 0.99**step, out=some)
-        np.sqrt(some, out=some)
-        some += 1e-6
-        np.divide(one, 1 - 0.9**step, out=g)
-        g *= rate
-        g /= some
+        # means of g and of g g, weights 0.1 and 0.01 for the newest, are kept as 10 and 100 times themselves
+        one *= 0.9
+        one += g
+        np.multiply(g, g, out=g)
+        two *= 0.99
+        two += g
+        # weights -= rate one' / (sqrt(two') + 1e-6), the means divided by the weights they hold
+        up = math.sqrt(0.01 / (1 - 0.99**step))
+        np.sqrt(two, out=some)
+        some += 1e-6 / up
+        np.divide(one, some, out=g)
+        g *= rate * 0.1 / ((1 - 0.9**step) * up)
         flat -= g
     return m
 
@@ -328,8 +349,9 @@ def score(m: Model, texts: list[np.ndarray]) -> np.ndarray:
     ends = np.cumsum(lengths + 1)
     text, first = cut_windows(lengths)
     m, out = bounded(m), np.zeros(len(lengths))
+    ready = _ready(m)
     for at in range(0, len(text), BATCH):
         t, f = text[at : at + BATCH], first[at : at + BATCH]
-        got = log_probs(m, *inputs(flat, (ends - lengths - 1)[t], f, ends[t], f == 0))
+        got = log_probs(m, *inputs(flat, (ends - lengths - 1)[t], f, ends[t], f == 0), ready)
         out += np.bincount(t, got.sum(axis=1, dtype=np.float64), len(lengths))
     return out

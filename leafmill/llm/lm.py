@@ -21,12 +21,12 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-from array import array
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +49,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """``words_of`` for a column: how many words each text has, and the words of all in order."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    # a blank text would be split into one empty word
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(pc.binary_length(texts), 0), None, texts))
+    return np.diff(lists.offsets.to_numpy()), lists.flatten()
+
+
 def _subwords(path: str):
     """Subword ids of a word as it stands after a blank."""
     encode = coder(path).encode_ordinary
@@ -95,23 +103,33 @@ class _Words(dict):
     A word that is looked up for the first time has its place at once; ``learn`` then fills the tables for all such words together.
     """
 
-    def __init__(self, path: str, hot: dict[bytes, float], u: attention.Units):
+    def __init__(self, path: str, hot: dict[bytes, float], u: attention.Units, ids: tuple[np.ndarray, np.ndarray] | None = None):
+        """``ids``: the hot words as ``encoded`` has them, if known."""
         super().__init__(zip(hot, range(len(hot)), strict=True))
         self.path, self.u, self.new = path, u, list(hot)
         self.log, self.inner, self.units, self.rare = np.array(list(hot.values())), np.zeros(0), [], []
-        self.learn()
+        self.learn(ids)
         self.hot, self.rare = len(hot), []
+        self.often = pa.array(hot, pa.binary())
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self)
         self.new.append(word)
         return at
 
-    def learn(self) -> None:
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Places of ``words``; only those that are not hot become objects of Python."""
+        at = pc.index_in(words, value_set=self.often.cast(words.type))
+        rare = at.is_null()
+        out = at.fill_null(0).to_numpy().astype(np.intp)
+        out[rare.to_numpy(zero_copy_only=False)] = list(map(self.__getitem__, words.filter(rare).cast(pa.binary()).to_pylist()))
+        return out
+
+    def learn(self, ids: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         words, self.new = self.new, []
         if not words:
             return
-        ids, sizes = encoded(words, self.path)
+        ids, sizes = ids or encoded(words, self.path)
         ends = np.cumsum(sizes)
         packed = self.u.unit[ids].tobytes()
         self.units += [packed[2 * a : 2 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
@@ -128,30 +146,46 @@ class _Words(dict):
             self.inner, self.log, self.rare = self.inner[: self.hot], self.log[: self.hot], []
 
 
+def text_units(words: pa.Array, sizes: np.ndarray, end: int) -> pa.Array:
+    """Units of texts, an end after each, from the packed units of all their words and how many words each has."""
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)[np.cumsum(sizes)] // 2 if len(words) else np.zeros(len(sizes), np.int32)
+    packed = np.frombuffer(words.buffers()[2], np.uint16, ends[-1]) if len(words) else np.zeros(0, np.uint16)
+    offsets = np.concatenate([[0], 2 * (ends + np.arange(1, len(sizes) + 1))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.insert(packed, ends, end))])
+
+
 def _end(path: str) -> int:
     return coder(path).n_vocab
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over all ``docs`` (text)."""
+def counted(columns, most: int = FLUSH):
+    """Batches (word, c) over columns of texts; a word comes again where over ``most`` words were held."""
+    held, size = [], 0
 
-    def count(frames):
-        held: Counter = Counter()
+    def added():
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
-        def out():
-            made = pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in held], "c": list(held.values())})
-            held.clear()
-            return made
+    for texts in columns:
+        got = words_in(texts)[1].value_counts()
+        held.append(pa.table({"word": got.field("values").cast(pa.string()), "c": got.field("counts")}))
+        size += len(got)
+        if size > 2 * most:
+            held = [added()]
+            size = len(held[0])
+            if size > most:
+                yield from held[0].to_batches()
+                held, size = [], 0
+    if size:
+        yield from added().to_batches()
 
-        for frame in frames:
-            for text in frame["text"]:
-                held.update(words_of(text))
-                if len(held) > FLUSH:
-                    yield out()
-        if held:
-            yield out()
 
-    return docs.select("text").mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, c) over all ``docs`` (text)."""
+
+    def count(batches):
+        yield from counted(batch.column("text") for batch in batches)
+
+    return docs.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def count_subwords(words: DataFrame, path: str) -> np.ndarray:
@@ -285,34 +319,44 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     counts[_end(path)] += ends
     u = attention.units(counts)
     hot = words.where(F.col("c") >= hot_count(words)).toPandas()
-    sent = spark.sparkContext.broadcast((dict(zip((w.encode() for w in hot["word"]), np.log10(hot["c"].to_numpy(np.float64) + 1).tolist(), strict=True)), u))
-    end = array("H", [u.unit[_end(path)]]).tobytes()
+    hot_words = [w.encode() for w in hot["word"]]
+    sent = spark.sparkContext.broadcast((dict(zip(hot_words, np.log10(hot["c"].to_numpy(np.float64) + 1).tolist(), strict=True)), u, encoded(hot_words, path)))
+    end = u.unit[_end(path)]
     end_inner = float(u.inner[_end(path)])
 
-    def read(frames):
+    def read(batches):
         known = _Words(path, *sent.value)
-        for frame in frames:
+        for batch in batches:
             known.forget()
-            split = [words_of(text) for text in frame["text"]]
-            places = [list(map(known.__getitem__, words)) for words in split]
+            sizes, words = words_in(batch.column("text"))
+            coded = words.dictionary_encode()  # each word of the batch is looked up once
+            words, code = coded.dictionary, coded.indices
+            at = known.places(words)
             known.learn()
-            n, hits, base, rest, times, units, inner = [], [], [], [], [], [], []
-            for words, at in zip(split, places, strict=True):
-                units.append(b"".join(map(known.units.__getitem__, at)) + end)
-                at = np.array(at, np.intp)
-                logs = known.log[at]
-                missed = np.flatnonzero(np.isnan(logs))
-                left = Counter([words[i] for i in missed.tolist()])
-                n.append(len(words) + 1)
-                hits.append(len(words) - len(missed))
-                base.append(np.nansum(logs))
-                rest.append([w.decode("utf-8", "replace") for w in left])
-                times.append(list(left.values()))
-                inner.append(known.inner[at].sum() + end_inner)
-            yield pd.DataFrame({"_row": frame["_row"], "doc_id": frame["doc_id"], "held_out": frame["held_out"], "n_tokens": n, "known": hits, "base": base, "rest": rest, "times": times, "units": units, "inner": inner})
+            units = text_units(pa.array(map(known.units.__getitem__, at.tolist()), pa.binary()).take(code), sizes, end)
+            code, n = code.to_numpy(), len(sizes)
+            of, logs = np.repeat(np.arange(n), sizes), known.log[at][code]
+            missed = np.flatnonzero(np.isnan(logs))
+            logs[missed] = 0
+            left, times = np.unique(of[missed] * len(words) + code[missed], return_counts=True)
+            left_of, left = np.divmod(left, max(len(words), 1))
+            lists = np.searchsorted(left_of, np.arange(n + 1)).astype(np.int32)
+            out = {
+                "_row": batch.column("_row"),
+                "doc_id": batch.column("doc_id"),
+                "held_out": batch.column("held_out"),
+                "n_tokens": pa.array(sizes.astype(np.int64) + 1),
+                "known": pa.array(sizes - np.bincount(of[missed], minlength=n)),
+                "base": pa.array(np.bincount(of, logs, n)),
+                "rest": pa.ListArray.from_arrays(lists, words.take(pa.array(left)).cast(pa.string())),
+                "times": pa.ListArray.from_arrays(lists, pa.array(times)),
+                "units": units,
+                "inner": pa.array(np.bincount(of, known.inner[at][code], n) + end_inner),
+            }
+            yield pa.RecordBatch.from_pydict(out)
 
     schema = "_row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rest array<string>, times array<long>, units binary, inner double"
-    texts = cut(rows.mapInPandas(read, schema))
+    texts = cut(rows.mapInArrow(read, schema))
     model = spark.sparkContext.broadcast(fit(texts.where("not held_out"), u, int(counts.sum()), ends))
 
     @F.pandas_udf("double")
@@ -322,7 +366,8 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     scored = cut(texts.select("_row", "doc_id", "held_out", "n_tokens", "known", "base", "rest", "times", ((by_model("units") + F.col("inner")) / math.log(10)).alias("score")))
     # what the frequent words leave over
     left = scored.select("_row", F.inline(F.arrays_zip(F.col("rest").alias("word"), F.col("times").alias("t"))))
-    left = left.join(words, "word", "left").groupBy("_row").agg(F.sum(F.col("t") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("also"))
+    # each word is once in its table, so a partition of it is small; sorting both sides by word cost most of this join
+    left = left.join(words.hint("shuffle_hash"), "word", "left").groupBy("_row").agg(F.sum(F.col("t") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("also"))
     out = scored.drop("rest", "times").join(left, "_row", "left")
     last = math.log10(ends + 1)
     each_log = math.log10(train + vocabulary + 1)

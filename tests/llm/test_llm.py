@@ -13,6 +13,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -655,6 +656,40 @@ def test_words_are_encoded_together(monkeypatch):
     assert len(calls) <= 2 + len(words) // 400  # a call a frame, not a word
 
 
+def test_words_of_a_column_are_read_at_once():
+    """Words, counts, places and units of a column of texts are those of each text alone; hot words are no objects of Python on the way."""
+    rng = np.random.default_rng(9)
+    docs = [None, "", " \n", "a", "  A b\x0b\x0c\r\nB\t", "\x1cq\x85 \xa0 \u2028Z \u0130\xc9", *[" ".join(f"w{x}" for x in rng.integers(0, 400, n)) for n in (1, 40, 900)], "", "a a", None]
+    want = [lm.words_of(t) for t in docs]
+    for texts in (pa.array(docs), pa.array(docs, pa.large_string()), pa.array([None, *docs, "x"])[1:-1]):
+        sizes, words = lm.words_in(texts)
+        assert sizes.tolist() == list(map(len, want)) and [w.encode() for w in words.to_pylist()] == [w for ws in want for w in ws]
+    sizes, words = lm.words_in(pa.array([None, ""]))
+    assert sizes.tolist() == [0, 0] and not len(words)
+
+    total = collections.Counter(w for ws in want for w in ws)
+    for most in (10, 150, 10_000):
+        got = collections.Counter()
+        for batch in lm.counted((pa.array(docs[i : i + 2]) for i in range(0, len(docs), 2)), most):
+            got.update({w.encode(): c for w, c in zip(*(batch.column(n).to_pylist() for n in ("word", "c")), strict=True)})
+        assert got == total
+
+    path = public_tokenizers.path(lm.RANKS)
+    u = attention.units(np.bincount([i for w in total for i in lm._subwords(path)(w)], minlength=lm._end(path) + 1))
+    hot = [w for w, _ in total.most_common(50)]
+    known = lm._Words(path, dict.fromkeys(hot, 1.0), u, lm.encoded(hot, path))
+    coded = lm.words_in(pa.array(docs))[1].dictionary_encode()
+    asked = []
+    known.__class__ = type("Asked", (lm._Words,), {"__getitem__": lambda self, w: asked.append(w) or lm._Words.__getitem__(self, w)})
+    at = known.places(coded.dictionary)
+    assert sorted(asked) == sorted(set(total) - set(hot))
+    known.learn()
+    packed = pa.array([known.units[i] for i in at], pa.binary()).take(coded.indices)
+    units = lm.text_units(packed, np.array(list(map(len, want))), 7).to_pylist()
+    assert units == [u.unit[[i for w in ws for i in lm._subwords(path)(w)]].astype(np.uint16).tobytes() + b"\x07\0" for ws in want]
+    assert lm.text_units(packed[:0], np.array([0, 0]), 7).to_pylist() == [b"\x07\0"] * 2
+
+
 def test_hot_count(spark):
     words = spark.createDataFrame([(f"w{i}", c) for i, c in enumerate([1] * 50 + [2] * 20 + [3] * 5 + [100, 1000])], "word string, c long")
     for most, want in ((1000, 77), (76, 27), (26, 7), (6, 2), (1, 1), (0, 0)):

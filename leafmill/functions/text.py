@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,9 +88,32 @@ def chars(text: Column) -> Column:
 
 
 def ngrams(items: Column, n: int) -> Column:
-    """Contiguous n-grams of an array of strings, joined by U+001F."""
-    at = F.sequence(F.lit(1), F.size(items) - n + 1)
-    return F.when(F.size(items) >= n, F.transform(at, lambda i: F.array_join(F.slice(items, i, n), "\x1f"))).otherwise(F.array().cast("array<string>"))
+    """Contiguous n-grams of an array of strings, joined by U+001F; the array is bound once, or each gram would make it anew."""
+
+    def grams(items: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(items) - n + 1)
+        return F.when(F.size(items) >= n, F.transform(at, lambda i: F.array_join(F.slice(items, i, n), "\x1f"))).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(items), grams)[0]
+
+
+def chrf_words_of(text: str) -> list[str]:
+    """``chrf_words`` of one text in Python."""
+    out = []
+    for w in re.split(r"[ \t\n\x0b\f\r]+", text):
+        if len(w) > 1 and w[-1] in ASCII_PUNCTUATION:
+            out += (w[:-1], w[-1])
+        elif len(w) > 1 and w[0] in ASCII_PUNCTUATION:
+            out += (w[0], w[1:])
+        elif w:
+            out.append(w)
+    return out
+
+
+def ngram_counts(items: str | list[str], n: int) -> Counter:
+    """``ngrams`` of one text in Python, counted; those of a string are its pieces of ``n`` characters."""
+    at = range(len(items) - n + 1)
+    return Counter([items[i : i + n] for i in at] if isinstance(items, str) else ["\x1f".join(items[i : i + n]) for i in at])
 
 
 def model_slug(model: Column) -> Column:

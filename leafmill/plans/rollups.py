@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import names, text
+from leafmill.llm.common import small_batches
 from leafmill.operators import records
 from leafmill.plans.registry import query
 from leafmill.plans.scans import BASE, EXT, NAT
@@ -58,21 +59,44 @@ _CHRF = f"""with s as (select a.conv_id, a.text as hyp, b.text as ref from conve
 
 @query("agg08_chrf", _CHRF)
 def chrf(spark, sf_dir):
-    """Corpus chrF++: clipped matches of character 1- to 6-grams and word 1- and 2-grams, F with beta 2."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
-    pair = c.where("turn = 0").select("conv_id", F.col("t").alias("hyp")).join(c.where("turn = 1").select("conv_id", F.col("t").alias("ref")), "conv_id")
-
-    # both sides of a pair are one row: their grams are exploded together and counted map-side, keyed by hash
-    every = F.concat(*[_named(side, k, n) for side in ("hyp", "ref") for k, n in _ORDERS])
-    counted = pair.select("conv_id", F.explode(every).alias("x")).groupBy("conv_id", "x.o", "x.g").agg(F.count_if("x.hyp").alias("hyp"), F.count_if(~F.col("x.hyp")).alias("ref"))
-    both = counted.groupBy("o").agg(F.sum(F.least("hyp", "ref")).alias("m"), F.sum("hyp").alias("h"), F.sum("ref").alias("r"))
+    """Corpus chrF++: clipped matches of character 1- to 6-grams and word 1- and 2-grams, F with beta 2.
+
+    A conversation with one text on each side is counted in its row.  Of others each text pairs with
+    all of the other side, so a gram counts once for each of them; their grams are exploded and counted over all tasks.
+    """
+    c = table(spark, sf_dir, "conversations").where("conv_id is not null and turn in (0, 1)").select("conv_id", (F.col("turn") == 0).alias("hyp"), F.col("text").alias("t"))
+    of = lambda hyp: F.max(F.when(F.col("hyp") == hyp, F.col("t")))
+    pair = c.groupBy("conv_id").agg(F.count_if("hyp").alias("nh"), F.count_if(~F.col("hyp")).alias("nr"), of(True).alias("h"), of(False).alias("r")).where("nh > 0 and nr > 0")
+    small_batches(spark)
+    alone = pair.where("nh = 1 and nr = 1").select("h", "r").mapInPandas(_chrf_counts, "o string, m long, h long, r long")
+
+    # dealt out before they are exploded: a conversation of very many texts is no single task
+    more = c.join(pair.where("nh > 1 or nr > 1").select("conv_id", "nh", "nr"), "conv_id").repartition(spark.sparkContext.defaultParallelism)
+    every = F.concat(*[_named(k, n) for k, n in _ORDERS])
+    counted = more.select("conv_id", "nh", "nr", "hyp", F.explode(every).alias("x")).groupBy("conv_id", "x.o", "x.g").agg((F.count_if("hyp") * F.max("nr")).alias("h"), (F.count_if(~F.col("hyp")) * F.max("nh")).alias("r"))
+    both = alone.unionByName(counted.select("o", F.least("h", "r").alias("m"), "h", "r")).groupBy("o").agg(F.sum("m").alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r"))
     live = both.where("h > 0 and r > 0").agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("r"))
     return live.select(F.round(F.when((F.col("p") == 0) | (F.col("r") == 0), 0.0).otherwise(5 * F.col("p") * F.col("r") / (4 * F.col("p") + F.col("r"))), 9).alias("chrf"))
 
 
-def _named(side: str, k: str, n: int):
-    items = text.chars(F.col(side)) if k == "c" else text.chrf_words(F.col(side))
-    return F.transform(text.ngrams(items, n), lambda g: F.struct(F.lit(f"{k}{n}").alias("o"), F.xxhash64(g).alias("g"), F.lit(side == "hyp").alias("hyp")))
+def _named(k: str, n: int):
+    items = text.chars(F.col("t")) if k == "c" else text.chrf_words(F.col("t"))
+    return F.transform(text.ngrams(items, n), lambda g: F.struct(F.lit(f"{k}{n}").alias("o"), F.xxhash64(g).alias("g")))
+
+
+def _chrf_counts(frames):
+    """Clipped matches and numbers of grams by order, over the rows (h, r) of a task."""
+    total = {f"{k}{n}": [0, 0, 0] for k, n in _ORDERS}
+    for frame in frames:
+        for h, r in zip(frame["h"], frame["r"], strict=True):
+            sides = [{"c": x.replace(" ", ""), "w": text.chrf_words_of(x)} for x in (h or "", r or "")]
+            for k, n in _ORDERS:
+                a, b = (text.ngram_counts(side[k], n) for side in sides)
+                sums = total[f"{k}{n}"]
+                sums[0] += sum(min(v, b[g]) for g, v in a.items() if g in b)
+                sums[1] += a.total()
+                sums[2] += b.total()
+    yield pd.DataFrame([(o, *sums) for o, sums in total.items()], columns=["o", "m", "h", "r"])
 
 
 _ASCII = "regexp_replace({c}.text, '[^ -~]', '', 'g')"

@@ -135,7 +135,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.folder = options["path"]
         self.payloads = options.get("payloads", "true") == "true"
-        self.caps = {k: int(options[k]) for k in ("members", "file", "total", "ratio") if k in options}
+        self.caps = {k: float("inf") if options[k] == "none" else int(options[k]) for k in ("members", "file", "total", "ratio") if k in options}
 
     def partitions(self):
         return [_Path(os.path.join(self.folder, f)) for f in sorted(os.listdir(self.folder)) if not f.startswith(".") and not f.endswith(".tmp")]
@@ -167,6 +167,7 @@ class ArchiveMembers(DataSource):
 
 
 def read_members(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """Members of a folder's containers; a cap (members, file, total, ratio) that is "none" isn't held, for archives of our own."""
     spark.dataSource.register(ArchiveMembers)
     reader = spark.read.format("archive_members").option("path", folder)
     for k, v in options.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,6 +93,13 @@ def ellipse(side: str = "", n: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: point(cx + width(side) / 2 * F.cos(angle(i)), cy + height(side) / 2 * F.sin(angle(i))))
 
 
+def ellipse_points(x0, y0, x1, y1, n: int = 64):
+    """``ellipse`` of many boxes at once: the points' x and y, a row a box."""
+    angle = np.arange(n) * (2 * 3.141592653589793 / n)
+    at = lambda low, high, turn: ((low + high) / 2)[:, None] + ((high - low) / 2)[:, None] * turn
+    return at(x0, x1, np.cos(angle)), at(y0, y1, np.sin(angle))
+
+
 def _edges(points: Column) -> Column:
     """Edges of a polygon, the last back to the first."""
     turned = F.concat(F.slice(points, F.lit(2), F.size(points)), F.slice(points, 1, 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -41,10 +43,16 @@ def box_to_points(spark, sf_dir):
 
 @query("geo03_ellipse", f"with {BOXES} select page, id, count(*) as points, round(min(x), 3) as left, round(max(y), 3) as bottom, round(sum(x * (k + 1)), 3) as xs, round(sum(y * (k + 1)), 3) as ys from (select page, id, k, (x0 + x1) / 2.0 + (x1 - x0) / 2.0 * cos(k * 2 * pi() / 64) as x, (y0 + y1) / 2.0 + (y1 - y0) / 2.0 * sin(k * 2 * pi() / 64) as y from (select *, unnest(range(0, 64))::int as k from boxes)) group by page, id")
 def ellipse(spark, sf_dir):
-    """All points of the ellipse in the row, given back as their number, extremes, and sums weighted by place."""
-    points = boxes(spark, sf_dir).select("page", "id", g.ellipse().alias("p"))
-    weighted = lambda axis: F.round(F.aggregate(F.transform("p", lambda p, k: p[axis] * (k + 1)), F.lit(0.0), lambda a, x: a + x), 3)
-    return points.select("page", "id", F.size("p").cast("long").alias("points"), F.round(F.array_min("p.x"), 3).alias("left"), F.round(F.array_max("p.y"), 3).alias("bottom"), weighted("x").alias("xs"), weighted("y").alias("ys"))
+    """All points of the ellipse, given back as their number, extremes, and sums weighted by place; a batch's points are one matrix."""
+
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        xs, ys = g.ellipse_points(*(frame[c].to_numpy(float) for c in _FIELDS[1:]))
+        place = np.arange(1, xs.shape[1] + 1)
+        return pd.DataFrame({"points": xs.shape[1], "left": xs.min(axis=1), "bottom": ys.max(axis=1), "xs": xs @ place, "ys": ys @ place})
+
+    of = F.pandas_udf(summed, "points long, left double, bottom double, xs double, ys double")
+    points = boxes(spark, sf_dir).select("page", "id", of(F.struct(*_FIELDS[1:])).alias("p"))
+    return points.select("page", "id", "p.points", *[F.round(f"p.{c}", 3).alias(c) for c in ("left", "bottom", "xs", "ys")])
 
 
 @query("geo04_containment", f"with {_pair()} select page, i, j, round({INSIDE}, 6) as share from p where {OX} > 0 and {OY} > 0")
